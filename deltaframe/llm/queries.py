@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, quality, simhash, warc
+from . import bpe, decontaminate, html_text, quality, simhash, warc
 from .shared import ensure_importable
 
 
@@ -37,8 +37,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
+    "op4_decontamination": op4_decontamination,
     "op6_quality": op6_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,

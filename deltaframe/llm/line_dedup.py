@@ -6,8 +6,8 @@ SimHashes differ in at most ``BITS`` bits and their edit similarity is at least
 ``SIMILARITY``.  Of each connected group the first occurrence stays, in order of
 doc_id and place; equal lines are one group anyway.
 
-SimHashes that differ in so few bits agree in one of ``BITS`` + 1 blocks.  Within
-a block's bucket all lines are first held against the bucket's leader, which costs
+SimHashes that differ in so few bits agree in all but ``BITS`` of ``BLOCKS`` blocks.
+Within the bucket of such blocks all lines are first held against the bucket's leader, which costs
 a row per line.  Components of these links are then contracted, and only lines
 outside their leader's component are held against the rest of the bucket, so that
 a large group of near copies is never paired with itself.
@@ -23,6 +23,7 @@ come after all others; other columns are not read and may have any name.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from .shared import connected_components, materialise
 
 BITS = 2
+BLOCKS = 4
+#: Words whose bits are counted in a byte each, the topmost with a sign; longer lines are added up in pieces.
+PIECE = 127
 SIMILARITY = 0.8
 #: Lines whose places may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -37,8 +41,8 @@ _LAST = 2**63 - 1
 _PLACES = 2**31
 
 
-def reduced(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -48,26 +52,32 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def _majority(ones: list[Column], n: Column) -> Column:
+    """The bits that more than half of n words have set."""
+    signed = [1 << k if k < 63 else -(2**63) for k in range(64)]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(ones[k] * 2 > n, F.lit(signed[k]).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)])
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """``(d, t, pos, line, simhash)`` of each line, ``line`` null for lines without words.
 
-    Words are hashed and their bits counted in 32 sums of two counters each; the
-    counters of a line are complete in one task but for a final merge.
+    Words are hashed and their bits counted in eight sums of eight counters each;
+    the counters of a line are complete in one task but for a final merge.
     """
-    lines = _documents(docs).select("d", "t", F.posexplode("lines").alias("pos", "raw")).select("d", "t", "pos", reduced(F.col("raw")).alias("text"))
-    words = lines.select(
-        "d", "t", "pos", F.when(F.col("text") != "", F.xxhash64("text")).alias("line"), F.explode(F.split("text", " ")).alias("word")
-    ).withColumn("h", F.xxhash64("word"))
-    pair = F.lit(2**32 + 1)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"s{k}") for k in range(32)]
-    counted = words.groupBy("d", "t", "pos", "line").agg(F.count(F.lit(1)).alias("n"), *sums)
-    bits = []
-    for k in range(32):
-        low, high = F.col(f"s{k}").bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned(f"s{k}", 32)
-        bits.append(F.when(low * 2 > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        place = 1 << (k + 32)
-        bits.append(F.when(high * 2 > F.col("n"), F.lit(place - 2**64 if place >= 2**63 else place)).otherwise(F.lit(0)).cast("long"))
-    return counted.select("d", "t", "pos", "line", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash"))
+    # rows that repeat a document must not share counters: rows are numbered for this step alone
+    rows = _documents(docs).withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("row", "d", "t", F.posexplode("lines").alias("pos", "raw")).select("row", "d", "t", "pos", words_of(F.col("raw")).alias("words"))
+    found = F.when(F.size("words") > 0, F.xxhash64("words"))
+    words = lines.select("row", "d", "t", "pos", found.alias("line"), (F.size("words") > PIECE).alias("long"), F.posexplode_outer("words").alias("k", "word"))
+    words = words.withColumn("h", F.xxhash64("word")).withColumn("piece", F.floor(F.col("k") / PIECE).cast("int"))
+    counter = F.lit(0x0101010101010101)
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(counter)).alias(f"s{k}") for k in range(8)]
+    counted = words.groupBy("row", "d", "t", "pos", "line", "long", "piece").agg(F.count(F.lit(1)).alias("n"), *sums)
+    # bit 8 * b + k is counted in byte b of sum k
+    ones = [F.shiftrightunsigned(f"s{bit % 8}", bit - bit % 8).bitwiseAND(F.lit(255)) for bit in range(64)]
+    short = counted.where(~F.col("long")).select("d", "t", "pos", "line", _majority(ones, F.col("n")).alias("simhash"))
+    whole = counted.where("long").groupBy("row", "d", "t", "pos", "line").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"b{bit}") for bit, c in enumerate(ones)])
+    return short.unionByName(whole.select("d", "t", "pos", "line", _majority([F.col(f"b{bit}") for bit in range(64)], F.col("n")).alias("simhash")))
 
 
 def distinct_lines(occurred: DataFrame) -> DataFrame:
@@ -88,13 +98,15 @@ def _place_columns(first: str) -> tuple[Column, Column]:
     return ((F.col(first) - pos) / per).cast("decimal(38,0)").cast("long"), pos.cast("int")
 
 
-def buckets(lines: DataFrame, bits: int = BITS) -> DataFrame:
-    """``(key, line, simhash, leader, leader_hash)`` of the block buckets that hold more than one line."""
-    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
-    keys = [
-        F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (z - a)) - 1)) * F.lit(bits + 1) + F.lit(i)
-        for i, (a, z) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
+def buckets(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
+    """``(key, line, simhash, leader, leader_hash)`` of the buckets that hold more than one line."""
+    blocks = max(blocks, bits + 1)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    keys = []
+    for number, agreed in enumerate(combinations(masks, blocks - bits)):
+        mask = sum(agreed)
+        keys.append(F.xxhash64(F.lit(number), F.col("simhash").bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
     keyed = lines.select("line", "simhash", F.explode(F.array(*keys)).alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("line").alias("leader"), F.min_by("simhash", "line").alias("leader_hash"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     return keyed.join(leaders, "key")
@@ -104,11 +116,32 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(line, text)``: the reduced texts of the wanted lines, read at their first places."""
     d, pos = _place_columns("first")
     places = materialise(lines.join(wanted, "line", "left_semi").select(d.alias("d"), pos.alias("pos"), "line"), "line-places")
+    holders = places.select("d").distinct()
     if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
-    raw = _documents(docs).select("d", F.posexplode("lines").alias("pos", "raw"))
-    found = raw.join(places, ["d", "pos"]).select("line", reduced(F.col("raw")).alias("text"))
-    return materialise(found.where(F.xxhash64("text") == F.col("line")).dropDuplicates(["line"]), "line-texts")
+        places, holders = F.broadcast(places), F.broadcast(holders)
+    # documents without a wanted line are not cut into lines
+    raw = _documents(docs).join(holders, "d", "left_semi").select("d", F.posexplode("lines").alias("pos", "raw"))
+    found = raw.join(places, ["d", "pos"]).select("line", words_of(F.col("raw")).alias("words")).where(F.xxhash64("words") == F.col("line"))
+    return materialise(found.select("line", F.array_join("words", " ").alias("text")).dropDuplicates(["line"]), "line-texts")
+
+
+def _common_start(a: str, b: str, steps: int = 10) -> Column:
+    """How much (or nearly how much) two strings start with in common, found by halving."""
+    step = F.floor(F.least(F.char_length(a), F.char_length(b)) / 2).cast("int")
+
+    def longer(found: Column, _: Column) -> Column:
+        at, width = found["at"], found["width"]
+        same = (width > 0) & (F.substring(F.col(a), at + 1, width) == F.substring(F.col(b), at + 1, width))
+        return F.struct(F.when(same, at + width).otherwise(at).alias("at"), F.ceil(width / 2).cast("int").alias("width"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("at"), step.alias("width")), longer, lambda found: found["at"])
+
+
+def _without_common_start(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Both strings without what they start with in common; their edit distance stays."""
+    rest = F.lit(2**31 - 1)
+    df = df.withColumn("at", _common_start(a, b))
+    return df.withColumn(a, F.substring(F.col(a), F.col("at") + 1, rest)).withColumn(b, F.substring(F.col(b), F.col("at") + 1, rest)).drop("at")
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -117,8 +150,11 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
     wanted = pairs.select(F.col("u").alias("line")).unionByName(pairs.select(F.col("v").alias("line"))).distinct()
     texts = texts_of(docs, lines, wanted)
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("line").alias("v"), F.col("text").alias("right")), "v")
-    most = f"cast(floor((1 - {similarity}D) * greatest(char_length(left), char_length(right)) + 1e-9D) as int)"
-    return both.where(F.expr(f"levenshtein(left, right, {most}) >= 0")).select("u", "v")
+    most = F.floor((1 - F.lit(similarity)) * F.greatest(F.char_length("left"), F.char_length("right")) + 1e-9).cast("int")
+    both = both.withColumn("most", most).where(F.abs(F.char_length("left") - F.char_length("right")) <= F.col("most"))
+    both = _without_common_start(both, "left", "right").withColumn("left", F.reverse("left")).withColumn("right", F.reverse("right"))
+    both = _without_common_start(both, "left", "right")
+    return both.where(F.expr("levenshtein(left, right, most) >= 0")).select("u", "v")
 
 
 def groups(docs: DataFrame, lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
@@ -153,7 +189,7 @@ def removals(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY)
     decided = grouped.select("line", "component").join(keepers.select("component", kept_d.alias("kept_d"), kept_pos.alias("kept_pos")), "component").drop("component")
     flags = occurred.select("d", "t", "pos", "line").join(decided, "line", "left")
     gone = F.col("kept_d").isNotNull() & ~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos")))
-    collected = flags.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("pos", gone.alias("gone")))).alias("flags"))
+    collected = flags.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("pos", gone.alias("gone")))).alias("flags"))
     return collected.select("d", "t", F.col("flags.gone").alias("gone"))
 
 
@@ -162,7 +198,7 @@ def _apply(docs: DataFrame, bits: int, similarity: float) -> DataFrame:
     flags = removals(docs, bits, similarity)
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     keyed = whole.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST))).withColumn("t", F.xxhash64("row.text"))
-    joined = keyed.join(flags, ["d", "t"], "left").withColumn("lines", F.split("row.text", "\n"))
+    joined = keyed.join(flags.hint("shuffle_hash"), ["d", "t"], "left").withColumn("lines", F.split("row.text", "\n"))
     # a blank line has a flag too: places and flags correspond one to one
     return joined.withColumn("stay", F.filter("lines", lambda _, i: ~F.get("gone", i)))
 

@@ -102,11 +102,17 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return np.array([len(arrays[0])], "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
-    for kind in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
+def shrink(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in full."""
+    large = counts[counts >= 255]
+    return np.array([len(counts), len(large)], "<i8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
+
+
+def grow(data: bytes, at: int = 0) -> np.ndarray:
+    """The counts that ``shrink`` packed, from place ``at`` on."""
+    n, large = np.frombuffer(data, "<i8", 2, at).tolist()
+    out = np.frombuffer(data, np.uint8, n, at + 16).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", large, at + 16 + n)
     return out
 
 
@@ -115,10 +121,10 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 def ask_words(rows: pa.Table, buckets: int) -> pa.Table:
     texts = Texts(rows)
-    counts = np.bincount(texts.tokens, texts.trained, len(texts.names)).astype("<i8")[texts.order]
+    counts = np.bincount(texts.tokens, texts.trained, len(texts.names)).astype(np.int64)[texts.order]
     names = texts.names[texts.order]
     cut = _spread(names, buckets)
-    return scatter.messages((texts.part, b, _pack(names[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])) for b in range(buckets))
+    return scatter.messages((texts.part, b, _pack(names[cut[b] : cut[b + 1]]) + shrink(counts[cut[b] : cut[b + 1]])) for b in range(buckets))
 
 
 def _totals(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -131,10 +137,11 @@ def _totals(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 def count_words(rows: pa.Table) -> pa.Table:
     """Answers: training tokens and distinct training words of the bucket, then a count for each word asked for."""
-    got = [_unpack(x, "<u8", "<i8") for x in rows.column("data").to_pylist()]
-    _, total, places = _totals([g[0] for g in got], [g[1] for g in got])
+    sent = rows.column("data").to_pylist()
+    names = [np.frombuffer(x, "<u8", int(np.frombuffer(x, "<i8", 1)[0]), 8) for x in sent]
+    _, total, places = _totals(names, [grow(x, 8 + n.nbytes) for x, n in zip(sent, names, strict=True)])
     sums = np.array([total.sum(), np.count_nonzero(total)], "<i8")
-    return scatter.messages((p, b, sums.tobytes() + total[at].astype("<i8").tobytes()) for p, b, at in zip(*_senders(rows), places, strict=True))
+    return scatter.messages((p, b, sums.tobytes() + shrink(total[at])) for p, b, at in zip(*_senders(rows), places, strict=True))
 
 
 def _senders(rows: pa.Table) -> tuple[list[int], list[int]]:
@@ -148,7 +155,7 @@ class Unigrams:
         heads = [np.frombuffer(answers[b], "<i8", 2) for b in sorted(answers)]
         self.tokens, self.distinct = (int(x) for x in np.sum(heads, axis=0))
         self.counts = np.zeros(len(texts.names), np.int64)
-        self.counts[texts.order] = np.concatenate([np.frombuffer(answers[b], "<i8", offset=16) for b in sorted(answers)])
+        self.counts[texts.order] = np.concatenate([grow(answers[b], 16) for b in sorted(answers)])
         self.p = (self.counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
 
 
@@ -161,17 +168,16 @@ def ask_pairs(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     texts = Texts(rows)
     words = Unigrams(texts, dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True)))
     history, word, names, counts = texts.pairs()
-    # of the history its bin and of the word its probability, in eighths of a power of two: enough to choose weights by
-    bins = _bin(words.counts)[history].astype(np.uint8)
-    rare = np.clip(-8 * np.log2(words.p), 0, 65535).astype("<u2")[word]
-    within = np.clip(8 * (np.log2(np.maximum(1, words.counts)) % 1), 0, 7).astype(np.uint8)[history]
+    # of the history its count and of the word its probability, in quarters of a power of two: enough to choose weights by
+    often = np.clip(4 * np.log2(np.maximum(1, words.counts)), 0, 4 * BINS - 1).astype(np.uint8)[history]
+    rare = np.clip(-4 * np.log2(words.p), 0, 255).astype(np.uint8)[word]
     cut = _spread(names, buckets)
 
     def made() -> Iterator[tuple[int, int, bytes]]:
         for b in range(buckets):
             s = slice(cut[b], cut[b + 1])
             short = np.ascontiguousarray(names[s].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield texts.part, b, _pack(short, counts[s].astype("<u4"), bins[s], within[s], rare[s])
+            yield texts.part, b, _pack(short, often[s], rare[s]) + shrink(counts[s])
 
     return scatter.messages(made())
 
@@ -182,30 +188,29 @@ def _bin(counts: np.ndarray) -> np.ndarray:
 
 def count_pairs(rows: pa.Table) -> pa.Table:
     """Answers: the bucket's log-likelihoods by bin and weight, then a count for each bigram asked for."""
-    names, counts, bins, within, rare = [], [], [], [], []
+    names, counts, often, rare = [], [], [], []
     for data in rows.column("data").to_pylist():
         n = int(np.frombuffer(data, "<i8", 1)[0])
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 8).reshape(n, 6)
         names.append(wide.view("<u8").ravel())
-        at = 8 + 6 * n
-        for into, kind in ((counts, "<u4"), (bins, np.uint8), (within, np.uint8), (rare, "<u2")):
-            into.append(np.frombuffer(data, kind, n, at))
-            at += into[-1].nbytes
-    known, total, places = _totals(names, [c.astype(np.int64) for c in counts])
+        often.append(np.frombuffer(data, np.uint8, n, 8 + 6 * n))
+        rare.append(np.frombuffer(data, np.uint8, n, 8 + 7 * n))
+        counts.append(grow(data, 8 + 8 * n))
+    known, total, places = _totals(names, counts)
     of = np.zeros(len(known), np.int64)
     of[np.concatenate(places)] = np.arange(sum(map(len, names)))
-    bins, within, rare = (np.concatenate(x)[of] for x in (bins, within, rare))
+    often, rare = (np.concatenate(x)[of] for x in (often, rare))
     seen = total > 0
-    history = np.exp2(bins + within / 8.0)
-    left = (total - 1) / np.maximum(1, history - 1)
-    base = np.exp2(rare / -8.0)
+    bins = often // 4
+    left = (total - 1) / np.maximum(1, np.exp2(often / 4.0) - 1)
+    base = np.exp2(rare / -4.0)
     fit = np.zeros((BINS, len(WEIGHTS)))
     for k, w in enumerate(WEIGHTS):
         gain = total * np.log(np.maximum(1e-300, w * np.minimum(1, left) + (1 - w) * base))
         fit[:, k] = np.bincount(bins[seen], gain[seen], BINS)
     head = fit.astype("<f8").tobytes()
-    return scatter.messages((p, b, head + total[at].astype("<i8").tobytes()) for p, b, at in zip(*_senders(rows), places, strict=True))
+    return scatter.messages((p, b, head + shrink(total[at])) for p, b, at in zip(*_senders(rows), places, strict=True))
 
 
 # -- the automaton ---------------------------------------------------------------------------------------
@@ -276,7 +281,7 @@ def score_part(rows: pa.Table, answers: pa.Table) -> pa.Table:
     # a bin without training text takes the least weight
     weights = WEIGHTS[np.where(fit.any(axis=1), fit.argmax(axis=1), 0)]
     history, word, _, _ = texts.pairs()
-    counts = np.concatenate([np.frombuffer(x, "<i8", offset=8 * wide) for x in pairs])
+    counts = np.concatenate([grow(x, 8 * wide) for x in pairs])
     score = Automaton(words, history, word, counts, weights).read(texts.tokens, texts.start, texts.size)
     known = np.add.reduceat((words.counts > 0)[texts.tokens].astype(np.int64), texts.start)
     base = np.add.reduceat(np.log10(words.p)[texts.tokens], texts.start)

@@ -39,8 +39,8 @@ def plain(rows):
     fit = {}
     for (h, w), c in pairs.items():
         b = which(h)
-        about = 2 ** (b + int(8 * (math.log2(words[h]) % 1)) / 8)
-        base = 2 ** (-int(-8 * math.log2(p0(w))) / 8)
+        about = 2 ** (int(4 * math.log2(words[h])) / 4)
+        base = 2 ** (-int(-4 * math.log2(p0(w))) / 4)
         row = fit.setdefault(b, [0.0] * len(M.WEIGHTS))
         for k, x in enumerate(M.WEIGHTS):
             row[k] += c * math.log(x * min(1, (c - 1) / max(1, about - 1)) + (1 - x) * base)
@@ -74,6 +74,12 @@ def test_better_than_base_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_counts_in_bytes():
+    for counts in ([], [0], [254, 255, 256, 0, 10**15, 1]):
+        packed = M.shrink(np.array(counts, np.int64))
+        assert M.grow(b"head" * 2 + packed, 8).tolist() == counts
+
+
 def test_empty_table(spark):
     assert M.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -74,7 +74,7 @@ class Digest(IntEnum):
 
 
 class PayloadFormat(IntEnum):
-    DRPM = 0
+    DELTA = 0
     CPIO = 1
     XAR = 2
 
@@ -113,7 +113,7 @@ RPM_MAGIC = bytes.fromhex("edabeedb")
 DELTA_MAGIC = b"drpm"
 LIST_MAGIC = b"RPML"
 DIGEST_CODES = {1: Digest.MD5, 8: Digest.SHA256}
-PAYLOAD_FORMATS = {"drpm": PayloadFormat.DRPM, "cpio": PayloadFormat.CPIO, "xar": PayloadFormat.XAR}
+PAYLOAD_FORMATS = {"drpm": PayloadFormat.DELTA, "cpio": PayloadFormat.CPIO, "xar": PayloadFormat.XAR}
 PAYLOAD_COMPRESSORS = {"none": Compression.NONE, "gzip": Compression.GZIP, "bzip2": Compression.BZIP2, "lzma": Compression.LZMA, "xz": Compression.XZ, "lzip": Compression.LZIP, "zstd": Compression.ZSTD}
 
 # File kinds, file flags and verify flags of a manifest.

@@ -169,11 +169,11 @@ def test_data_source_and_stream(spark, tmp_path):
 
     delta = make.make(package("1", OLD), package("2", NEW))
     deltas.register(spark)
-    rows = spark.createDataFrame([("a.drpm", delta), ("b.drpm", b"junk")], "filename string, content binary")
+    rows = spark.createDataFrame([("a.delta", delta), ("b.delta", b"junk")], "filename string, content binary")
     rows.write.format("deltafile").mode("append").save(str(tmp_path / "d"))
     for found in (spark.read.format("deltafile").load(str(tmp_path / "d")), deltas.read_deltas(spark, str(tmp_path / "d"))):
         got = {r.filename.rsplit("/", 1)[1]: r for r in found.collect()}
-        assert (got["a.drpm"].status, got["a.drpm"].src_nevr, got["b.drpm"].status, got["b.drpm"].version) == (0, "tool-1-1.fc1", Status.FORMAT, None)
+        assert (got["a.delta"].status, got["a.delta"].src_nevr, got["b.delta"].status, got["b.delta"].version) == (0, "tool-1-1.fc1", Status.FORMAT, None)
     short = spark.read.format("deltafile").option("headerOnly", "true").load(str(tmp_path / "d")).where("status = 0").first()
     assert short.tgt_nevr == "tool-2-1.fc1"
     q = stream_deltas(spark, str(tmp_path / "d")).select("src_nevr", "status").writeStream.format("memory").queryName("deltas_seen").start()

@@ -81,6 +81,11 @@ def flat(pairs: str, first: str, second: str, raw: bool = False) -> Column:
     return F.flatten(F.transform(pairs, lambda p: F.array(show(p[first]), show(p[second]))))
 
 
+def write_sequences(deltas: DataFrame, path: str) -> None:
+    """The sequences of deltas as lines of text."""
+    deltas.select(F.concat("src_nevr", F.lit("-"), hex_lower(F.col("sequence")))).write.text(path)
+
+
 _UINT = {Tag.VERSION: "version", Tag.TYPE: "type", Tag.COMP: "comp", Tag.TGTSIZE: "tgt_size", Tag.TGTCOMP: "tgt_comp"}
 _ULONG = _UINT | {Tag.TGTHEADERLEN: "tgt_header_len", Tag.PAYLOADFMTOFF: "payload_fmt_off"}
 _ULLONG = _ULONG | {Tag.EXTDATALEN: "ext_data_len", Tag.INTDATALEN: "int_data_len"}

@@ -163,6 +163,18 @@ def test_patch_lists():
         make.make(old, new, lists=(patch_list("tool", "8-1", [], []),) * 2)
 
 
+def test_sequence_files(tmp_path):
+    old, new = package("1", OLD), package("2", NEW)
+    for name, data in (("print", patch_list("tool", "1-1.fc1", ["usr/bin/tool"], [])), ("patch", patch_list("tool", "1-1.fc1", [], []))):
+        (tmp_path / name).write_bytes(data)
+    options = MakeOptions().with_seqfile(str(tmp_path / "seq")).with_patches(str(tmp_path / "print"), str(tmp_path / "patch"))
+    delta = make.make(old, new, options)
+    assert make.apply(old, delta) == new
+    text = (tmp_path / "seq").read_text()
+    assert text == f"tool-1-1.fc1-{container.parse(delta).sequence.hex()}\n"
+    assert make.check_sequence(text, old) == Status.OK
+
+
 def test_data_source_and_stream(spark, tmp_path):
     from deltaframe.sources import deltas
     from deltaframe.streaming.deltas import stream_deltas
@@ -174,6 +186,8 @@ def test_data_source_and_stream(spark, tmp_path):
     for found in (spark.read.format("deltafile").load(str(tmp_path / "d")), deltas.read_deltas(spark, str(tmp_path / "d"))):
         got = {r.filename.rsplit("/", 1)[1]: r for r in found.collect()}
         assert (got["a.delta"].status, got["a.delta"].src_nevr, got["b.delta"].status, got["b.delta"].version) == (0, "tool-1-1.fc1", Status.FORMAT, None)
+    deltas.write_sequences(deltas.read_deltas(spark, str(tmp_path / "d")).where("status = 0"), str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s")).first()[0].startswith("tool-1-1.fc1-")
     short = spark.read.format("deltafile").option("headerOnly", "true").load(str(tmp_path / "d")).where("status = 0").first()
     assert short.tgt_nevr == "tool-2-1.fc1"
     q = stream_deltas(spark, str(tmp_path / "d")).select("src_nevr", "status").writeStream.format("memory").queryName("deltas_seen").start()

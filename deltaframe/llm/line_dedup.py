@@ -68,15 +68,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
     rows = _documents(docs).withColumn("row", F.monotonically_increasing_id())
     lines = rows.select("row", "d", "t", F.posexplode("lines").alias("pos", "raw")).select("row", "d", "t", "pos", words_of(F.col("raw")).alias("words"))
     found = F.when(F.size("words") > 0, F.xxhash64("words"))
-    words = lines.select("row", "d", "t", "pos", found.alias("line"), (F.size("words") > PIECE).alias("long"), F.posexplode_outer("words").alias("k", "word"))
+    words = lines.select("row", "d", "t", "pos", found.alias("line"), F.size("words").alias("size"), F.posexplode_outer("words").alias("k", "word"))
     words = words.withColumn("h", F.xxhash64("word")).withColumn("piece", F.floor(F.col("k") / PIECE).cast("int"))
     counter = F.lit(0x0101010101010101)
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(counter)).alias(f"s{k}") for k in range(8)]
-    counted = words.groupBy("row", "d", "t", "pos", "line", "long", "piece").agg(F.count(F.lit(1)).alias("n"), *sums)
+    # the size is an aggregate, no key: a filter on it stays above the exchange, which both branches then share
+    counted = words.groupBy("row", "d", "t", "pos", "line", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), *sums)
     # bit 8 * b + k is counted in byte b of sum k
     ones = [F.shiftrightunsigned(f"s{bit % 8}", bit - bit % 8).bitwiseAND(F.lit(255)) for bit in range(64)]
-    short = counted.where(~F.col("long")).select("d", "t", "pos", "line", _majority(ones, F.col("n")).alias("simhash"))
-    whole = counted.where("long").groupBy("row", "d", "t", "pos", "line").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"b{bit}") for bit, c in enumerate(ones)])
+    short = counted.where(F.col("size") <= PIECE).select("d", "t", "pos", "line", _majority(ones, F.col("n")).alias("simhash"))
+    whole = counted.where(F.col("size") > PIECE).groupBy("row", "d", "t", "pos", "line").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"b{bit}") for bit, c in enumerate(ones)])
     return short.unionByName(whole.select("d", "t", "pos", "line", _majority([F.col(f"b{bit}") for bit in range(64)], F.col("n")).alias("simhash")))
 
 
@@ -154,7 +155,9 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
     both = both.withColumn("most", most).where(F.abs(F.char_length("left") - F.char_length("right")) <= F.col("most"))
     both = _without_common_start(both, "left", "right").withColumn("left", F.reverse("left")).withColumn("right", F.reverse("right"))
     both = _without_common_start(both, "left", "right")
-    return both.where(F.expr("levenshtein(left, right, most) >= 0")).select("u", "v")
+    # few edits are found in a narrow band; only what needs more is given the full width
+    within = lambda limit: F.expr(f"levenshtein(left, right, least(most, {limit})) >= 0")
+    return both.where(F.when(within(8), True).when(within(32), True).otherwise(within(2**31 - 1))).select("u", "v")
 
 
 def groups(docs: DataFrame, lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:

@@ -351,8 +351,11 @@ def _result(rows: list[tuple]) -> pa.Table:
 
 def sample_splitters(docs: DataFrame, key: str, text: str, length: int, buckets: int) -> list[bytes]:
     """Bounds between buckets: quantiles of the runs of bytes at the anchors of at most SAMPLE_DOCS documents."""
-    rows = docs.where(F.col(text).isNotNull()).orderBy(F.xxhash64(F.col(key), F.octet_length(text)), key).limit(SAMPLE_DOCS).select(F.col(text).cast("binary").alias("text"))
-    texts = [bytes(r.text) for r in rows.collect()]
+    # hashes alone are ranked; only the texts of those that are picked leave their tasks
+    named = docs.where(F.col(text).isNotNull()).withColumns({"__h": F.xxhash64(F.col(key), F.octet_length(text)), "__t": F.col(text).cast("binary")}).select("__h", "__t")
+    picked = [r["__h"] for r in named.select("__h").distinct().orderBy("__h").limit(SAMPLE_DOCS).collect()]
+    rows = named.where(F.col("__h").isin(picked)).dropDuplicates(["__h"]).orderBy("__h").collect() if picked else []
+    texts = [bytes(r["__t"]) for r in rows]
     data = np.frombuffer(b"".join(texts), np.uint8)
     _, _, place = anchors(data, np.cumsum([len(t) for t in texts]), length) if texts else (None, None, [])
     raw = data.tobytes()

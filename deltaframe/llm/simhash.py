@@ -305,3 +305,96 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*columns)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+# -- near copies by shingle similarity ----------------------------------------------------------
+
+#: Min-hashes of a text: bands of so many that must all agree. A pair at similarity 0.8 is missed once in 5000.
+BANDS = 16
+BAND = 4
+_FACTORS = np.random.default_rng(29).integers(0, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(31).integers(0, 2**63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(raw or b"", width), np.uint64))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes; none for a text without words."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 4096):
+        part = shingles[at : at + 4096, None] * _FACTORS
+        least = np.minimum(least, (part ^ part >> np.uint64(29)).min(0))
+    keys = (least.reshape(BANDS, BAND) * _MIX).sum(1, dtype=np.uint64)
+    return keys ^ keys >> np.uint64(31)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, hash, digest, size, keys)``: a hash of the text, what names a text's set of shingles, their number, and its bands.  No shuffle."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, 2 << 20):
+                sets = [shingle_set(t, width) for t in part.column(2).to_pylist()]
+                digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest), pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "hash", "digest", "size", "keys"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, hash long, digest long, size int, keys array<long>")
+
+
+def alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` of digests whose shingle sets are similar enough, compared as they are."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "near-pairs")
+    wanted = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
+    holders = sets.join(wanted, "digest", "left_semi").select("digest", F.col("low").alias("doc_id"), F.col("hash").alias("t"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text")).join(holders, ["doc_id", "t"])
+    texts = materialise(texts.select("digest", "text").dropDuplicates(["digest"]), "near-texts")
+    both = pairs.join(texts.select(F.col("digest").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("digest").alias("v"), F.col("text").alias("right")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for part in slices(batch, 2, 2 << 20):
+                for left, right in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    a, b = shingle_set(left, width), shingle_set(right, width)
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
+
+
+def keep_unlike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row, that of least doc_id, of each group linked by Jaccard similarity of runs of ``width`` words.
+
+    Candidates share a band of min-hashes and are compared by their whole shingle sets.  Texts without
+    words are equal.  Within a band all are first held against one leader; only those it does not link
+    are held against the others.  Of rows that share an id one stays; rows without an id are left as they are.
+    """
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    prints = materialise(sketches(known, width), "near-sketches")
+    sets = materialise(prints.groupBy("digest").agg(F.min_by(F.struct("hash", "size", "keys"), "doc_id").alias("one"), F.min("doc_id").alias("low")).select("digest", "low", "one.*"), "near-sets")
+    keyed = sets.select("digest", "size", F.posexplode("keys").alias("band", "key"))
+    leaders = keyed.groupBy("band", "key").agg(F.min("digest").alias("leader"), F.min_by("size", "digest").alias("leader_size"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialise(keyed.join(leaders, ["band", "key"]), "near-members")
+    sized = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    to_leader = members.where((F.col("digest") != F.col("leader")) & sized("size", "leader_size")).select(F.col("digest").alias("a"), F.col("leader").alias("b"))
+    found = materialise(alike(known, sets, to_leader, width, similarity), "near-links")
+    joined = connected_components(found, "near")
+    own = joined.select(F.col("vertex").alias("digest"), F.col("component").alias("own"))
+    led = joined.select(F.col("vertex").alias("leader"), F.col("component").alias("led"))
+    placed = members.join(own, "digest", "left").join(led, "leader", "left")
+    placed = materialise(placed.select("band", "key", "digest", "size", F.coalesce("own", "digest").alias("own"), F.coalesce("led", "leader").alias("led")), "near-placed")
+    apart = placed.where("own <> led").select("band", "key", F.col("digest").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"))
+    rest = placed.select("band", "key", F.col("digest").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
+    others = apart.join(rest, ["band", "key"]).where((F.col("own_a") != F.col("own_b")) & sized("size_a", "size_b")).select("a", "b")
+    linked = connected_components(found.unionByName(alike(known, sets, others, width, similarity)), "near")
+    groups = sets.join(linked, sets.digest == linked.vertex, "left").select("digest", "low", F.coalesce("component", "digest").alias("component"))
+    kept = groups.groupBy("component").agg(F.min("low").alias("doc_id")).select("doc_id").distinct()
+    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -1,13 +1,16 @@
 """Fuzzy deduplication of lines, in DataFrame operations only.
 
-Lines are reduced to lower-case words of letters and digits.  Each distinct
-reduced line has a 64-bit SimHash of its words.  Two lines are linked if their
-SimHashes differ in at most ``BITS`` bits and their edit similarity is at least
-``SIMILARITY``.  Of each connected group the first occurrence stays, in order of
-doc_id and place; equal lines are one group anyway.
-
-SimHashes that differ in so few bits agree in all but ``BITS`` of ``BLOCKS`` blocks.
-Within the bucket of such blocks all lines are first held against the bucket's leader, which costs
+Lines are reduced to lower-case words of letters and digits.  Two lines are linked
+if their edit similarity is at least ``SIMILARITY``.  Of each connected group the first
+occurrence stays, in order of doc_id and place; equal lines are one group anyway.
+
+Lines to compare are found by min-hashes of their word pairs, and of their runs of
+``GRAM`` characters where they have at most ``SHORT`` characters: lines that agree in three of
+``MINIMA`` least hashes, in one of the combinations that ``AGREED`` gives, of which no two have more than one hash in common, share a bucket.
+With ``bits`` below 64 lines must also differ in at most so many bits of a 64-bit SimHash of
+their words; then the buckets are those of SimHashes that agree in all but ``bits`` of ``BLOCKS`` blocks.
+
+Within a bucket all lines are first held against the bucket's leader, which costs
 a row per line.  Components of these links are then contracted, and only lines
 outside their leader's component are held against the rest of the bucket, so that
 a large group of near copies is never paired with itself.
@@ -22,6 +25,7 @@ come after all others; other columns are not read and may have any name.
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 from itertools import combinations
 
@@ -30,8 +34,16 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, materialise
 
-BITS = 2
+#: Bits in which the SimHashes of linked lines may differ; 64: any.
+BITS = 64
 BLOCKS = 4
+#: Least hashes of a line, and those of word pairs and of runs that make a bucket; shifted by one each time, no two combinations share two.
+MINIMA = 13
+AGREED = {"w": ((0, 1, 4),), "g": ((0, 1, 4), (0, 2, 7))}
+#: Characters of a run, and of a line whose runs are looked at.
+GRAM = 4
+SHORT = 80
+_FACTORS = [random.Random(20241 + k).getrandbits(31) | 1 for k in range(MINIMA)]
 #: Words whose bits are counted in a byte each, the topmost with a sign; longer lines are added up in pieces.
 PIECE = 127
 SIMILARITY = 0.8
@@ -81,14 +93,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return short.unionByName(whole.select("d", "t", "pos", "line", _majority([F.col(f"b{bit}") for bit in range(64)], F.col("n")).alias("simhash")))
 
 
+def sketched(docs: DataFrame) -> DataFrame:
+    """``(d, t, pos, line, chars, w0.., g0..)`` of each line: least hashes of word pairs and, in short lines, of runs of characters."""
+    rows = _documents(docs).withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("row", "d", "t", F.posexplode("lines").alias("pos", "raw")).select("row", "d", "t", "pos", words_of(F.col("raw")).alias("words"))
+    lines = lines.withColumn("line", F.when(F.size("words") > 0, F.xxhash64("words"))).withColumn("text", F.array_join("words", " "))
+    lines = lines.withColumn("chars", F.char_length("text"))
+    edge = F.array(F.lit(""))
+    pairs = F.zip_with(F.concat(edge, "words"), F.concat("words", edge), lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), F.lit(False).alias("run")))
+    padded = F.concat(F.lit("\n" * (GRAM - 1)), "text", F.lit("\n" * (GRAM - 1)))
+    runs = F.transform(F.sequence(F.lit(1), F.col("chars") + GRAM - 1), lambda i: F.struct(F.xxhash64(F.substring(padded, i, F.lit(GRAM))).alias("h"), F.lit(True).alias("run")))
+    marks = F.when(F.col("line").isNull(), F.lit(None)).when(F.col("chars") <= SHORT, F.concat(pairs, runs)).otherwise(pairs)
+    marks = lines.select("row", "d", "t", "pos", "line", "chars", F.explode_outer(marks).alias("mark"))
+    marks = marks.select("row", "d", "t", "pos", "line", "chars", F.shiftrightunsigned("mark.h", 32).alias("h"), F.col("mark.run").alias("run"))
+    least = lambda run, k: F.min(F.when(F.col("run") == run, (F.col("h") * _FACTORS[k]).bitwiseAND(F.lit(0xFFFFFFFF))))
+    minima = [least(run, k).alias(f"{name}{k}") for name, run in (("w", False), ("g", True)) for k in range(MINIMA)]
+    return marks.groupBy("row", "d", "t", "pos", "line").agg(F.max("chars").alias("chars"), *minima).drop("row")
+
+
 def distinct_lines(occurred: DataFrame) -> DataFrame:
-    """``(line, simhash, first decimal, n)``: each distinct line, its first place and how often it occurs."""
+    """``(line, first decimal, n)`` and what else is known of each distinct line: its first place and how often it occurs."""
     place = F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")
+    known = [c for c in occurred.columns if c not in ("d", "t", "pos", "line")]
     return (
         occurred.where(F.col("line").isNotNull())
-        .select("line", "simhash", place.cast("decimal(38,0)").alias("place"))
+        .select("line", *known, place.cast("decimal(38,0)").alias("place"))
         .groupBy("line")
-        .agg(F.min("simhash").alias("simhash"), F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(*[F.min(c).alias(c) for c in known], F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -99,8 +130,14 @@ def _place_columns(first: str) -> tuple[Column, Column]:
     return ((F.col(first) - pos) / per).cast("decimal(38,0)").cast("long"), pos.cast("int")
 
 
+def _bucketed(keyed: DataFrame, seen: str) -> DataFrame:
+    """Lines with the leader of each bucket that holds more than one; ``seen`` is what pairs are chosen by."""
+    leaders = keyed.groupBy("key").agg(F.min("line").alias("leader"), F.min_by(seen, "line").alias(f"leader_{seen}"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    return keyed.join(leaders, "key")
+
+
 def buckets(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """``(key, line, simhash, leader, leader_hash)`` of the buckets that hold more than one line."""
+    """``(key, line, simhash, leader, leader_simhash)`` of the buckets that hold more than one line."""
     blocks = max(blocks, bits + 1)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
@@ -108,9 +145,18 @@ def buckets(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFra
     for number, agreed in enumerate(combinations(masks, blocks - bits)):
         mask = sum(agreed)
         keys.append(F.xxhash64(F.lit(number), F.col("simhash").bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
-    keyed = lines.select("line", "simhash", F.explode(F.array(*keys)).alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("line").alias("leader"), F.min_by("simhash", "line").alias("leader_hash"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return keyed.join(leaders, "key")
+    return _bucketed(lines.select("line", "simhash", F.explode(F.array(*keys)).alias("key")), "simhash")
+
+
+def sketch_buckets(lines: DataFrame) -> DataFrame:
+    """``(key, line, chars, leader, leader_chars)`` of the buckets that hold more than one line."""
+    keys = []
+    for name, combinations_ in AGREED.items():
+        for k in range(MINIMA):
+            for combination in combinations_:
+                agreed = [f"{name}{(k + i) % MINIMA}" for i in combination]
+                keys.append(F.when(F.col(agreed[0]).isNotNull(), F.xxhash64(F.lit(" ".join(agreed)), *agreed)))
+    return _bucketed(lines.select("line", "chars", F.explode(F.filter(F.array(*keys), lambda key: key.isNotNull())).alias("key")), "chars")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -162,28 +208,34 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
 
 def groups(docs: DataFrame, lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``(vertex, component)`` of the lines that are linked to another one."""
-    members = materialise(buckets(lines, bits), "line-buckets")
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    to_leader = members.where((F.col("line") != F.col("leader")) & near("simhash", "leader_hash")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
+    if bits < 64:
+        seen, members = "simhash", buckets(lines, bits)
+        near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+    else:
+        # lines whose lengths differ by more than the edits allowed need not be read
+        seen, members = "chars", sketch_buckets(lines)
+        near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= (1 - F.lit(similarity)) * F.greatest(a, b) + 1e-9
+    members = materialise(members, "line-buckets")
+    to_leader = members.where((F.col("line") != F.col("leader")) & near(seen, f"leader_{seen}")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
     links = materialise(verified(docs, lines, to_leader, similarity), "line-links")
     joined = connected_components(links, "lines")
     own = joined.select(F.col("vertex").alias("line"), F.col("component").alias("own"))
     led = joined.select(F.col("vertex").alias("leader"), F.col("component").alias("led"))
     placed = (
         members.join(own, "line", "left").join(led, "leader", "left")
-        .select("key", "line", "simhash", F.coalesce("own", "line").alias("own"), F.coalesce("led", "leader").alias("led"))
+        .select("key", "line", seen, F.coalesce("own", "line").alias("own"), F.coalesce("led", "leader").alias("led"))
     )
     placed = materialise(placed, "line-placed")
-    apart = placed.where("own <> led").select("key", F.col("line").alias("a"), F.col("simhash").alias("hash_a"), F.col("own").alias("own_a"))
-    rest = placed.select("key", F.col("line").alias("b"), F.col("simhash").alias("hash_b"), F.col("own").alias("own_b"))
-    others = apart.join(rest, "key").where((F.col("own_a") != F.col("own_b")) & near("hash_a", "hash_b")).select("a", "b")
+    apart = placed.where("own <> led").select("key", F.col("line").alias("a"), F.col(seen).alias("seen_a"), F.col("own").alias("own_a"))
+    rest = placed.select("key", F.col("line").alias("b"), F.col(seen).alias("seen_b"), F.col("own").alias("own_b"))
+    others = apart.join(rest, "key").where((F.col("own_a") != F.col("own_b")) & near("seen_a", "seen_b")).select("a", "b")
     more = verified(docs, lines, others, similarity)
     return connected_components(links.unionByName(more), "lines")
 
 
 def removals(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``(d, t, gone array<boolean>)``: for each line of a document whether it goes."""
-    occurred = materialise(occurrences(docs), "line-occurrences")
+    occurred = materialise(occurrences(docs) if bits < 64 else sketched(docs), "line-occurrences")
     lines = materialise(distinct_lines(occurred), "line-distinct")
     linked = groups(docs, lines, bits, similarity)
     grouped = lines.join(linked, lines.line == linked.vertex, "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import xxhash
 
@@ -86,6 +87,37 @@ def test_against_brute_force(spark):
         assert got(make(spark, rows), **how) == plain(rows, **how)
 
 
+def test_recall_by_edit_similarity_alone(spark):
+    """Words replaced in long lines, letters in short ones: all pairs are compared, SimHashes are not asked."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(2, 9)))
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(rng.choice((2, 4, 8, 20)))]
+        rows.append((2 * i, " ".join(words)))
+        if len(words) < 10:
+            text = list(rows[-1][1])
+            for _ in range(max(1, len(text) // 10)):
+                text[rng.randrange(len(text))] = rng.choice("uvwxyz")
+            rows.append((2 * i + 1, "".join(text)))
+        else:
+            for _ in range(len(words) // 8):
+                words[rng.randrange(len(words))] = word()
+            rows.append((2 * i + 1, " ".join(words)))
+    want = set()
+    for j, b in rows:
+        for i, a in rows[:j]:
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            # letters without a counterpart need an edit each
+            if max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) <= most and distance(a, b) <= most:
+                want.add(j)
+                break
+    found = {r[0] for r in got(make(spark, rows)) if r[2]}
+    assert len(want) > 35
+    assert found <= want
+    assert len(found) >= 0.9 * len(want)
+
+
 def test_cases(spark):
     rows = [(3, "A line here.\nA LINE, here\n\n\nother"), (1, "a line here"), (1, "a line here"), (2, None), (4, ""), (5, "?\n?\n"), (None, "other"), (None, "new one"), (-7, "w " * 30_000 + "\nother")]
     docs = make(spark, rows)

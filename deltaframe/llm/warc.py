@@ -42,7 +42,6 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 16
-_MOST_HEADER = 1 << 18
 _PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("%", "")
 
 
@@ -156,21 +155,23 @@ def _member(f: BinaryIO, at: int, whole: bool) -> tuple[bytes, int] | None:
     unpack = zlib.decompressobj(31)
     f.seek(at)
     out = bytearray()
-    read = 0
+    read, end = 0, -1
     while True:
         chunk = f.read(_CHUNK if whole else 4096)
         if not chunk:
             return None
         read += len(chunk)
+        before = len(out)
         try:
             out += unpack.decompress(chunk)
         except zlib.error:
             return None
         if not b"WARC/1.".startswith(out[:7]) and out[:7] != b"WARC/1.":
             return None
-        end = out.find(b"\r\n\r\n", 0, _MOST_HEADER)
-        if end < 0 and len(out) >= _MOST_HEADER or end >= 0 and parse_header(bytes(out[:end])) is None:
-            return None
+        if end < 0:
+            end = out.find(b"\r\n\r\n", max(0, before - 3))
+            if end >= 0 and parse_header(bytes(out[:end])) is None:
+                return None
         if not whole and end >= 0:
             return bytes(out), -1
         if unpack.eof:

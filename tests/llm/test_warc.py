@@ -64,3 +64,10 @@ def test_round_trip_with_small_ranges(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_page_with_a_very_long_url(spark):
+    from deltaframe.llm import warc
+
+    pages = spark.createDataFrame([(1, "http://a/", "one"), (2, "http://b/" + "漢" * 40_000, "two"), (3, "http://c/", "three")], "page_id long, url string, html string")
+    assert {r.page_id for r in warc.round_trip(spark, pages).collect()} == {1, 2, 3}

@@ -38,7 +38,7 @@ STOP_WORDS = frozenset(
 )
 
 # Elements by what they do.
-RAW_TEXT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "head", "textarea", "select")
+RAW_TEXT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "textarea", "select")
 BLOCKS = frozenset(
     """address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     frame h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead
@@ -54,8 +54,14 @@ BOILERPLATE_NAMES = re.compile(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?P<empty>svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>"
+    # a head ends at its tag, or before what only a body holds
+    r"|<(?P<head>head)\b" + _REST + r"(?:\s+|<!--.*?(?:-->|\Z)|</?(?:meta|link|base)\b" + _REST
+    + "".join(rf"|<{x}\b{_REST}.*?(?:</{x}\s*>|\Z)" for x in ("script", "style", "noscript", "template", "title"))
+    + r")*+(?:</head\s*>)?"
     r"|<(?P<raw>" + "|".join(RAW_TEXT) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -128,7 +134,7 @@ def blocks(page: str) -> list[Block]:
             linked += len(run.strip()) if links else 0
         at = m.end()
         if not (tag := m["tag"]):
-            if m["raw"]:
+            if m["raw"] or m["head"] or m["empty"]:
                 parts.append(" ")
             continue
         tag = tag.lower()

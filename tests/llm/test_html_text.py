@@ -59,3 +59,11 @@ def test_pages_against_their_articles(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", row.html, re.S)[1]
         plain = re.sub(r"</?b>", "", re.sub(r"</?(?:p|br|h1)>", " ", inner))
         assert got[row.page_id] == " ".join(html.unescape(plain).split())
+
+
+def test_open_head_and_empty_drawings():
+    from deltaframe.llm import html_text
+
+    words = "The house that we saw was on the hill and it is not far from the river where they live. " * 3
+    for start in ("<html><head><title>t</title><meta charset=utf-8><body>", "<head><script>'<p>'</script><link href=x>", "<head></head><svg width='1'/>", "<math/>"):
+        assert html_text.main_text(f"{start}<p>{words}</p>") == words.strip(), start

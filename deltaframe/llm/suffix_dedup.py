@@ -257,6 +257,8 @@ def _elsewhere(part: Part, answers: pa.Table, buckets: int) -> np.ndarray:
 
 def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, part_bytes: int = scatter.PART_BYTES) -> DataFrame:
     """``(key long, n_bytes, n_removed, n_spans, kept binary)`` for each row of ``docs``."""
+    if not GRAM <= length <= GRAM + 31:
+        raise ValueError(f"length {length}: a mask holds the strings of an anchor for {GRAM} to {GRAM + 31} bytes")
     parts = scatter.deal(docs, key, text, part_bytes)
     buckets = parts.count
     splitters = sample_splitters(docs, key, text, length, buckets)

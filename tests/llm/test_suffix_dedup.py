@@ -70,3 +70,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.digests(docs).collect() == []
     assert [tuple(r)[:4] for r in S.digests(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 0, 0)]
+
+
+def test_length_that_no_mask_holds(spark):
+    import pytest
+    from deltaframe.llm import suffix_dedup
+
+    docs = spark.createDataFrame([(1, "x" * 90), (2, "x" * 90)], "doc_id long, text string")
+    for length in (19, 52, 60):
+        with pytest.raises(ValueError):
+            suffix_dedup.repeated_strings(docs, length=length)

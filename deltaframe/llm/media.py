@@ -2,8 +2,10 @@
 
 An image is a PNG or binary PGM/PPM cell.  Corners are found by their structure
 tensor at several scales; around each a patch is turned to its own orientation and
-read by binary intensity tests, 96 bits in three words.  Words are joined as three
-Hamming tables: descriptors that differ in at most two bits agree in one of them.
+read by binary intensity tests, 96 bits in three words.  All corners are searched, so that
+a small part of a large image is found as well.  Three of the twelve bytes at a time are joined as
+24 Hamming tables: descriptors that differ in at most three bits agree in one of them, and most
+that differ in some more.
 Matches of a query and an image count if enough of them agree on one rotation,
 scale and shift.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, slices
 
-#: Strongest corners of an image over all scales.
+#: Strongest corners that describe() gives unless told otherwise.
 CORNERS = 32
 #: Image sizes relative to the original.
 SCALES = (1, 2)
 RADIUS = 9
 BITS = 96
+#: Bytes of a descriptor that a table joins, each turned twelve times.
+TABLES = ((0, 1, 2), (0, 2, 7))
 #: Most bits in which a match may differ, least matches that agree, and how closely (pixels, degrees).
 MOST_BITS = 18
 LEAST_INLIERS = 4
@@ -152,8 +157,8 @@ _DY, _DX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_DX**2 + _DY**2 <= RADIUS**2).astype(float)
 
 
-def describe(grey: np.ndarray | None, most: int = CORNERS) -> list[tuple[float, float, float, float, int, int, int]]:
-    """``(x, y, angle in degrees, scale, word 0, word 1, word 2)`` of the strongest corners, in pixels of the image."""
+def describe(grey: np.ndarray | None, most: int | None = CORNERS) -> list[tuple[float, float, float, float, int, int, int]]:
+    """``(x, y, angle in degrees, scale, word 0, word 1, word 2)`` of the strongest corners, or of all with ``most`` None, in pixels of the image."""
     if grey is None or min(grey.shape) <= 2 * RADIUS + 2:
         return []
     found = []
@@ -176,23 +181,24 @@ def describe(grey: np.ndarray | None, most: int = CORNERS) -> list[tuple[float,
     ranked = sorted(((-s, scale, y, x) for ss, ys, xs, scale, _ in found for s, y, x in zip(ss.tolist(), ys.tolist(), xs.tolist(), strict=True)))[:most]
     out = []
     for _, _, _, scale, level in found:
-        mine = [(y, x) for _, s, y, x in ranked if s == scale]
-        if not mine:
-            continue
-        ys, xs = np.array(mine).T
+        mine = np.array([(y, x) for _, s, y, x in ranked if s == scale], int).reshape(-1, 2)
         smooth = _box(level, 1)
-        patch = np.lib.stride_tricks.sliding_window_view(level, (2 * RADIUS + 1, 2 * RADIUS + 1))[ys - RADIUS, xs - RADIUS] * _DISC
-        angle = np.arctan2((patch * _DY).sum((1, 2)), (patch * _DX).sum((1, 2)))
-        k = np.round(angle / (2 * np.pi) * _ANGLES).astype(int) % _ANGLES
-        first = smooth[ys[:, None] + _FIRST[k][..., 1], xs[:, None] + _FIRST[k][..., 0]]
-        second = smooth[ys[:, None] + _SECOND[k][..., 1], xs[:, None] + _SECOND[k][..., 0]]
-        words = np.packbits(first < second, axis=1).view(">u4").astype(np.int64)
         middle = (scale - 1) / 2
-        for i in range(len(ys)):
-            out.append((float(xs[i] * scale + middle), float(ys[i] * scale + middle), float(np.degrees(angle[i])), float(scale), *words[i].tolist()))
+        for at in range(0, len(mine), 4096):
+            out += _read_patches(level, smooth, *mine[at : at + 4096].T, scale, middle)
     return out
 
 
+def _read_patches(level: np.ndarray, smooth: np.ndarray, ys: np.ndarray, xs: np.ndarray, scale: int, middle: float) -> list[tuple[float, float, float, float, int, int, int]]:
+    patch = np.lib.stride_tricks.sliding_window_view(level, (2 * RADIUS + 1, 2 * RADIUS + 1))[ys - RADIUS, xs - RADIUS] * _DISC
+    angle = np.arctan2((patch * _DY).sum((1, 2)), (patch * _DX).sum((1, 2)))
+    k = np.round(angle / (2 * np.pi) * _ANGLES).astype(int) % _ANGLES
+    first = smooth[ys[:, None] + _FIRST[k][..., 1], xs[:, None] + _FIRST[k][..., 0]]
+    second = smooth[ys[:, None] + _SECOND[k][..., 1], xs[:, None] + _SECOND[k][..., 0]]
+    words = np.packbits(first < second, axis=1).view(">u4").astype(np.int64)
+    return [(float(xs[i] * scale + middle), float(ys[i] * scale + middle), float(np.degrees(angle[i])), float(scale), *words[i].tolist()) for i in range(len(ys))]
+
+
 def consensus(matches: np.ndarray) -> tuple[int, float, float, float, float]:
     """Largest set of matches under one similarity: (inliers, degrees, scale, shift x, shift y).
 
@@ -230,7 +236,7 @@ def corners(df: DataFrame, key: str, image: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 4 << 20, 256):
-                rows = [describe(decode(x)) for x in part.column(1).to_pylist()]
+                rows = [describe(decode(x), None) for x in part.column(1).to_pylist()]
                 owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
                 flat = [r for rs in rows for r in rs]
                 columns = [pa.array([r[i] for r in flat], t) for i, t in enumerate(_CORNER_TYPES)]
@@ -248,7 +254,9 @@ def search(queries: DataFrame, found: DataFrame, least: int = LEAST_INLIERS, mos
     """Images that hold what a query shows, both given by their corners: query_id, class_id, inliers, degrees, scale, shift_x, shift_y."""
 
     def tables(df: DataFrame, side: str) -> DataFrame:
-        words = F.posexplode(F.array("w0", "w1", "w2")).alias("table", "word")
+        byte = [F.shiftrightunsigned(f"w{b // 4}", 24 - 8 * (b % 4)).bitwiseAND(F.lit(255).cast("long")) for b in range(12)]
+        keys = [reduce(lambda key, b: F.shiftleft(key, 8).bitwiseOR(b), [byte[(t + i) % 12] for i in three]) for three in TABLES for t in range(12)]
+        words = F.posexplode(F.array(*keys)).alias("table", "word")
         return df.select(F.struct("x", "y", "angle", "scale", "w0", "w1", "w2").alias(side), F.col("key").alias(f"{side}_key"), words)
 
     bits = sum(F.bit_count(F.col(f"q.w{i}").bitwiseXOR(F.col(f"i.w{i}"))) for i in range(3))

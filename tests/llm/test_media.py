@@ -84,3 +84,23 @@ def test_empty_and_null_images(spark):
     got = sorted(((r.k, r.class_id, r.members) for r in M.find_copies(images, images, "k", "image").collect()), key=str)
     assert got == sorted([(1, None, None), (2, 2, 2), (3, 2, 2), (None, None, None)], key=str)
     assert M.find_copies(images.limit(0), images.limit(0), "k", "image").collect() == []
+
+
+def test_small_crops_of_large_images(spark):
+    """Crops that hold few of the strongest corners, some noisy or of half the size."""
+    rng = np.random.default_rng(12)
+    large = {i: (lambda z: np.clip(110 + 90 * z / np.abs(z).max(), 0, 255))(M._box(M._box(rng.normal(size=(320, 320)), 1), 1)) for i in range(6)}
+    asked = {}
+    for i, grey in large.items():
+        y, x = rng.integers(0, 190, 2)
+        asked[i] = grey[y : y + 64, x : x + 64]
+        asked[10 + i] = grey[y : y + 64, x : x + 64] + rng.normal(0, 2, (64, 64))
+        asked[20 + i] = grey[y : y + 128, x : x + 128].reshape(64, 2, 64, 2).mean((1, 3))
+    png = lambda cells: [(i, bytearray(M.encode_png(np.clip(g, 0, 255).astype(np.uint8)))) for i, g in cells.items()]
+    frame = lambda cells: spark.createDataFrame(png(cells), "k long, image binary")
+    found = {(r.k, r.class_id) for r in M.find_copies(frame(large), frame(asked), "k", "image").collect() if r.kind == "match"}
+    true = {(q, q % 10) for q in asked}
+    kinds = [sum((k + i, i) in found for i in range(6)) for k in (0, 10, 20)]
+    assert kinds[0] >= 5 and kinds[1] >= 5, kinds
+    assert kinds[2] >= 3, kinds  # brute force finds all of half the size
+    assert len(found - true) <= 1

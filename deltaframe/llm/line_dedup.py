@@ -6,16 +6,18 @@ occurrence stays, in order of doc_id and place; equal lines are one group anyway
 
 Lines to compare are found by min-hashes of their word pairs, and of their runs of
 ``GRAM`` characters where they have at most ``SHORT`` characters: lines that agree in three of
-``MINIMA`` least hashes, in one of the combinations that ``AGREED`` gives, of which no two have more than one hash in common, share a bucket.
-With ``bits`` below 64 lines must also differ in at most so many bits of a 64-bit SimHash of
-their words; then the buckets are those of SimHashes that agree in all but ``bits`` of ``BLOCKS`` blocks.
+``MINIMA`` least hashes, in one of the combinations that ``AGREED`` gives, of which no two
+have more than one hash in common, share a bucket.  A SimHash with pigeonhole blocks cannot
+find them: of lines at similarity 0.8 the SimHashes of 64 bits differ in 5 bits at the median and
+9 at the ninth decile, so that a block would be 6 bits wide and a bucket hold a 64th of all lines.
 
 Within a bucket all lines are first held against the bucket's leader, which costs
 a row per line.  Components of these links are then contracted, and only lines
 outside their leader's component are held against the rest of the bucket, so that
-a large group of near copies is never paired with itself.
+a large group of near copies is never paired with itself.  Where that would still be
+more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash.
 
-Lines are known by the XXH64 of their reduced text.
+Lines are known by the XXH64 of their words and 32 more bits of another hash; links join the former.
 
 Cases: lines without a letter or digit are left as they are; a null text stays
 null and has no lines; an empty one has one, blank, line.  Rows of one doc_id count as one document
@@ -26,17 +28,12 @@ come after all others; other columns are not read and may have any name.
 from __future__ import annotations
 
 import random
-from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialise
+from .shared import Scratch, connected_components
 
-#: Bits in which the SimHashes of linked lines may differ; 64: any.
-BITS = 64
-BLOCKS = 4
 #: Least hashes of a line, and those of word pairs and of runs that make a bucket; shifted by one each time, no two combinations share two.
 MINIMA = 13
 AGREED = {"w": ((0, 1, 4),), "g": ((0, 1, 4), (0, 2, 7))}
@@ -44,17 +41,20 @@ AGREED = {"w": ((0, 1, 4),), "g": ((0, 1, 4), (0, 2, 7))}
 GRAM = 4
 SHORT = 80
 _FACTORS = [random.Random(20241 + k).getrandbits(31) | 1 for k in range(MINIMA)]
-#: Words whose bits are counted in a byte each, the topmost with a sign; longer lines are added up in pieces.
-PIECE = 127
 SIMILARITY = 0.8
-#: Lines whose places may be broadcast to fetch their texts; more are joined by a shuffle.
+#: Pairs that the lines of a bucket may make once its leader's group is known; beyond, the bucket is divided.
+PAIRS = 4096
+#: Rows of at most some 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
 _PLACES = 2**31
+#: Widths of the bands in which edits are looked for, one after the other.
+_BANDS = (8, 32, 128, 512, 2**31 - 1)
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    # a-z and 0-9 are letters and numbers as well; named first, they are told faster
+    return F.array_remove(F.split(F.lower(line), r"[^a-z0-9\p{L}\p{N}]+"), "")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -64,63 +64,38 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _majority(ones: list[Column], n: Column) -> Column:
-    """The bits that more than half of n words have set."""
-    signed = [1 << k if k < 63 else -(2**63) for k in range(64)]
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(ones[k] * 2 > n, F.lit(signed[k]).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)])
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(d, t, pos, line, simhash)`` of each line, ``line`` null for lines without words.
-
-    Words are hashed and their bits counted in eight sums of eight counters each;
-    the counters of a line are complete in one task but for a final merge.
-    """
-    # rows that repeat a document must not share counters: rows are numbered for this step alone
-    rows = _documents(docs).withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("row", "d", "t", F.posexplode("lines").alias("pos", "raw")).select("row", "d", "t", "pos", words_of(F.col("raw")).alias("words"))
-    found = F.when(F.size("words") > 0, F.xxhash64("words"))
-    words = lines.select("row", "d", "t", "pos", found.alias("line"), F.size("words").alias("size"), F.posexplode_outer("words").alias("k", "word"))
-    words = words.withColumn("h", F.xxhash64("word")).withColumn("piece", F.floor(F.col("k") / PIECE).cast("int"))
-    counter = F.lit(0x0101010101010101)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(counter)).alias(f"s{k}") for k in range(8)]
-    # the size is an aggregate, no key: a filter on it stays above the exchange, which both branches then share
-    counted = words.groupBy("row", "d", "t", "pos", "line", "piece").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), *sums)
-    # bit 8 * b + k is counted in byte b of sum k
-    ones = [F.shiftrightunsigned(f"s{bit % 8}", bit - bit % 8).bitwiseAND(F.lit(255)) for bit in range(64)]
-    short = counted.where(F.col("size") <= PIECE).select("d", "t", "pos", "line", _majority(ones, F.col("n")).alias("simhash"))
-    whole = counted.where(F.col("size") > PIECE).groupBy("row", "d", "t", "pos", "line").agg(F.sum("n").alias("n"), *[F.sum(c).alias(f"b{bit}") for bit, c in enumerate(ones)])
-    return short.unionByName(whole.select("d", "t", "pos", "line", _majority([F.col(f"b{bit}") for bit in range(64)], F.col("n")).alias("simhash")))
-
-
-def sketched(docs: DataFrame) -> DataFrame:
-    """``(d, t, pos, line, chars, w0.., g0..)`` of each line: least hashes of word pairs and, in short lines, of runs of characters."""
-    rows = _documents(docs).withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("row", "d", "t", F.posexplode("lines").alias("pos", "raw")).select("row", "d", "t", "pos", words_of(F.col("raw")).alias("words"))
-    lines = lines.withColumn("line", F.when(F.size("words") > 0, F.xxhash64("words"))).withColumn("text", F.array_join("words", " "))
-    lines = lines.withColumn("chars", F.char_length("text"))
-    edge = F.array(F.lit(""))
-    pairs = F.zip_with(F.concat(edge, "words"), F.concat("words", edge), lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), F.lit(False).alias("run")))
-    padded = F.concat(F.lit("\n" * (GRAM - 1)), "text", F.lit("\n" * (GRAM - 1)))
-    runs = F.transform(F.sequence(F.lit(1), F.col("chars") + GRAM - 1), lambda i: F.struct(F.xxhash64(F.substring(padded, i, F.lit(GRAM))).alias("h"), F.lit(True).alias("run")))
-    marks = F.when(F.col("line").isNull(), F.lit(None)).when(F.col("chars") <= SHORT, F.concat(pairs, runs)).otherwise(pairs)
-    marks = lines.select("row", "d", "t", "pos", "line", "chars", F.explode_outer(marks).alias("mark"))
-    marks = marks.select("row", "d", "t", "pos", "line", "chars", F.shiftrightunsigned("mark.h", 32).alias("h"), F.col("mark.run").alias("run"))
-    least = lambda run, k: F.min(F.when(F.col("run") == run, (F.col("h") * _FACTORS[k]).bitwiseAND(F.lit(0xFFFFFFFF))))
-    minima = [least(run, k).alias(f"{name}{k}") for name, run in (("w", False), ("g", True)) for k in range(MINIMA)]
-    return marks.groupBy("row", "d", "t", "pos", "line").agg(F.max("chars").alias("chars"), *minima).drop("row")
+    """``(d, t, pos, line, tag)`` of each line that has words."""
+    lines = _documents(docs).select("d", "t", F.posexplode("lines").alias("pos", "raw")).select("d", "t", "pos", words_of(F.col("raw")).alias("words"))
+    return lines.where(F.size("words") > 0).select("d", "t", "pos", F.xxhash64("words").alias("line"), F.hash("words").alias("tag"))
 
 
 def distinct_lines(occurred: DataFrame) -> DataFrame:
-    """``(line, first decimal, n)`` and what else is known of each distinct line: its first place and how often it occurs."""
+    """``(line, tag, first decimal, n)``: the first place of each distinct line and how often it occurs."""
     place = F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")
-    known = [c for c in occurred.columns if c not in ("d", "t", "pos", "line")]
-    return (
-        occurred.where(F.col("line").isNotNull())
-        .select("line", *known, place.cast("decimal(38,0)").alias("place"))
-        .groupBy("line")
-        .agg(*[F.min(c).alias(c) for c in known], F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    )
+    places = occurred.select("line", "tag", place.cast("decimal(38,0)").alias("place"))
+    return places.groupBy("line", "tag").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``(line, chars, w0.., g0..)`` of each distinct line: least hashes of word pairs and, in short lines, of runs of characters.
+
+    A row for each word and run is made and added up within one stage, before the exchange.
+    """
+    lines = _documents(docs).select(F.explode("lines").alias("raw")).select(words_of(F.col("raw")).alias("words")).where(F.size("words") > 0)
+    lines = lines.select(F.xxhash64("words").alias("line"), "words", F.size("words").alias("size"), F.array_join("words", " ").alias("text"))
+    lines = lines.withColumn("chars", F.char_length("text"))
+    edge = F.lit("\n" * (GRAM - 1))
+    lines = lines.withColumn("padded", F.when(F.col("chars") <= SHORT, F.concat(edge, "text", edge))).drop("text")
+    last = F.col("size") + F.when(F.col("padded").isNotNull(), F.col("chars") + GRAM - 1).otherwise(0)
+    marks = lines.select("line", "chars", "words", "size", "padded", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    run = F.col("k") > F.col("size")
+    pair = F.xxhash64(F.get("words", F.col("k") - 1), F.get("words", "k"))
+    gram = F.xxhash64(F.substring("padded", F.col("k") - F.col("size"), F.lit(GRAM)))
+    marks = marks.select("line", "chars", run.alias("run"), F.shiftrightunsigned(F.when(run, gram).otherwise(pair), 32).alias("h"))
+    least = lambda which, k: F.min(F.when(which, (F.col("h") * _FACTORS[k]).bitwiseAND(F.lit(0xFFFFFFFF))))
+    minima = [least(which, k).alias(f"{name}{k}") for name, which in (("w", ~F.col("run")), ("g", F.col("run"))) for k in range(MINIMA)]
+    return marks.groupBy("line").agg(F.max("chars").alias("chars"), *minima)
 
 
 def _place_columns(first: str) -> tuple[Column, Column]:
@@ -130,46 +105,38 @@ def _place_columns(first: str) -> tuple[Column, Column]:
     return ((F.col(first) - pos) / per).cast("decimal(38,0)").cast("long"), pos.cast("int")
 
 
-def _bucketed(keyed: DataFrame, seen: str) -> DataFrame:
-    """Lines with the leader of each bucket that holds more than one; ``seen`` is what pairs are chosen by."""
-    leaders = keyed.groupBy("key").agg(F.min("line").alias("leader"), F.min_by(seen, "line").alias(f"leader_{seen}"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return keyed.join(leaders, "key")
-
-
-def buckets(lines: DataFrame, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
-    """``(key, line, simhash, leader, leader_simhash)`` of the buckets that hold more than one line."""
-    blocks = max(blocks, bits + 1)
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
-    keys = []
-    for number, agreed in enumerate(combinations(masks, blocks - bits)):
-        mask = sum(agreed)
-        keys.append(F.xxhash64(F.lit(number), F.col("simhash").bitwiseAND(F.lit(mask - 2**64 if mask >= 2**63 else mask))))
-    return _bucketed(lines.select("line", "simhash", F.explode(F.array(*keys)).alias("key")), "simhash")
-
-
-def sketch_buckets(lines: DataFrame) -> DataFrame:
-    """``(key, line, chars, leader, leader_chars)`` of the buckets that hold more than one line."""
+def keyed(sketched: DataFrame) -> DataFrame:
+    """``(key, line, chars)``: the buckets each line is in."""
     keys = []
-    for name, combinations_ in AGREED.items():
+    for name, combinations in AGREED.items():
         for k in range(MINIMA):
-            for combination in combinations_:
+            for combination in combinations:
                 agreed = [f"{name}{(k + i) % MINIMA}" for i in combination]
                 keys.append(F.when(F.col(agreed[0]).isNotNull(), F.xxhash64(F.lit(" ".join(agreed)), *agreed)))
-    return _bucketed(lines.select("line", "chars", F.explode(F.filter(F.array(*keys), lambda key: key.isNotNull())).alias("key")), "chars")
+    return sketched.select("line", "chars", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+def _like(a: str, b: str, similarity: float) -> Column:
+    """Lines whose lengths differ by more than the edits allowed need not be read."""
+    return F.abs(F.col(a) - F.col(b)) <= (1 - F.lit(similarity)) * F.greatest(a, b) + 1e-9
+
+
+def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """``(line, text)``: the reduced texts of the wanted lines, read at their first places."""
     d, pos = _place_columns("first")
-    places = materialise(lines.join(wanted, "line", "left_semi").select(d.alias("d"), pos.alias("pos"), "line"), "line-places")
+    places = scratch.keep(lines.join(wanted, "line", "left_semi").select(d.alias("d"), pos.alias("pos"), "line"), "line-places")
     holders = places.select("d").distinct()
     if places.count() <= BROADCAST_ROWS:
         places, holders = F.broadcast(places), F.broadcast(holders)
     # documents without a wanted line are not cut into lines
     raw = _documents(docs).join(holders, "d", "left_semi").select("d", F.posexplode("lines").alias("pos", "raw"))
     found = raw.join(places, ["d", "pos"]).select("line", words_of(F.col("raw")).alias("words")).where(F.xxhash64("words") == F.col("line"))
-    return materialise(found.select("line", F.array_join("words", " ").alias("text")).dropDuplicates(["line"]), "line-texts")
+    return scratch.keep(found.select("line", F.array_join("words", " ").alias("text")).dropDuplicates(["line"]), "line-texts")
 
 
 def _common_start(a: str, b: str, steps: int = 10) -> Column:
@@ -191,84 +158,108 @@ def _without_common_start(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn(a, F.substring(F.col(a), F.col("at") + 1, rest)).withColumn(b, F.substring(F.col(b), F.col("at") + 1, rest)).drop("at")
 
 
-def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs ``(u, v)`` of lines whose edit similarity is large enough."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("u").alias("line")).unionByName(pairs.select(F.col("v").alias("line"))).distinct()
-    texts = texts_of(docs, lines, wanted)
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("line")).distinct()
+    texts = texts_of(docs, lines, wanted, scratch)
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("line").alias("v"), F.col("text").alias("right")), "v")
     most = F.floor((1 - F.lit(similarity)) * F.greatest(F.char_length("left"), F.char_length("right")) + 1e-9).cast("int")
     both = both.withColumn("most", most).where(F.abs(F.char_length("left") - F.char_length("right")) <= F.col("most"))
     both = _without_common_start(both, "left", "right").withColumn("left", F.reverse("left")).withColumn("right", F.reverse("right"))
     both = _without_common_start(both, "left", "right")
-    # few edits are found in a narrow band; only what needs more is given the full width
-    within = lambda limit: F.expr(f"levenshtein(left, right, least(most, {limit})) >= 0")
-    return both.where(F.when(within(8), True).when(within(32), True).otherwise(within(2**31 - 1))).select("u", "v")
+    # few edits are found in a narrow band; only what needs more is given a wider one
+    near = F.lit(False)
+    for width in reversed(_BANDS):
+        within = F.expr(f"levenshtein(left, right, least(most, {width})) >= 0")
+        near = F.when(within, True).when(F.col("most") <= width, False).otherwise(near)
+    return scratch.keep(both.where(near).select("u", "v"), "line-links")
+
+
+def _labelled(rows: DataFrame, vertex: str, components: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of a line, or the line itself, as a further column."""
+    known = components.select(F.col("vertex").alias(vertex), F.col("component").alias("known"))
+    return rows.join(known, vertex, "left").withColumn(name, F.coalesce("known", vertex)).drop("known")
+
+
+def _merged(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after more links: those of the links between components, one after the other."""
+    between = _labelled(_labelled(links, "u", components, "cu"), "v", components, "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    above = connected_components(between, "lines")
+    old = components.withColumnRenamed("component", "through").join(above.select(F.col("vertex").alias("through"), F.col("component").alias("top")), "through", "left")
+    old = old.select("vertex", F.coalesce("top", "through").alias("component"))
+    return scratch.keep(old.unionByName(above.join(components, "vertex", "left_anti")), "line-components")
 
 
-def groups(docs: DataFrame, lines: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, lines: DataFrame, sketched: DataFrame, similarity: float, scratch: Scratch, pairs: int = PAIRS) -> DataFrame:
     """``(vertex, component)`` of the lines that are linked to another one."""
-    if bits < 64:
-        seen, members = "simhash", buckets(lines, bits)
-        near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    else:
-        # lines whose lengths differ by more than the edits allowed need not be read
-        seen, members = "chars", sketch_buckets(lines)
-        near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= (1 - F.lit(similarity)) * F.greatest(a, b) + 1e-9
-    members = materialise(members, "line-buckets")
-    to_leader = members.where((F.col("line") != F.col("leader")) & near(seen, f"leader_{seen}")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
-    links = materialise(verified(docs, lines, to_leader, similarity), "line-links")
-    joined = connected_components(links, "lines")
-    own = joined.select(F.col("vertex").alias("line"), F.col("component").alias("own"))
-    led = joined.select(F.col("vertex").alias("leader"), F.col("component").alias("led"))
-    placed = (
-        members.join(own, "line", "left").join(led, "leader", "left")
-        .select("key", "line", seen, F.coalesce("own", "line").alias("own"), F.coalesce("led", "leader").alias("led"))
+    low = keyed(sketched).groupBy("key").agg(
+        F.min("line").alias("leader"), F.min_by("chars", "line").alias("leader_chars"), F.max("line").alias("other"), F.max_by("chars", "line").alias("other_chars"), F.count(F.lit(1)).alias("size")
     )
-    placed = materialise(placed, "line-placed")
-    apart = placed.where("own <> led").select("key", F.col("line").alias("a"), F.col(seen).alias("seen_a"), F.col("own").alias("own_a"))
-    rest = placed.select("key", F.col("line").alias("b"), F.col(seen).alias("seen_b"), F.col("own").alias("own_b"))
-    others = apart.join(rest, "key").where((F.col("own_a") != F.col("own_b")) & near("seen_a", "seen_b")).select("a", "b")
-    more = verified(docs, lines, others, similarity)
-    return connected_components(links.unionByName(more), "lines")
-
-
-def removals(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(d, t, gone array<boolean>)``: for each line of a document whether it goes."""
-    occurred = materialise(occurrences(docs) if bits < 64 else sketched(docs), "line-occurrences")
-    lines = materialise(distinct_lines(occurred), "line-distinct")
-    linked = groups(docs, lines, bits, similarity)
-    grouped = lines.join(linked, lines.line == linked.vertex, "left").select("line", "first", "n", F.coalesce("component", "line").alias("component"))
-    keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
+    low = scratch.keep(low.where("size > 1"), "line-leaders")
+    # two lines are a pair already; the lines of larger buckets are fetched
+    two = low.where("size = 2").where(_like("leader_chars", "other_chars", similarity)).select(F.col("leader").alias("a"), F.col("other").alias("b"))
+    large = scratch.keep(low.where("size > 2").select("key", "leader", "leader_chars", "size"), "line-large")
+    members = scratch.keep(keyed(sketched).join(_bounded(large), "key"), "line-buckets")
+    led = members.where((F.col("line") != F.col("leader")) & _like("chars", "leader_chars", similarity)).select(F.col("line").alias("a"), F.col("leader").alias("b"))
+    components = scratch.keep(connected_components(verified(docs, lines, two.unionByName(led), similarity, scratch), "lines"), "line-components")
+    placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "chars", "own", "led", "size"), "line-placed")
+    outside = placed.where("own <> led")
+    apart = scratch.keep(outside.groupBy("key").agg(F.count(F.lit(1)).alias("apart")), "line-apart")
+    if apart.isEmpty():
+        return components
+    placed = placed.join(_bounded(apart), "key").withColumn("many", F.col("apart") * F.col("size") > pairs)
+    further = [F.struct(F.lit(f"{name}{k}").alias("which"), F.col(f"{name}{k}").alias("value")) for name in AGREED for k in range(MINIMA)]
+    crowded = placed.where("many").join(sketched.select("line", F.filter(F.array(*further), lambda x: x["value"].isNotNull()).alias("minima")), "line")
+    crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "chars", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "chars", "own", "led")
+    dealt = scratch.keep(placed.where("not many").select("key", "line", "chars", "own", "led").unionByName(crowded), "line-dealt")
+    out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("chars").alias("chars_a"), F.col("own").alias("own_a"))
+    rest = dealt.select("key", F.col("line").alias("b"), F.col("chars").alias("chars_b"), F.col("own").alias("own_b"))
+    others = out.join(rest, "key").where((F.col("own_a") != F.col("own_b")) & _like("chars_a", "chars_b", similarity)).select("a", "b")
+    return _merged(components, verified(docs, lines, others, similarity, scratch), scratch)
+
+
+def removals(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
+    """``(d, t, gone array<int>)``: places of the lines that go, for each document that loses any."""
+    scratch = Scratch(docs.sparkSession)
+    occurred = scratch.keep(occurrences(docs), "line-occurrences")
+    lines = scratch.keep(distinct_lines(occurred), "line-distinct")
+    linked = groups(docs, lines, scratch.keep(sketches(docs), "line-sketches"), similarity, scratch, pairs)
+    # a line that occurs once and is linked to none needs no decision
+    alone = lines.where("n = 1").join(linked, lines.line == linked.vertex, "left_semi").unionByName(lines.where("n > 1"))
+    grouped = scratch.keep(_labelled(alone, "line", linked, "component"), "line-grouped")
+    keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     kept_d, kept_pos = _place_columns("keeper")
-    decided = grouped.select("line", "component").join(keepers.select("component", kept_d.alias("kept_d"), kept_pos.alias("kept_pos")), "component").drop("component")
-    flags = occurred.select("d", "t", "pos", "line").join(decided, "line", "left")
-    gone = F.col("kept_d").isNotNull() & ~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos")))
-    collected = flags.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("pos", gone.alias("gone")))).alias("flags"))
-    return collected.select("d", "t", F.col("flags.gone").alias("gone"))
+    decided = grouped.select("line", "tag", "component").join(keepers.select("component", kept_d.alias("kept_d"), kept_pos.alias("kept_pos")), "component").drop("component")
+    going = occurred.join(decided, ["line", "tag"]).where(~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos"))))
+    gone = scratch.result(going.groupBy("d", "t").agg(F.collect_set("pos").alias("gone")), "line-gone")
+    scratch.clear()
+    return gone
 
 
-def _apply(docs: DataFrame, bits: int, similarity: float) -> DataFrame:
+def _apply(docs: DataFrame, similarity: float, pairs: int) -> DataFrame:
     """Each row of ``docs`` as struct ``row`` with its lines and those that stay."""
-    flags = removals(docs, bits, similarity)
+    gone = removals(docs, similarity, pairs)
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    keyed = whole.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST))).withColumn("t", F.xxhash64("row.text"))
-    joined = keyed.join(flags.hint("shuffle_hash"), ["d", "t"], "left").withColumn("lines", F.split("row.text", "\n"))
-    # a blank line has a flag too: places and flags correspond one to one
-    return joined.withColumn("stay", F.filter("lines", lambda _, i: ~F.get("gone", i)))
+    rows = whole.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST))).withColumn("t", F.xxhash64("row.text"))
+    joined = rows.join(_bounded(gone), ["d", "t"], "left").withColumn("lines", F.split("row.text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    return joined.withColumn("stay", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i))))
 
 
-def dedup_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
     """Every document without its repeated lines: doc_id, n_lines, n_removed, text."""
-    out = _apply(docs, bits, similarity)
+    out = _apply(docs, similarity, pairs)
     n = F.coalesce(F.size("lines"), F.lit(0))
     n = F.when(F.col("row.text").isNull(), 0).otherwise(n)
     removed = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines") - F.size("stay"))
     return out.select(F.col("row.doc_id").alias("doc_id"), n.cast("int").alias("n_lines"), removed.cast("int").alias("n_removed"), F.array_join("stay", "\n").alias("text"))
 
 
-def keep_first_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first_lines(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
     """``documents`` with the remaining text (n_chars counted anew) and all other columns as they were."""
-    out = _apply(docs, bits, similarity).withColumn("kept", F.array_join("stay", "\n"))
+    out = _apply(docs, similarity, pairs).withColumn("kept", F.array_join("stay", "\n"))
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])

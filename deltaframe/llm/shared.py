@@ -63,6 +63,28 @@ def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables in the shared folder, removed once what follows from them has been written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialise_at(df, name)
+        self.paths.append(path)
+        return out
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Written like the others, but not removed with them."""
+        return materialise(df, name)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths.clear()
+
+
 def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column: one aggregate over the whole table."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()

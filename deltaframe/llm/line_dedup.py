@@ -5,8 +5,8 @@ if their edit similarity is at least ``SIMILARITY``.  Of each connected group th
 occurrence stays, in order of doc_id and place; equal lines are one group anyway.
 
 Lines to compare are found by min-hashes of their word pairs, and of their runs of
-``GRAM`` characters where they have at most ``SHORT`` characters: lines that agree in three of
-``MINIMA`` least hashes, in one of the combinations that ``AGREED`` gives, of which no two
+``GRAM`` characters where they have at most ``SHORT`` characters or hardly any words: lines that agree in three of
+their least hashes, in one of the combinations ``AGREED``, of which no two
 have more than one hash in common, share a bucket.  A SimHash with pigeonhole blocks cannot
 find them: of lines at similarity 0.8 the SimHashes of 64 bits differ in 5 bits at the median and
 9 at the ninth decile, so that a block would be 6 bits wide and a bucket hold a 64th of all lines.
@@ -17,7 +17,11 @@ outside their leader's component are held against the rest of the bucket, so tha
 a large group of near copies is never paired with itself.  Where that would still be
 more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash.
 
-Lines are known by the XXH64 of their words and 32 more bits of another hash; links join the former.
+Two lines are first aligned greedily word by word; the edits of that alignment are enough for most similar
+pairs.  For the others the edit distance is computed, up to ``LONG`` characters; longer
+lines are judged by the alignment alone.
+
+Lines are known by the XXH64 of their text and 32 more bits of another hash; links join the former.
 
 Cases: lines without a letter or digit are left as they are; a null text stays
 null and has no lines; an empty one has one, blank, line.  Rows of one doc_id count as one document
@@ -32,15 +36,24 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, connected_components
+from .shared import Scratch, connected_components, materialise
 
-#: Least hashes of a line, and those of word pairs and of runs that make a bucket; shifted by one each time, no two combinations share two.
-MINIMA = 13
-AGREED = {"w": ((0, 1, 4),), "g": ((0, 1, 4), (0, 2, 7))}
+#: Least hashes of a line's word pairs (w) and runs (g), and which of them make a bucket together: the triples of a
+#: Steiner system of nine points for pairs; for runs, of which a changed letter spoils more, of thirteen points.
+MINIMA = {"w": 9, "g": 13}
+AGREED = {
+    "w": ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)),
+    "g": tuple(tuple((k + i) % 13 for i in first) for first in ((0, 1, 4), (0, 2, 7)) for k in range(13)),
+}
 #: Characters of a run, and of a line whose runs are looked at.
 GRAM = 4
 SHORT = 80
-_FACTORS = [random.Random(20241 + k).getrandbits(31) | 1 for k in range(MINIMA)]
+#: Characters a word from which on a line hardly has words, as in scripts without spaces.
+WORDLESS = 30
+#: Characters of a line whose edit distance is computed, and of a word within an alignment.
+LONG = 16_384
+WORD = 64
+_FACTORS = [random.Random(20241 + k).getrandbits(31) | 1 for k in range(max(MINIMA.values()))]
 SIMILARITY = 0.8
 #: Pairs that the lines of a bucket may make once its leader's group is known; beyond, the bucket is divided.
 PAIRS = 4096
@@ -48,8 +61,6 @@ PAIRS = 4096
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
 _PLACES = 2**31
-#: Widths of the bands in which edits are looked for, one after the other.
-_BANDS = (8, 32, 128, 512, 2**31 - 1)
 
 
 def words_of(line: Column) -> Column:
@@ -64,38 +75,35 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``(d, t, pos, line, tag)`` of each line that has words."""
-    lines = _documents(docs).select("d", "t", F.posexplode("lines").alias("pos", "raw")).select("d", "t", "pos", words_of(F.col("raw")).alias("words"))
-    return lines.where(F.size("words") > 0).select("d", "t", "pos", F.xxhash64("words").alias("line"), F.hash("words").alias("tag"))
+def _place() -> Column:
+    """A line's document and place in one number."""
+    return (F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def distinct_lines(occurred: DataFrame) -> DataFrame:
-    """``(line, tag, first decimal, n)``: the first place of each distinct line and how often it occurs."""
-    place = F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")
-    places = occurred.select("line", "tag", place.cast("decimal(38,0)").alias("place"))
-    return places.groupBy("line", "tag").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+def _named_lines(docs: DataFrame) -> DataFrame:
+    lines = _documents(docs).select("d", "t", F.posexplode("lines").alias("pos", "raw"))
+    return lines.select("d", "t", "pos", "raw", F.xxhash64("raw").alias("line"), F.hash("raw").alias("tag"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(line, chars, w0.., g0..)`` of each distinct line: least hashes of word pairs and, in short lines, of runs of characters.
+    """``(line, tag, first decimal, n, chars, w0.., g0..)`` of each distinct line with words.
 
-    A row for each word and run is made and added up within one stage, before the exchange.
+    Its first place, how often it occurs, and least hashes of its word pairs and, in some lines, of runs of
+    characters.  A row for each word and run is made and added up within one stage, before the exchange.
     """
-    lines = _documents(docs).select(F.explode("lines").alias("raw")).select(words_of(F.col("raw")).alias("words")).where(F.size("words") > 0)
-    lines = lines.select(F.xxhash64("words").alias("line"), "words", F.size("words").alias("size"), F.array_join("words", " ").alias("text"))
-    lines = lines.withColumn("chars", F.char_length("text"))
-    edge = F.lit("\n" * (GRAM - 1))
-    lines = lines.withColumn("padded", F.when(F.col("chars") <= SHORT, F.concat(edge, "text", edge))).drop("text")
-    last = F.col("size") + F.when(F.col("padded").isNotNull(), F.col("chars") + GRAM - 1).otherwise(0)
-    marks = lines.select("line", "chars", "words", "size", "padded", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    lines = _named_lines(docs).withColumn("words", words_of(F.col("raw"))).where(F.size("words") > 0)
+    lines = lines.withColumn("size", F.size("words")).withColumn("text", F.array_join("words", " ")).withColumn("chars", F.char_length("text"))
+    lines = lines.withColumn("letters", F.when((F.col("chars") <= SHORT) | (F.col("chars") >= F.col("size") * WORDLESS), F.split("text", ""))).drop("text", "raw", "t")
+    last = F.col("size") + F.when(F.col("letters").isNotNull(), F.col("chars") + GRAM - 1).otherwise(0)
+    marks = lines.select("line", "tag", "d", "pos", "chars", "words", "size", "letters", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     run = F.col("k") > F.col("size")
     pair = F.xxhash64(F.get("words", F.col("k") - 1), F.get("words", "k"))
-    gram = F.xxhash64(F.substring("padded", F.col("k") - F.col("size"), F.lit(GRAM)))
-    marks = marks.select("line", "chars", run.alias("run"), F.shiftrightunsigned(F.when(run, gram).otherwise(pair), 32).alias("h"))
+    gram = F.xxhash64(*[F.coalesce(F.get("letters", F.col("k") - F.col("size") - GRAM + i), F.lit("")) for i in range(GRAM)], F.lit(1))
+    marks = marks.select("line", "tag", "d", "pos", "chars", "k", run.alias("run"), F.shiftrightunsigned(F.when(run, gram).otherwise(pair), 32).alias("h"))
     least = lambda which, k: F.min(F.when(which, (F.col("h") * _FACTORS[k]).bitwiseAND(F.lit(0xFFFFFFFF))))
-    minima = [least(which, k).alias(f"{name}{k}") for name, which in (("w", ~F.col("run")), ("g", F.col("run"))) for k in range(MINIMA)]
-    return marks.groupBy("line").agg(F.max("chars").alias("chars"), *minima)
+    minima = [least(which, k).alias(f"{name}{k}") for name, which in (("w", ~F.col("run")), ("g", F.col("run"))) for k in range(MINIMA[name])]
+    here = F.col("k") == 0
+    return marks.groupBy("line", "tag").agg(F.min(F.when(here, _place())).alias("first"), F.sum(here.cast("long")).alias("n"), F.max("chars").alias("chars"), *minima)
 
 
 def _place_columns(first: str) -> tuple[Column, Column]:
@@ -109,10 +117,9 @@ def keyed(sketched: DataFrame) -> DataFrame:
     """``(key, line, chars)``: the buckets each line is in."""
     keys = []
     for name, combinations in AGREED.items():
-        for k in range(MINIMA):
-            for combination in combinations:
-                agreed = [f"{name}{(k + i) % MINIMA}" for i in combination]
-                keys.append(F.when(F.col(agreed[0]).isNotNull(), F.xxhash64(F.lit(" ".join(agreed)), *agreed)))
+        for agreed in combinations:
+            columns = [f"{name}{i}" for i in agreed]
+            keys.append(F.when(F.col(columns[0]).isNotNull(), F.xxhash64(F.lit(" ".join(columns)), *columns)))
     return sketched.select("line", "chars", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
@@ -135,27 +142,36 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scra
         places, holders = F.broadcast(places), F.broadcast(holders)
     # documents without a wanted line are not cut into lines
     raw = _documents(docs).join(holders, "d", "left_semi").select("d", F.posexplode("lines").alias("pos", "raw"))
-    found = raw.join(places, ["d", "pos"]).select("line", words_of(F.col("raw")).alias("words")).where(F.xxhash64("words") == F.col("line"))
-    return scratch.keep(found.select("line", F.array_join("words", " ").alias("text")).dropDuplicates(["line"]), "line-texts")
+    found = raw.join(places, ["d", "pos"]).where(F.xxhash64("raw") == F.col("line"))
+    return scratch.keep(found.select("line", F.array_join(words_of(F.col("raw")), " ").alias("text")).dropDuplicates(["line"]), "line-texts")
 
 
-def _common_start(a: str, b: str, steps: int = 10) -> Column:
-    """How much (or nearly how much) two strings start with in common, found by halving."""
-    step = F.floor(F.least(F.char_length(a), F.char_length(b)) / 2).cast("int")
+def aligned_edits(left: str, right: str) -> Column:
+    """Edits of a greedy alignment of two texts word by word, at least their edit distance.
 
-    def longer(found: Column, _: Column) -> Column:
-        at, width = found["at"], found["width"]
-        same = (width > 0) & (F.substring(F.col(a), at + 1, width) == F.substring(F.col(b), at + 1, width))
-        return F.struct(F.when(same, at + width).otherwise(at).alias("at"), F.ceil(width / 2).cast("int").alias("width"))
+    Where two words differ, the next two words of the right are looked at, then the next of the left; else
+    one word becomes the other.
+    """
+    ours, theirs = F.split(left, " "), F.split(right, " ")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("at"), step.alias("width")), longer, lambda found: found["at"])
+    def step(state: Column, i: Column) -> Column:
+        j = state["j"]
+        here, there, then, after = F.get(ours, i), F.get(theirs, j), F.get(theirs, j + 1), F.get(theirs, j + 2)
+        size, other = F.char_length(here), F.char_length(there)
+        to = lambda place, edits: F.struct(place.alias("j"), (state["edits"] + edits).alias("edits"))
+        changed = F.when(F.greatest(size, other) > WORD, F.greatest(size, other)).otherwise(F.levenshtein(here, there))
+        return (
+            F.when(here == there, to(j + 1, F.lit(0)))
+            .when(here == then, to(j + 2, other + 1))
+            .when(there.isNull() | (F.get(ours, i + 1) == there), to(j, size + 1))
+            .when(here == after, to(j + 3, other + F.char_length(then) + 2))
+            .otherwise(to(j + 1, changed))
+        )
 
+    def finish(state: Column) -> Column:
+        return F.aggregate(F.slice(theirs, state["j"] + 1, F.size(theirs)), state["edits"], lambda edits, word: edits + F.char_length(word) + 1)
 
-def _without_common_start(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Both strings without what they start with in common; their edit distance stays."""
-    rest = F.lit(2**31 - 1)
-    df = df.withColumn("at", _common_start(a, b))
-    return df.withColumn(a, F.substring(F.col(a), F.col("at") + 1, rest)).withColumn(b, F.substring(F.col(b), F.col("at") + 1, rest)).drop("at")
+    return F.aggregate(F.sequence(F.lit(0), F.size(ours) - 1), F.struct(F.lit(0).alias("j"), F.lit(0).alias("edits")), step, finish)
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -168,13 +184,8 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("line").alias("v"), F.col("text").alias("right")), "v")
     most = F.floor((1 - F.lit(similarity)) * F.greatest(F.char_length("left"), F.char_length("right")) + 1e-9).cast("int")
     both = both.withColumn("most", most).where(F.abs(F.char_length("left") - F.char_length("right")) <= F.col("most"))
-    both = _without_common_start(both, "left", "right").withColumn("left", F.reverse("left")).withColumn("right", F.reverse("right"))
-    both = _without_common_start(both, "left", "right")
-    # few edits are found in a narrow band; only what needs more is given a wider one
-    near = F.lit(False)
-    for width in reversed(_BANDS):
-        within = F.expr(f"levenshtein(left, right, least(most, {width})) >= 0")
-        near = F.when(within, True).when(F.col("most") <= width, False).otherwise(near)
+    exact = F.expr("levenshtein(left, right, most) >= 0")
+    near = F.when(aligned_edits("left", "right") <= F.col("most"), True).otherwise((F.greatest(F.char_length("left"), F.char_length("right")) <= LONG) & exact)
     return scratch.keep(both.where(near).select("u", "v"), "line-links")
 
 
@@ -193,16 +204,16 @@ def _merged(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFr
     return scratch.keep(old.unionByName(above.join(components, "vertex", "left_anti")), "line-components")
 
 
-def groups(docs: DataFrame, lines: DataFrame, sketched: DataFrame, similarity: float, scratch: Scratch, pairs: int = PAIRS) -> DataFrame:
+def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratch, pairs: int = PAIRS) -> DataFrame:
     """``(vertex, component)`` of the lines that are linked to another one."""
-    low = keyed(sketched).groupBy("key").agg(
+    low = keyed(lines).groupBy("key").agg(
         F.min("line").alias("leader"), F.min_by("chars", "line").alias("leader_chars"), F.max("line").alias("other"), F.max_by("chars", "line").alias("other_chars"), F.count(F.lit(1)).alias("size")
     )
     low = scratch.keep(low.where("size > 1"), "line-leaders")
     # two lines are a pair already; the lines of larger buckets are fetched
     two = low.where("size = 2").where(_like("leader_chars", "other_chars", similarity)).select(F.col("leader").alias("a"), F.col("other").alias("b"))
     large = scratch.keep(low.where("size > 2").select("key", "leader", "leader_chars", "size"), "line-large")
-    members = scratch.keep(keyed(sketched).join(_bounded(large), "key"), "line-buckets")
+    members = scratch.keep(keyed(lines).join(_bounded(large), "key"), "line-buckets")
     led = members.where((F.col("line") != F.col("leader")) & _like("chars", "leader_chars", similarity)).select(F.col("line").alias("a"), F.col("leader").alias("b"))
     components = scratch.keep(connected_components(verified(docs, lines, two.unionByName(led), similarity, scratch), "lines"), "line-components")
     placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "chars", "own", "led", "size"), "line-placed")
@@ -211,8 +222,8 @@ def groups(docs: DataFrame, lines: DataFrame, sketched: DataFrame, similarity: f
     if apart.isEmpty():
         return components
     placed = placed.join(_bounded(apart), "key").withColumn("many", F.col("apart") * F.col("size") > pairs)
-    further = [F.struct(F.lit(f"{name}{k}").alias("which"), F.col(f"{name}{k}").alias("value")) for name in AGREED for k in range(MINIMA)]
-    crowded = placed.where("many").join(sketched.select("line", F.filter(F.array(*further), lambda x: x["value"].isNotNull()).alias("minima")), "line")
+    further = [F.struct(F.lit(f"{name}{k}").alias("which"), F.col(f"{name}{k}").alias("value")) for name, n in MINIMA.items() for k in range(n)]
+    crowded = placed.where("many").join(lines.select("line", F.filter(F.array(*further), lambda x: x["value"].isNotNull()).alias("minima")), "line")
     crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "chars", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "chars", "own", "led")
     dealt = scratch.keep(placed.where("not many").select("key", "line", "chars", "own", "led").unionByName(crowded), "line-dealt")
     out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("chars").alias("chars_a"), F.col("own").alias("own_a"))
@@ -224,17 +235,18 @@ def groups(docs: DataFrame, lines: DataFrame, sketched: DataFrame, similarity: f
 def removals(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
     """``(d, t, gone array<int>)``: places of the lines that go, for each document that loses any."""
     scratch = Scratch(docs.sparkSession)
-    occurred = scratch.keep(occurrences(docs), "line-occurrences")
-    lines = scratch.keep(distinct_lines(occurred), "line-distinct")
-    linked = groups(docs, lines, scratch.keep(sketches(docs), "line-sketches"), similarity, scratch, pairs)
+    lines = scratch.keep(sketches(docs), "line-sketches")
+    linked = groups(docs, lines, similarity, scratch, pairs)
     # a line that occurs once and is linked to none needs no decision
+    lines = lines.select("line", "tag", "first", "n")
     alone = lines.where("n = 1").join(linked, lines.line == linked.vertex, "left_semi").unionByName(lines.where("n > 1"))
     grouped = scratch.keep(_labelled(alone, "line", linked, "component"), "line-grouped")
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     kept_d, kept_pos = _place_columns("keeper")
     decided = grouped.select("line", "tag", "component").join(keepers.select("component", kept_d.alias("kept_d"), kept_pos.alias("kept_pos")), "component").drop("component")
-    going = occurred.join(decided, ["line", "tag"]).where(~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos"))))
-    gone = scratch.result(going.groupBy("d", "t").agg(F.collect_set("pos").alias("gone")), "line-gone")
+    decided = _bounded(scratch.keep(decided, "line-decided"))
+    going = _named_lines(docs).drop("raw").join(decided, ["line", "tag"]).where(~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos"))))
+    gone = materialise(going.groupBy("d", "t").agg(F.collect_set("pos").alias("gone")), "line-gone")
     scratch.clear()
     return gone
 
@@ -244,7 +256,9 @@ def _apply(docs: DataFrame, similarity: float, pairs: int) -> DataFrame:
     gone = removals(docs, similarity, pairs)
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     rows = whole.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST))).withColumn("t", F.xxhash64("row.text"))
-    joined = rows.join(_bounded(gone), ["d", "t"], "left").withColumn("lines", F.split("row.text", "\n"))
+    if (gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0) <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    joined = rows.join(gone, ["d", "t"], "left").withColumn("lines", F.split("row.text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return joined.withColumn("stay", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i))))
 

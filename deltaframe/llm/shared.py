@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,29 @@ def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _place(uri: str) -> tuple[pa.fs.FileSystem | None, str]:
+    scheme = urlparse(uri).scheme
+    if scheme in ("", "file"):
+        return None, unquote(urlparse(uri).path) if scheme else uri
+    return pa.fs.FileSystem.from_uri(uri)
+
+
+@contextmanager
+def open_read(uri: str) -> Iterator[BinaryIO]:
+    fs, path = _place(uri)
+    with open(path, "rb", buffering=0) if fs is None else fs.open_input_file(path) as f:
+        yield f
+
+
+@contextmanager
+def open_write(uri: str) -> Iterator[BinaryIO]:
+    fs, path = _place(uri)
+    if fs is None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") if fs is None else fs.open_output_stream(path) as f:
+        yield f
+
+
 class Scratch:
     """Tables in the shared folder, removed once what follows from them has been written."""
 
@@ -75,10 +102,6 @@ class Scratch:
         self.paths.append(path)
         return out
 
-    def result(self, df: DataFrame, name: str) -> DataFrame:
-        """Written like the others, but not removed with them."""
-        return materialise(df, name)
-
     def clear(self) -> None:
         for path in self.paths:
             delete_path(self.spark, path)
@@ -104,6 +127,22 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_r
         yield batch.slice(start)
 
 
+def keep_rows(df: DataFrame, text: str, chooser: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` whose text is chosen, with all columns as they are.  No shuffle; the text travels once.
+
+    ``chooser`` is called once in each task and gives what decides for lists of texts.
+    """
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose = chooser()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(choose(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as long pairs ``(u, v)``.
 

@@ -19,21 +19,18 @@ not read.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import BinaryIO
-from urllib.parse import quote, unquote, urlparse
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ensure_importable, materialise, scratch_path, slices
+from .shared import ensure_importable, materialise, open_read, open_write, scratch_path, slices
 
 REVISIT_BYTES = 100
 RANGE_BYTES = 4 << 20
@@ -84,32 +81,6 @@ def parse_header(head: bytes) -> dict[str, str] | None:
     return out if out.get("content-length", "").isdigit() and "warc-type" in out else None
 
 
-# -- places --------------------------------------------------------------------------------------
-
-
-def _place(uri: str) -> tuple[pa.fs.FileSystem | None, str]:
-    scheme = urlparse(uri).scheme
-    if scheme in ("", "file"):
-        return None, unquote(urlparse(uri).path) if scheme else uri
-    return pa.fs.FileSystem.from_uri(uri)
-
-
-@contextmanager
-def open_read(uri: str) -> Iterator[BinaryIO]:
-    fs, path = _place(uri)
-    with open(path, "rb", buffering=0) if fs is None else fs.open_input_file(path) as f:
-        yield f
-
-
-@contextmanager
-def open_write(uri: str) -> Iterator[BinaryIO]:
-    fs, path = _place(uri)
-    if fs is None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") if fs is None else fs.open_output_stream(path) as f:
-        yield f
-
-
 # -- writing ---------------------------------------------------------------------------------------
 
 

@@ -7,30 +7,36 @@ occurs unchanged.  An automaton finds the pieces in a document.  From a piece th
 match is verified upwards: two neighbouring pieces may have one edit, four three,
 and so on up to the whole item; Myers' bit-parallel algorithm counts the edits.
 
-Items are sent to the tasks in blocks of about ``BLOCK_BYTES``; a larger
-benchmark is matched block by block, each against all documents.
+Items of fewer than ``LEAST_CHARS`` reduced characters must occur exactly, between word bounds.
 
-Cases: null and empty texts hold nothing; an item of fewer than ``LEAST_CHARS``
-reduced characters is found only where it is the whole document, an item without
-any never; equal rows each give their own rows; items of one id but several texts
-count with the closest; a null id is kept as it is; other columns are not read.
+Items are dealt to blocks of about ``BLOCK_BYTES``.  One block travels with the tasks; several lie in
+the shared folder, and a task holds what it has read of the documents, some ``HELD_BYTES`` at a time, against
+one block after the other, so that documents are read once however many items there are.
+
+Cases: null and empty texts hold nothing, an item without a letter or digit is never found; equal rows each give
+their own rows; items of one id but several texts count with the closest; a null id is kept as it is; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, text_bytes
+from .shared import materialise, open_read, open_write, scratch_path, slices, text_bytes
 
 ERROR_RATE = 0.1
 LEAST_CHARS = 25
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
+HELD_BYTES = 32 << 20
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -70,19 +76,41 @@ def closest(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def shortest(masks: dict[str, int], m: int, text: str, edits: int) -> int:
+    """Length of the shortest start of ``text`` that is ``edits`` away from a pattern of length m."""
+    ones = (1 << m) - 1
+    top = 1 << m - 1
+    plus, minus, score = ones, 0, m
+    if score == edits:
+        return 0
+    for j, c in enumerate(text, 1):
+        eq = masks.get(c, 0)
+        vertical = eq | minus
+        diagonal = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | ones & ~(diagonal | plus)
+        down = plus & diagonal
+        score += bool(up & top) - bool(down & top)
+        if score == edits:
+            return j
+        up = up << 1 | 1  # each letter of the text before the pattern is an edit
+        plus = (down << 1 | ~(vertical | up)) & ones
+        minus = up & vertical
+    return len(text)
+
+
 class Matcher:
     """All items of a block as one automaton over their pieces."""
 
     def __init__(self, items: list[tuple[object, str | None]], rate: float = ERROR_RATE, least: int = LEAST_CHARS) -> None:
         texts = sorted({(reduce_text(t), i) for i, t in items}, key=str)
         self.items = [(i, t) for t, i in texts if t]
-        self.whole: dict[str, list[int]] = {}
         self.masks: dict[tuple[int, int, int], dict[str, int]] = {}
         self.budget = [int(rate * len(t)) for _, t in self.items]
         pieces: dict[str, list[tuple[int, int, int, tuple]]] = {}
         for k, (_, t) in enumerate(self.items):
             if len(t) < least:
-                self.whole.setdefault(t, []).append(k)
+                self.budget[k] = 0
+                pieces.setdefault(f" {t} ", []).append((k, 0, len(t), ()))
                 continue
             n = self.budget[k] + 1
             cuts = [i * len(t) // n for i in range(n + 1)]
@@ -111,78 +139,141 @@ class Matcher:
             self.masks[k, a, z] = letter_masks(self.items[k][1][a:z])
         return closest(self.masks[k, a, z], z - a, text)
 
-    def find(self, raw: str | None) -> list[tuple[object, int, int, int, int]]:
-        """``(item id, edits, item length, start, end)`` of each item's closest occurrence in the reduced text."""
-        text = reduce_text(raw)
-        best: dict[int, tuple[int, int, int]] = {k: (0, 0, len(text)) for k in self.whole.get(text, ())}
-        for end, (size, where) in () if self.empty or not text else self.automaton.iter(text):
-            start = end - size + 1
+    def _hits(self, text: str, passed: dict[int, tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """``(item, edits, start, end)`` of what is within its budget; items that ``passed`` has without edits are not looked at again."""
+        looked: dict[int, tuple[int, int]] = {}  # by item: the stretch that the whole item was last held against
+        # pieces of words lie anywhere, short items between two spaces
+        for end, (size, where) in () if self.empty or not text else self.automaton.iter(f" {text} "):
+            start = end - size
             for k, a, z, above in where:
-                if k in best and best[k][0] == 0:
+                if k in passed and passed[k][0] == 0:
+                    continue
+                edits, stop = 0, end
+                if not self.budget[k]:
+                    start, stop = start + (size > z - a), start + (size > z - a) + z - a
+                most, whole = self.budget[k], start - a + len(self.items[k][1])
+                if above and k in looked and looked[k][0] <= max(0, start - a - most) and min(len(text), whole + most) <= looked[k][1]:
                     continue
-                edits, stop = 0, end + 1
                 for pa_, pz, allowed in above:
-                    lo = max(0, start - (a - pa_) - allowed)
-                    edits, stop = self._closest(k, pa_, pz, text[lo : start + (pz - a) + allowed])
+                    lo, hi = max(0, start - (a - pa_) - allowed), start + (pz - a) + allowed
+                    if allowed == most:  # further pieces of the same occurrence need not look again
+                        lo, hi = max(0, lo - most), hi + most
+                        looked[k] = lo, hi
+                    edits, stop = self._closest(k, pa_, pz, text[lo:hi])
                     stop += lo
                     if edits > allowed:
                         break
                 else:
-                    if k not in best or (edits, stop) < (best[k][0], best[k][2]):
-                        best[k] = edits, start - a, stop
+                    yield k, edits, start - a, stop
+
+    def holds(self, raw: str | None) -> bool:
+        """Whether any item occurs."""
+        return next(self._hits(reduce_text(raw), {}), None) is not None
+
+    def find(self, raw: str | None) -> list[tuple[object, int, int, int, int]]:
+        """``(item id, edits, item length, start, end)`` of each item's closest occurrence in the reduced text."""
+        text = reduce_text(raw)
+        best: dict[int, tuple[int, int, int]] = {}
+        for k, edits, start, stop in self._hits(text, best):
+            if k not in best or (edits, stop) < (best[k][0], best[k][2]):
+                best[k] = edits, start, stop
         out: dict[object, tuple[object, int, int, int, int]] = {}
         for k, (edits, _, stop) in best.items():
             ident, t = self.items[k]
-            if len(t) == stop and edits == 0:
-                begin = 0
-            else:  # the end is known: the start is the end of the reversed match
-                back = text[max(0, stop - len(t) - edits) : stop][::-1]
-                begin = stop - self._reversed_end(t, back, edits)
+            # the end is known: the start is the end of the reversed match
+            back = text[max(0, stop - len(t) - edits) : stop][::-1]
+            begin = stop - shortest(letter_masks(t[::-1]), len(t), back, edits)
             row = ident, edits, len(t), begin, stop
             if ident not in out or row[1:] < out[ident][1:]:
                 out[ident] = row
         return sorted(out.values(), key=str)
 
-    @staticmethod
-    def _reversed_end(item: str, back: str, edits: int) -> int:
-        """Length of the shortest stretch at the start of ``back`` that is ``edits`` away from the reversed item."""
-        row = list(range(len(item) + 1))
-        item = item[::-1]
-        if row[-1] == edits:
-            return 0
-        for j, c in enumerate(back, 1):
-            previous, row = row, [j]
-            for i, x in enumerate(item):
-                row.append(min(previous[i] + (x != c), previous[i + 1] + 1, row[i] + 1))
-            if row[-1] == edits:
-                return j
-        return len(back)
-
-
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about ``block_bytes``, one after the other."""
+
+@dataclass
+class Blocks:
+    """The items, as they are where they fit into one block, else by the files of their blocks."""
+
+    items: list[tuple[object, str]] | None
+    paths: list[str]
+    rate: float
+
+    def matchers(self) -> Iterator[Matcher]:
+        if self.items is not None:
+            yield Matcher(self.items, self.rate)
+        for path in self.paths:
+            with open_read(path) as f:
+                yield Matcher(list(zip(*(c.to_pylist() for c in pq.read_table(pa.py_buffer(f.read())).columns), strict=True)), self.rate)
+
+
+def item_blocks(benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """The items of ``(item_id, text)``: a block's worth comes to the driver, more is written to the shared folder."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     _, size = text_bytes(items, "text")
     n = max(1, -(-size // block_bytes))
-    for block in range(n):
-        here = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
-        yield [(r.item_id, r.text) for r in here.toLocalIterator()]
-
-
-def find_items(df: DataFrame, key: str, text: str, items: list[tuple[object, str]], item_type: str, rate: float = ERROR_RATE) -> DataFrame:
+    if n == 1:
+        return Blocks([(r.item_id, r.text) for r in items.collect()], [], rate)
+    dealt = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"), "item_id", "text").repartition(n, "block")
+    folder = scratch_path(benchmark.sparkSession, "benchmark")
+    places: list[str] = []
+
+    def write(rows: pa.Table) -> pa.Table:
+        path = f"{folder}/block-{uuid.uuid4().hex}.parquet"
+        with open_write(path) as out:
+            pq.write_table(rows.select(["item_id", "text"]), out)
+        return pa.table({"path": [path]})
+
+    places = [r.path for r in materialise(dealt.groupBy("block").applyInArrow(write, "path string"), "benchmark-blocks").collect()]
+    return Blocks(None, sorted(places), rate)
+
+
+def _matched(batches: Iterator[pa.RecordBatch], at: int, blocks: Blocks, look: Callable[[Matcher, str | None], list], held_bytes: int = HELD_BYTES) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Parts of the batches with what all blocks have found in each row."""
+    if blocks.items is not None:
+        matcher = next(blocks.matchers())
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part, [look(matcher, t) for t in part.column(at).to_pylist()]
+        return
+    held: list[pa.RecordBatch] = []
+
+    def through() -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+        found: list[list[list]] = [[[] for _ in range(part.num_rows)] for part in held]
+        for matcher in blocks.matchers():
+            for part, rows in zip(held, found, strict=True):
+                for row, t in zip(rows, part.column(at).to_pylist(), strict=True):
+                    row += look(matcher, t)
+        yield from zip(held, found, strict=True)
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for part in slices(batch, at):
+            held.append(part)
+            size += part.nbytes
+            if size >= held_bytes:
+                yield from through()
+                size = 0
+    if held:
+        yield from through()
+
+
+def find_items(df: DataFrame, key: str, text: str, blocks: Blocks, item_type: str) -> DataFrame:
     """``(key, hits array<struct<item_id, edits, item_chars, start, end>>)`` for each row.  No shuffle."""
     kind = df.schema[key].dataType.simpleString()
     hit = f"array<struct<item_id:{item_type},edits:int,item_chars:int,start:int,end:int>>"
     names = ("item_id", "edits", "item_chars", "start", "end")
 
+    def closest_of(hits: list[tuple]) -> list[dict]:
+        by_item: dict[object, tuple] = {}
+        for hit in hits:
+            by_item[hit[0]] = min(hit, by_item.get(hit[0], hit), key=lambda h: h[1:])
+        return [dict(zip(names, h, strict=True)) for h in by_item.values()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, rate)
-        for batch in batches:
-            for part in slices(batch, 1):
-                hits = [[dict(zip(names, h, strict=True)) for h in matcher.find(t)] for t in part.column(1).to_pylist()]
-                item = pa.from_numpy_dtype("int64") if item_type == "bigint" else pa.string()
-                struct = pa.struct([("item_id", item), *((n, pa.int32()) for n in names[1:])])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, pa.list_(struct))], names=["key", "hits"])
+        item = pa.int64() if item_type == "bigint" else pa.string()
+        struct = pa.struct([("item_id", item), *((n, pa.int32()) for n in names[1:])])
+        for part, found in _matched(batches, 1, blocks, Matcher.find):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([closest_of(hits) for hits in found], pa.list_(struct))], names=["key", "hits"])
 
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, hits {hit}").withColumnRenamed("key", key)
 
@@ -193,21 +284,19 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, str]:
     return benchmark.select(F.col("item_id").cast(kind).alias("item_id"), F.col("text").cast("string").alias("text")), kind
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents that hold an item: doc_id, item_id, edits, item_chars, start, end (in the reduced text)."""
     items, kind = _items(benchmark)
-    out = None
-    for block in item_blocks(items):
-        found = find_items(docs, "doc_id", "text", block, kind, rate).select("doc_id", F.inline("hits"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return find_items(docs, "doc_id", "text", item_blocks(items, rate, block_bytes), kind).select("doc_id", F.inline("hits"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no item, with the columns of ``documents``."""
-    items, kind = _items(benchmark)
-    columns = docs.columns
-    for block in item_blocks(items):
-        packed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").alias("text"))
-        docs = find_items(packed, "row", "text", block, kind, rate).where(F.size("hits") == 0).select("row.*")
-    return docs
+    blocks = item_blocks(_items(benchmark)[0], rate, block_bytes)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _matched(batches, at, blocks, lambda matcher, t: [True] if matcher.holds(t) else []):
+            yield part.filter(pa.array([not hits for hits in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import slices
 
 #: Pre-tokens kept per worker; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -93,11 +94,18 @@ class ByteBpe:
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
         self.tokens = tokens
         self.split = regex.compile(pattern).findall
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(tokens))
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.whole = {t: i for i, t in enumerate(tokens)}
         self.cache = _Cache(self)
 
+    # decoding needs neither of these
+    @cached_property
+    def model(self) -> sentencepiece.SentencePieceProcessor:
+        return sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
+
+    @cached_property
+    def whole(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.tokens)}
+
     def encode_piece(self, piece: str) -> bytes:
         """Ids of one pre-token, packed; a pre-token that is itself a token is that token."""
         raw = piece.encode()
@@ -156,6 +164,7 @@ def encode(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str) ->
             for part in slices(batch, 1):
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+        codec.cache.clear()  # the worker may go on with other work
 
     out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, ids binary")
     return out.withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ rows with a null id are scored and are not held out; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_text import STOP_WORDS
-from .shared import slices
+from .shared import keep_rows, slices
 
 #: Most labelled rows that a fit uses.
 FIT_ROWS = 20_000
@@ -261,6 +261,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least: float = 0.7) -> DataFrame:
     """The documents whose score reaches ``least``, with the columns of ``documents``."""
     model = train(docs, labels, fit_rows)
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").alias("text"))
-    return feature_rows(packed, "row", "text", model).where(F.col("score") >= least).select("row.*")
+
+    def chooser() -> Callable[[list[str | None]], list[bool]]:
+        return lambda texts: (model.score(np.array([features(t) for t in texts])) >= least).tolist()
+
+    return keep_rows(docs, "text", chooser)

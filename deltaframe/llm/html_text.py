@@ -1,14 +1,16 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags.  The first pass decides each
-block by itself: structure (navigation, footers, adverts, comments and the
-like), link density, length and stop-word density make it good, bad or, where
-it is too short to tell, ambiguous.  The second pass lets ambiguous blocks
+block by itself: its length, the share of it that is links and its density of stop words make it good, bad or,
+where it is too short or too unlike prose to tell, ambiguous.  The second pass lets ambiguous blocks
 inherit the label of the nearest decided neighbours.  Good blocks make the text.
 
+Tags are evidence: navigation, footers, adverts, comments and the like are bad.  Where article or main
+elements hold a fair share of what is left (``frame``), what lies outside them is bad and a doubtful block inside them good.
+
 Cases: a null or empty page, or one without a good block, gives an empty text;
 tags that are never closed or pages cut in the middle of a tag are read as far
-as they go; equal rows each give a row; further columns are not read.
+as they go (a cut tag is no text); a quotation mark that is never closed ends at its tag's end; equal rows each give a row; further columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ STOP_WORDS = frozenset(
 )
 
 # Elements by what they do.
-RAW_TEXT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "textarea", "select")
+RAW_TEXT = ("title", "script", "style", "noscript", "template", "svg", "iframe", "canvas", "video", "audio", "textarea", "select")
 BLOCKS = frozenset(
     """address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     frame h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead
@@ -54,19 +56,11 @@ BOILERPLATE_NAMES = re.compile(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar note".split())
 
-_REST = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>"
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<empty>svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>"
-    # a head ends at its tag, or before what only a body holds
-    r"|<(?P<head>head)\b" + _REST + r"(?:\s+|<!--.*?(?:-->|\Z)|</?(?:meta|link|base)\b" + _REST
-    + "".join(rf"|<{x}\b{_REST}.*?(?:</{x}\s*>|\Z)" for x in ("script", "style", "noscript", "template", "title"))
-    + r")*+(?:</head\s*>)?"
-    r"|<(?P<raw>" + "|".join(RAW_TEXT) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+HEAD = frozenset("meta link base script style noscript template title head html".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_IN_TAG = re.compile(r">|=\s*[\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW_TEXT}
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"\w+")
@@ -81,6 +75,8 @@ class Rules:
     most_links: float = 0.35
     low_stop_words: float = 0.15
     high_stop_words: float = 0.25
+    only_links: float = 0.9
+    frame: float = 0.25
 
 
 @dataclass
@@ -90,6 +86,7 @@ class Block:
     boilerplate: bool
     content: int  # number of the enclosing article or main element, 0 outside
     label: str = ""
+    framed: bool = False  # inside of what holds the page's text
 
 
 def _is_boilerplate(tag: str, attributes: str, inside_content: bool) -> bool:
@@ -110,6 +107,89 @@ def _is_boilerplate(tag: str, attributes: str, inside_content: bool) -> bool:
     return False
 
 
+class _Scanner:
+    """Cuts a page into text and tags, from left to right; what is not found once is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.absent: set[object] = set()
+
+    def _find(self, what: object, at: int) -> int:
+        """Where a string begins or a pattern matches; -1 if not."""
+        if what in self.absent:
+            return -1
+        if isinstance(what, str):
+            found = self.page.find(what, at)
+        else:
+            match = what.search(self.page, at)
+            found = match.start() if match else -1
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def _tag_end(self, at: int) -> tuple[int, int]:
+        """End of a tag's attributes and of the tag."""
+        size = len(self.page)
+        while True:
+            match = _IN_TAG.search(self.page, at)
+            if not match:
+                return size, size
+            if self.page[match.end() - 1] == ">":
+                return match.start(), match.end()
+            close = self._find(self.page[match.end() - 1], match.end())
+            if close < 0:  # an open quotation mark: the tag ends at the next bracket, or the page is cut here
+                end = self.page.find(">", match.end())
+                return (end, end + 1) if end >= 0 else (size, size)
+            at = close + 1
+
+    def parts(self) -> Iterator[tuple[str, str, str]]:
+        """``(kind, name or text, attributes)``: kinds are text, open, close and gap (something that is not shown)."""
+        page, size, at, head = self.page, len(self.page), 0, False
+        while at < size:
+            start = page.find("<", at)
+            text = page[at : size if start < 0 else start]
+            if text and head and not text.strip():
+                text = ""
+            if text:
+                head = False
+                yield "text", text, ""
+            if start < 0:
+                return
+            if page.startswith("<!--", start):
+                end = self._find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            close = page.startswith("</", start)
+            name = _NAME.match(page, start + 1 + close)
+            if not name:
+                if page[start + 1 : start + 2] in ("!", "?", "/"):  # declarations and their like
+                    end = page.find(">", start)
+                    at = size if end < 0 else end + 1
+                elif start + 1 == size:
+                    return
+                else:
+                    yield "text", "<", ""
+                    at = start + 1
+                continue
+            tag = name[0].lower()
+            end, at = self._tag_end(name.end())
+            attributes = page[name.end() : end]
+            if tag == "head":
+                head = not close
+                yield "gap", "", ""
+                continue
+            if head and tag not in HEAD:
+                head = False
+            if not close and tag in _RAW_END and not attributes.endswith("/"):
+                end = self._find(_RAW_END[tag], at)
+                at = size if end < 0 else self._tag_end(end + 2 + len(tag))[1]
+                yield "gap", "", ""
+            elif tag in _RAW_END:
+                yield "gap", "", ""
+            else:
+                yield "close" if close else "open", tag, attributes
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks that hold any text, in page order."""
     out: list[Block] = []
@@ -127,20 +207,17 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, min(linked, len(text)), boilerplate, content))
         linked = 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(run := page[at : m.start()])
-            linked += len(run.strip()) if links else 0
-        at = m.end()
-        if not (tag := m["tag"]):
-            if m["raw"] or m["head"] or m["empty"]:
-                parts.append(" ")
+    for kind, tag, attributes in _Scanner(page).parts():
+        if kind == "text":
+            parts.append(tag)
+            linked += len(tag.strip()) if links else 0
+            continue
+        if kind == "gap":
+            parts.append(" ")
             continue
-        tag = tag.lower()
         if tag in BLOCKS:
             flush()
-        if m["close"]:
+        if kind == "close":
             if tag == "a":
                 links = max(0, links - 1)
             for i in range(len(stack) - 1, -1, -1):
@@ -151,7 +228,6 @@ def blocks(page: str) -> list[Block]:
                     boilerplate, content = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                     break
             continue
-        attributes = m["attributes"]
         if tag == "a":
             links += 1
         if tag in VOID or attributes.endswith("/"):
@@ -174,42 +250,44 @@ def blocks(page: str) -> list[Block]:
                 content = content or contents
             boilerplate = bad
             stack.append((tag, boilerplate, content))
-    if at < len(page):
-        parts.append(page[at:])
     flush()
     return out
 
 
 def first_pass(found: list[Block], rules: Rules) -> None:
     """Label each block good, bad or ambiguous by what it holds itself."""
-    structured = any(b.content and not b.boilerplate for b in found)
-    known = False
     density = []
+    inside = total = 0
+    known = False
     for b in found:
-        words = WORD.findall(b.text.lower()) if not structured else ()
+        words = WORD.findall(b.text.lower())
         density.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
-        known |= density[-1] >= rules.low_stop_words and len(b.text) >= rules.short
+        if not b.boilerplate:
+            known |= density[-1] >= rules.low_stop_words and len(b.text) >= rules.short
+            total += len(b.text) - b.linked
+            inside += len(b.text) - b.linked if b.content else 0
+    framed = inside > 0 and inside >= rules.frame * total
     for b, stop in zip(found, density, strict=True):
         n = len(b.text)
-        if b.boilerplate or structured and not b.content or b.linked > rules.most_links * n:
+        b.framed = framed and b.content > 0
+        prose = stop >= rules.high_stop_words if known else n >= rules.long  # or a language without a list of stop words
+        if b.boilerplate or framed and not b.content or b.linked >= rules.only_links * n:
             b.label = "bad"
-        elif structured:
-            b.label = "good" if n >= rules.short else "ambiguous"
+        elif b.linked > rules.most_links * n:
+            b.label = "ambiguous" if b.framed else "bad"
         elif n < rules.short:
-            b.label = "bad" if b.text[0] in "©®" else "ambiguous"
-        elif not known:  # a language without a list of stop words
-            b.label = "good" if n >= rules.long else "ambiguous"
-        elif stop >= rules.high_stop_words:
+            b.label = "bad" if b.text[0] in "©®" and not b.framed else "ambiguous"
+        elif prose:
             b.label = "good"
         else:
-            b.label = "ambiguous" if stop >= rules.low_stop_words or n < rules.long else "bad"
+            b.label = "ambiguous" if b.framed or not known or stop >= rules.low_stop_words or n < rules.long else "bad"
 
 
 def second_pass(found: list[Block]) -> None:
     """Ambiguous blocks take the label of the nearest decided neighbour.
 
-    Structural boilerplate has no say.  Inside an article, which is good by
-    itself, a block turns bad only between two bad ones; elsewhere a tie, or no
+    Structural boilerplate has no say.  Inside an article
+    a block turns bad only between two bad ones; elsewhere a tie, or no
     decided neighbour at all, makes it bad.
     """
     decided = [(i, b) for i, b in enumerate(found) if b.label != "ambiguous" and not b.boilerplate]
@@ -219,8 +297,8 @@ def second_pass(found: list[Block]) -> None:
             continue
         while after < len(decided) and decided[after][0] < i:
             after += 1
-        near = [(abs(j - i), x.label) for j, x in decided[max(0, after - 1) : after + 1] if x.content == b.content]
-        if b.content:
+        near = [(abs(j - i), x.label) for j, x in decided[max(0, after - 1) : after + 1] if not b.framed or x.content == b.content]
+        if b.framed:
             label = "bad" if [x for _, x in near] == ["bad", "bad"] else "good"
         else:
             label = "good" if near and all(x == "good" for d, x in near if d == min(near)[0]) else "bad"

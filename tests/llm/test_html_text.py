@@ -1,5 +1,11 @@
+import random
+import re
+import time
+from html.parser import HTMLParser
+
 import pytest
 
+from deltaframe.llm import html_text
 from deltaframe.llm.html_text import main_text, page_texts
 
 ARTICLE = "The cat sat on the mat and it was a very long day for all of the cats in the house that is by the sea."
@@ -67,3 +73,148 @@ def test_open_head_and_empty_drawings():
     words = "The house that we saw was on the hill and it is not far from the river where they live. " * 3
     for start in ("<html><head><title>t</title><meta charset=utf-8><body>", "<head><script>'<p>'</script><link href=x>", "<head></head><svg width='1'/>", "<math/>"):
         assert html_text.main_text(f"{start}<p>{words}</p>") == words.strip(), start
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page: [text, linked characters, boilerplate, inside an article]."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.text, self.linked = [], [], "", 0
+
+    def end_block(self):
+        text = " ".join(self.text.split())
+        if text:
+            kinds = [k for _, k in self.open]
+            self.blocks.append([text, min(self.linked, len(text)), "bad" in kinds, "content" in kinds])
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("div", "p", "h2", "li", "ul", "article", "nav", "footer", "section"):
+            self.end_block()
+        names = dict(attrs).get("class", "")
+        bad = tag in ("nav", "footer") or names in ("sidebar", "cookie-notice")
+        self.open.append((tag, "bad" if bad else "content" if tag == "article" else tag))
+
+    def handle_endtag(self, tag):
+        if tag in ("div", "p", "h2", "li", "ul", "article", "nav", "footer", "section"):
+            self.end_block()
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.text += data
+        if any(tag == "a" for tag, _ in self.open):
+            self.linked += len(data.strip())
+
+
+def plain_text(page):
+    """Both passes as the rules say them, block by block."""
+    parser = Plain()
+    parser.feed(page)
+    parser.end_block()
+    blocks, rules = parser.blocks, html_text.Rules()
+    stop = []
+    for text, *_ in blocks:
+        words = re.findall(r"\w+", text.lower())
+        stop.append(sum(w in html_text.STOP_WORDS for w in words) / max(1, len(words)))
+    fair = [i for i, b in enumerate(blocks) if not b[2]]
+    known = any(stop[i] >= 0.15 and len(blocks[i][0]) >= 70 for i in fair)
+    plain = lambda which: sum(len(blocks[i][0]) - blocks[i][1] for i in which)
+    inside = plain([i for i in fair if blocks[i][3]])
+    framed = inside > 0 and inside >= rules.frame * plain(fair)
+    labels = []
+    for (text, linked, bad, content), density in zip(blocks, stop, strict=True):
+        n, within = len(text), framed and content
+        if bad or (framed and not content) or linked >= 0.9 * n:
+            labels.append("bad")
+        elif linked > 0.35 * n:
+            labels.append("?" if within else "bad")
+        elif n < 70:
+            labels.append("?")
+        elif (density >= 0.25) if known else (n >= 200):
+            labels.append("good")
+        elif within or not known or density >= 0.15 or n < 200:
+            labels.append("?")
+        else:
+            labels.append("bad")
+    out = []
+    for i, (text, _, _, content) in enumerate(blocks):
+        label = labels[i]
+        if label == "?":
+            within = framed and content
+            speaks = lambda j: labels[j] != "?" and not blocks[j][2]
+            left = next((j for j in range(i - 1, -1, -1) if speaks(j)), None)
+            right = next((j for j in range(i + 1, len(blocks)) if speaks(j)), None)
+            near = [(abs(j - i), labels[j]) for j in (left, right) if j is not None and (not within or blocks[j][3])]
+            if within:
+                label = "bad" if [x for _, x in near] == ["bad", "bad"] else "good"
+            else:
+                closest = [x for d, x in near if d == min(near)[0]]
+                label = "good" if closest and set(closest) == {"good"} else "bad"
+        if label == "good":
+            out.append(text)
+    return " ".join(out)
+
+
+def random_page(rng):
+    def words(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def block(depth):
+        kind = rng.random()
+        if kind < 0.3 and depth < 3:
+            tag = rng.choice(["div", "section", "div", "nav", "footer"])
+            name = rng.choice(["", "", "", " class='sidebar'", " class='cookie-notice'", " class='wide'"])
+            return f"<{tag}{name}>" + "".join(block(depth + 1) for _ in range(rng.randrange(1, 5))) + f"</{tag}>"
+        tag = rng.choice(["p", "p", "p", "h2"])
+        inner = words(rng.choice([1, 4, 12, 25, 60]))
+        if rng.random() < 0.3:
+            inner = rng.choice(["", words(3) + " ", words(12) + " "]) + f"<a href='/{words(1)}'>{words(rng.randrange(1, 14))}</a> " + rng.choice(["", words(8)])
+        return f"<{tag}>{inner}</{tag}>"
+
+    vocabulary = "lorem ipsum dolor amet cat tree house".split() + "the of and is by on".split() * rng.randrange(3)
+    parts = [block(0) for _ in range(rng.randrange(1, 9))]
+    if rng.random() < 0.6:
+        at = rng.randrange(len(parts) + 1)
+        parts[at:at] = ["<article>", *(block(1) for _ in range(rng.randrange(1, 6))), "</article>"]
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+def test_against_plain_passes():
+    rng = random.Random(10)
+    texts = [(main_text(page), plain_text(page), page) for page in (random_page(rng) for _ in range(1500))]
+    assert all(a == b for a, b, _ in texts), next((a, b, page) for a, b, page in texts if a != b)
+    assert sum(a != "" for a, *_ in texts) > 700
+
+
+def test_article_paragraphs_with_links_and_small_teasers():
+    page = f"<article><p>{ARTICLE}</p><p>See <a href='/c'>the long and detailed report on cats by the sea</a> now.</p><p>{ARTICLE}</p></article>"
+    assert main_text(page) == f"{ARTICLE} See the long and detailed report on cats by the sea now. {ARTICLE}"
+    body = " ".join([ARTICLE] * 5)
+    assert body in main_text(f"<article><p>A teaser.</p></article><div><p>{body}</p></div>")
+    assert main_text(f"<article><p>{ARTICLE}</p><math><mi>x</mi>=<mn>2</mn></math> holds</article>") == f"{ARTICLE} x=2 holds"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article><p>{ARTICLE}</p><a href="http://x.y/z?q=1', ARTICLE),
+        (f'<article><p>{ARTICLE}</p><a href="foo>', ARTICLE),
+        (f"<article><p>{ARTICLE}</p><img alt='it", ARTICLE),
+        (f"<article><p title=it's>{ARTICLE}</p></article>", ARTICLE),
+        (f'<article><p title="a > b">{ARTICLE}</p></article>', ARTICLE),
+        (f"<article><p>{ARTICLE}</p><", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><!-- open", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><script>open", ARTICLE),
+        (f"<article><p>{ARTICLE}</p><ScRiPt>a</SCRIPT ><p>{ARTICLE}", f"{ARTICLE} {ARTICLE}"),
+    ],
+)
+def test_cut_tags_are_no_text(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("start", ['<b x"', "<b x='", '<a href="', "<!--", "<script", "<", "</", "<p", "<svg ", "<head>", "<title>", "&", "= ", "<b =  ", "<article>", "</p>"])
+def test_hostile_pages_take_linear_time(start):
+    began = time.process_time()
+    main_text(start * 100_000 + '"')
+    assert time.process_time() - began < 10

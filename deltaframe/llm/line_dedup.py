@@ -152,9 +152,8 @@ def aligned_edits(left: str, right: str) -> Column:
     Where two words differ, the next two words of the right are looked at, then the next of the left; else
     one word becomes the other.
     """
-    ours, theirs = F.split(left, " "), F.split(right, " ")
 
-    def step(state: Column, i: Column) -> Column:
+    def step(ours: Column, theirs: Column, state: Column, i: Column) -> Column:
         j = state["j"]
         here, there, then, after = F.get(ours, i), F.get(theirs, j), F.get(theirs, j + 1), F.get(theirs, j + 2)
         size, other = F.char_length(here), F.char_length(there)
@@ -168,10 +167,15 @@ def aligned_edits(left: str, right: str) -> Column:
             .otherwise(to(j + 1, changed))
         )
 
-    def finish(state: Column) -> Column:
-        return F.aggregate(F.slice(theirs, state["j"] + 1, F.size(theirs)), state["edits"], lambda edits, word: edits + F.char_length(word) + 1)
+    def align(both: Column) -> Column:
+        ours, theirs = both["ours"], both["theirs"]
+        start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("edits"))
+        end = F.struct(F.aggregate(F.sequence(F.lit(0), F.size(ours) - 1), start, lambda state, i: step(ours, theirs, state, i)).alias("at"), theirs.alias("theirs"))
+        left_over = lambda at, words: F.aggregate(F.slice(words, at["j"] + 1, F.size(words)), at["edits"], lambda edits, word: edits + F.char_length(word) + 1)
+        return F.transform(F.array(end), lambda state: left_over(state["at"], state["theirs"]))[0]
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(ours) - 1), F.struct(F.lit(0).alias("j"), F.lit(0).alias("edits")), step, finish)
+    # within a lambda the words are split once, wherever the optimiser moves this
+    return F.transform(F.array(F.struct(F.split(left, " ").alias("ours"), F.split(right, " ").alias("theirs"))), align)[0]
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:

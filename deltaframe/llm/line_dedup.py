@@ -7,7 +7,7 @@ occurrence stays, in order of doc_id and place; equal lines are one group anyway
 Lines to compare are found by min-hashes of their word pairs, and of their runs of
 ``GRAM`` characters where they have at most ``SHORT`` characters or hardly any words: lines that agree in three of
 their least hashes, in one of the combinations ``AGREED``, of which no two
-have more than one hash in common, share a bucket.  A SimHash with pigeonhole blocks cannot
+have more than one hash in common, share a bucket, and are compared if they agree in ``LEAST_AGREED`` hashes.  A SimHash with pigeonhole blocks cannot
 find them: of lines at similarity 0.8 the SimHashes of 64 bits differ in 5 bits at the median and
 9 at the ninth decile, so that a block would be 6 bits wide and a bucket hold a 64th of all lines.
 
@@ -55,6 +55,8 @@ LONG = 16_384
 WORD = 64
 _FACTORS = [random.Random(20241 + k).getrandbits(31) | 1 for k in range(max(MINIMA.values()))]
 SIMILARITY = 0.8
+#: Least hashes in which two lines of a bucket must agree to be read.
+LEAST_AGREED = {"w": 4, "g": 5}
 #: Pairs that the lines of a bucket may make once its leader's group is known; beyond, the bucket is divided.
 PAIRS = 4096
 #: Rows of at most some 24 bytes that may be broadcast; more are joined by a shuffle.
@@ -86,24 +88,26 @@ def _named_lines(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``(line, tag, first decimal, n, chars, w0.., g0..)`` of each distinct line with words.
+    """``(line, tag, first decimal, n, w0.., g0..)`` of each distinct line with words.
 
-    Its first place, how often it occurs, and least hashes of its word pairs and, in some lines, of runs of
-    characters.  A row for each word and run is made and added up within one stage, before the exchange.
+    Its first place, how often it occurs, and least hashes of its word pairs, its runs of characters or
+    both.  A row for each pair and run is made and added up within one stage, before the exchange.
     """
     lines = _named_lines(docs).withColumn("words", words_of(F.col("raw"))).where(F.size("words") > 0)
-    lines = lines.withColumn("size", F.size("words")).withColumn("text", F.array_join("words", " ")).withColumn("chars", F.char_length("text"))
-    lines = lines.withColumn("letters", F.when((F.col("chars") <= SHORT) | (F.col("chars") >= F.col("size") * WORDLESS), F.split("text", ""))).drop("text", "raw", "t")
-    last = F.col("size") + F.when(F.col("letters").isNotNull(), F.col("chars") + GRAM - 1).otherwise(0)
-    marks = lines.select("line", "tag", "d", "pos", "chars", "words", "size", "letters", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    run = F.col("k") > F.col("size")
-    pair = F.xxhash64(F.get("words", F.col("k") - 1), F.get("words", "k"))
-    gram = F.xxhash64(*[F.coalesce(F.get("letters", F.col("k") - F.col("size") - GRAM + i), F.lit("")) for i in range(GRAM)], F.lit(1))
-    marks = marks.select("line", "tag", "d", "pos", "chars", "k", run.alias("run"), F.shiftrightunsigned(F.when(run, gram).otherwise(pair), 32).alias("h"))
+    lines = lines.withColumn("text", F.array_join("words", " ")).withColumn("chars", F.char_length("text"))
+    size, chars = F.size("words"), F.col("chars")
+    letters = F.when((chars <= SHORT) | (chars >= size * WORDLESS), F.split("text", ""))
+    lines = lines.select("line", "tag", "d", "pos", "words", letters.alias("letters"), F.when(chars > SIMILARITY * SHORT, size + 1).otherwise(0).alias("pairs"))
+    last = F.col("pairs") + F.coalesce(F.size("letters") + GRAM - 1, F.lit(0))
+    marks = lines.select("line", "tag", "d", "pos", "words", "letters", "pairs", F.explode(F.sequence(F.lit(1), last)).alias("k"))
+    run, i = F.col("k") > F.col("pairs"), F.col("k") - 1
+    pair = F.xxhash64(F.get("words", i - 1), F.get("words", i))
+    gram = F.xxhash64(*[F.coalesce(F.get("letters", i - F.col("pairs") - GRAM + 1 + j), F.lit("")) for j in range(GRAM)], F.lit(1))
+    marks = marks.select("line", "tag", "d", "pos", "k", run.alias("run"), F.shiftrightunsigned(F.when(run, gram).otherwise(pair), 32).alias("h"))
     least = lambda which, k: F.min(F.when(which, (F.col("h") * _FACTORS[k]).bitwiseAND(F.lit(0xFFFFFFFF))))
     minima = [least(which, k).alias(f"{name}{k}") for name, which in (("w", ~F.col("run")), ("g", F.col("run"))) for k in range(MINIMA[name])]
-    here = F.col("k") == 0
-    return marks.groupBy("line", "tag").agg(F.min(F.when(here, _place())).alias("first"), F.sum(here.cast("long")).alias("n"), F.max("chars").alias("chars"), *minima)
+    here = F.col("k") == 1
+    return marks.groupBy("line", "tag").agg(F.min(F.when(here, _place())).alias("first"), F.sum(here.cast("long")).alias("n"), *minima)
 
 
 def _place_columns(first: str) -> tuple[Column, Column]:
@@ -114,13 +118,13 @@ def _place_columns(first: str) -> tuple[Column, Column]:
 
 
 def keyed(sketched: DataFrame) -> DataFrame:
-    """``(key, line, chars)``: the buckets each line is in."""
+    """``(key, line)``: the buckets each line is in."""
     keys = []
     for name, combinations in AGREED.items():
         for agreed in combinations:
             columns = [f"{name}{i}" for i in agreed]
             keys.append(F.when(F.col(columns[0]).isNotNull(), F.xxhash64(F.lit(" ".join(columns)), *columns)))
-    return sketched.select("line", "chars", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    return sketched.select("line", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -128,9 +132,15 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _like(a: str, b: str, similarity: float) -> Column:
-    """Lines whose lengths differ by more than the edits allowed need not be read."""
-    return F.abs(F.col(a) - F.col(b)) <= (1 - F.lit(similarity)) * F.greatest(a, b) + 1e-9
+def promising(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of lines that agree in enough of their least hashes to be read."""
+
+    def side(name: str) -> DataFrame:
+        return lines.select(F.col("line").alias(name), *[F.array(*[F.col(f"{kind}{k}") for k in range(n)]).alias(f"{kind}_{name}") for kind, n in MINIMA.items()])
+
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    agreed = {kind: sum(F.coalesce((F.get(f"{kind}_u", F.lit(k)) == F.get(f"{kind}_v", F.lit(k))).cast("int"), F.lit(0)) for k in range(n)) for kind, n in MINIMA.items()}
+    return both.where((agreed["w"] >= LEAST_AGREED["w"]) | (agreed["g"] >= LEAST_AGREED["g"])).select("u", "v")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -180,7 +190,8 @@ def aligned_edits(left: str, right: str) -> Column:
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs ``(u, v)`` of lines whose edit similarity is large enough."""
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
+    pairs = promising(lines, pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    pairs = scratch.keep(pairs, "line-pairs")
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("line")).distinct()
@@ -210,17 +221,15 @@ def _merged(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFr
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratch, pairs: int = PAIRS) -> DataFrame:
     """``(vertex, component)`` of the lines that are linked to another one."""
-    low = keyed(lines).groupBy("key").agg(
-        F.min("line").alias("leader"), F.min_by("chars", "line").alias("leader_chars"), F.max("line").alias("other"), F.max_by("chars", "line").alias("other_chars"), F.count(F.lit(1)).alias("size")
-    )
+    low = keyed(lines).groupBy("key").agg(F.min("line").alias("leader"), F.max("line").alias("other"), F.count(F.lit(1)).alias("size"))
     low = scratch.keep(low.where("size > 1"), "line-leaders")
     # two lines are a pair already; the lines of larger buckets are fetched
-    two = low.where("size = 2").where(_like("leader_chars", "other_chars", similarity)).select(F.col("leader").alias("a"), F.col("other").alias("b"))
-    large = scratch.keep(low.where("size > 2").select("key", "leader", "leader_chars", "size"), "line-large")
+    two = low.where("size = 2").select(F.col("leader").alias("a"), F.col("other").alias("b"))
+    large = scratch.keep(low.where("size > 2").select("key", "leader", "size"), "line-large")
     members = scratch.keep(keyed(lines).join(_bounded(large), "key"), "line-buckets")
-    led = members.where((F.col("line") != F.col("leader")) & _like("chars", "leader_chars", similarity)).select(F.col("line").alias("a"), F.col("leader").alias("b"))
+    led = members.where(F.col("line") != F.col("leader")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
     components = scratch.keep(connected_components(verified(docs, lines, two.unionByName(led), similarity, scratch), "lines"), "line-components")
-    placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "chars", "own", "led", "size"), "line-placed")
+    placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "own", "led", "size"), "line-placed")
     outside = placed.where("own <> led")
     apart = scratch.keep(outside.groupBy("key").agg(F.count(F.lit(1)).alias("apart")), "line-apart")
     if apart.isEmpty():
@@ -228,11 +237,11 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratc
     placed = placed.join(_bounded(apart), "key").withColumn("many", F.col("apart") * F.col("size") > pairs)
     further = [F.struct(F.lit(f"{name}{k}").alias("which"), F.col(f"{name}{k}").alias("value")) for name, n in MINIMA.items() for k in range(n)]
     crowded = placed.where("many").join(lines.select("line", F.filter(F.array(*further), lambda x: x["value"].isNotNull()).alias("minima")), "line")
-    crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "chars", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "chars", "own", "led")
-    dealt = scratch.keep(placed.where("not many").select("key", "line", "chars", "own", "led").unionByName(crowded), "line-dealt")
-    out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("chars").alias("chars_a"), F.col("own").alias("own_a"))
-    rest = dealt.select("key", F.col("line").alias("b"), F.col("chars").alias("chars_b"), F.col("own").alias("own_b"))
-    others = out.join(rest, "key").where((F.col("own_a") != F.col("own_b")) & _like("chars_a", "chars_b", similarity)).select("a", "b")
+    crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "own", "led")
+    dealt = scratch.keep(placed.where("not many").select("key", "line", "own", "led").unionByName(crowded), "line-dealt")
+    out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("own").alias("own_a"))
+    rest = dealt.select("key", F.col("line").alias("b"), F.col("own").alias("own_b"))
+    others = out.join(rest, "key").where("own_a <> own_b").select("a", "b")
     return _merged(components, verified(docs, lines, others, similarity, scratch), scratch)
 
 

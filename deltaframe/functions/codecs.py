@@ -5,6 +5,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import lzma
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -26,12 +27,45 @@ MAGIC = (
 )
 SNIFF_BYTES = 8
 
+def _lzip_filter(dictionary: int, preset: int = 6) -> list[dict]:
+    return [{"id": lzma.FILTER_LZMA1, "preset": preset, "dict_size": dictionary, "lc": 3, "lp": 0, "pb": 2}]
+
+
+def _lzip(data: bytes, level: int) -> bytes:
+    """One lzip member: magic, version, coded dictionary size; a raw stream with end marker; CRC, size and member size."""
+    power = 16  # the dictionary is of 64 KiB at every level
+    body = lzma.compress(data, lzma.FORMAT_RAW, filters=_lzip_filter(1 << power, level or 6))
+    return b"LZIP\x01" + bytes([power]) + body + struct.pack("<IQQ", zlib.crc32(data), len(data), len(body) + 26)
+
+
+def _unlzip(data: bytes) -> bytes:
+    """All members of an lzip file; what a member's trailer says is checked."""
+    out, at = [], 0
+    while at < len(data):
+        if data[at : at + 5] != b"LZIP\x01" or len(data) < at + 26:
+            raise ValueError("no lzip member")
+        power, eighths = data[at + 5] & 31, data[at + 5] >> 5
+        if not 12 <= power <= 29:
+            raise ValueError("no dictionary size")
+        reader = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=_lzip_filter((1 << power) - eighths * (1 << power >> 4)))
+        part = reader.decompress(data[at + 6 :])
+        if not reader.eof or len(reader.unused_data) < 20:
+            raise ValueError("the lzip member is cut")
+        crc, size, whole = struct.unpack("<IQQ", reader.unused_data[:20])
+        if (crc, size, whole) != (zlib.crc32(part), len(part), len(data) - at - len(reader.unused_data) + 20):
+            raise ValueError("the lzip member is damaged")
+        out.append(part)
+        at += whole
+    return b"".join(out)
+
+
 _COMPRESS: dict[int, Callable[[bytes, int], bytes]] = {
     Compression.NONE: lambda data, level: data,
     Compression.GZIP: lambda data, level: gzip.compress(data, level, mtime=0),
     Compression.BZIP2: bz2.compress,
     Compression.LZMA: lambda data, level: lzma.compress(data, lzma.FORMAT_ALONE, preset=level),
     Compression.XZ: lambda data, level: lzma.compress(data, lzma.FORMAT_XZ, lzma.CHECK_SHA256, preset=level),
+    Compression.LZIP: _lzip,
     Compression.ZSTD: lambda data, level: zstandard.ZstdCompressor(level=level).compress(data),
 }
 _DECOMPRESS: dict[int, Callable[[bytes], bytes]] = {
@@ -40,6 +74,7 @@ _DECOMPRESS: dict[int, Callable[[bytes], bytes]] = {
     Compression.BZIP2: bz2.decompress,
     Compression.LZMA: lambda data: lzma.decompress(data, lzma.FORMAT_ALONE),
     Compression.XZ: lambda data: lzma.decompress(data, lzma.FORMAT_XZ),
+    Compression.LZIP: _unlzip,
     Compression.ZSTD: lambda data: zstandard.ZstdDecompressor().decompressobj().decompress(data),
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..codes import (
-    COLOR_ELF32, COLOR_ELF64, FLAG_CONFIG, FLAG_GHOST, FLAG_MISSINGOK, MODE_BLK, MODE_CHR, MODE_LNK, MODE_MASK, MODE_REG, VERIFY_FILESIZE, VERIFY_MD5, DeltaError, Status,
+    COLOR_ELF32, COLOR_ELF64, FLAG_CONFIG, FLAG_GHOST, FLAG_MISSINGOK, MODE_BLK, MODE_CHR, MODE_LNK, MODE_MASK, MODE_REG, MOST_COPY, VERIFY_FILESIZE, VERIFY_MD5, DeltaError, Status,
 )
 
 HEADER = 110
@@ -195,12 +195,13 @@ def normalise(data: bytes, files: list[File], unpatched: frozenset[str] = frozen
     size = 0
     for e in entries(data):
         i = number.get(strip(e.name.decode("utf-8", "surrogateescape")))
-        if i is None or strip(files[i].name) in unpatched or not may_use(files[i], e.fields["filesize"]):
+        if i is None or strip(files[i].name) in unpatched and files[i].mode & MODE_MASK == MODE_REG or not may_use(files[i], e.fields["filesize"]):
             continue
         kind = files[i].mode & MODE_MASK
         content = e.content if kind == MODE_REG else files[i].linkto.encode() if kind == MODE_LNK else b""
         head = manifest_header(files[i])
-        if not out.shifts or size - out.shifts[-1][0] != e.offset - out.shifts[-1][1]:
+        before = out.shifts[-1] if out.shifts else (0, 0)
+        if size - before[0] != e.offset - before[1]:
             out.shifts.append((size, e.offset))
         body = content + bytes(pad(len(content)))
         parts += [head, body]
@@ -212,9 +213,17 @@ def normalise(data: bytes, files: list[File], unpatched: frozenset[str] = frozen
 
 
 def shift_deltas(shifts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Shifts as pairs (distance to the shift before, change of the difference)."""
+    """Shifts as pairs (distance to the shift before, change of the difference), none of them beyond 31 bits."""
     out, position, drift = [], 0, 0
     for altered, original in shifts:
-        out.append((altered - position, original - altered - drift))
+        distance, change = altered - position, original - altered - drift
+        while distance > MOST_COPY:
+            out.append((MOST_COPY, 0))
+            distance -= MOST_COPY
+        while abs(change) > MOST_COPY:
+            part = MOST_COPY if change > 0 else -MOST_COPY
+            out.append((distance, part))
+            distance, change = 0, change - part
+        out.append((distance, change))
         position, drift = altered, original - altered
     return out

@@ -30,7 +30,10 @@ def content_status(wanted_size: Column, wanted_digest: Column, content: Column,
 
 
 def check_files(manifest: DataFrame, found: DataFrame, mode: CheckMode, algorithm: str = "md5") -> DataFrame:
-    """``(delta_id, pos, path, status)`` of manifest rows ``(delta_id, pos, path, size, digest)`` against ``(path, size, content)``."""
+    """``(delta_id, pos, path, status)`` of manifest rows ``(delta_id, pos, path, size, digest)`` against ``(path, size, content)``.
+
+    Files that should be empty are not looked at.
+    """
     both = manifest.alias("m").join(found.select("path", F.col("size").alias("found_size"), "content").alias("f"), "path", "left")
     if mode == CheckMode.NONE:
         status = F.lit(int(Status.OK))
@@ -38,7 +41,7 @@ def check_files(manifest: DataFrame, found: DataFrame, mode: CheckMode, algorith
         status = filesize_status(F.col("size"), F.col("found_size"))
     else:
         status = content_status(F.col("size"), F.col("digest"), F.col("content"), algorithm)
-    return both.select("delta_id", "pos", "path", status.alias("status"))
+    return both.select("delta_id", "pos", "path", F.when(F.col("m.size") == 0, int(Status.OK)).otherwise(status).alias("status"))
 
 
 def first_failure(checked: DataFrame) -> DataFrame:
@@ -63,10 +66,15 @@ def installed_for(deltas: DataFrame, installed: DataFrame) -> DataFrame:
 
 
 def verify(rebuilt: DataFrame) -> DataFrame:
-    """``(pair_id, status)`` of ``(pair_id, new, tgt_md5)``: MISMATCH unless the digest fits; an all-zero digest is none."""
-    return rebuilt.select(
-        "pair_id", F.when((F.hex("tgt_md5") == "0" * 32) | (F.md5("new") == F.lower(F.hex("tgt_md5"))), int(Status.OK)).otherwise(int(Status.MISMATCH)).alias("status")
-    )
+    """``(pair_id, status)`` of ``(pair_id, new, tgt_md5, lead_len, signature_md5)``: MISMATCH unless the digest fits.
+
+    An all-zero digest is none: then header and archive, what follows the first ``lead_len`` bytes, must have the
+    digest of the signature, if that has one.
+    """
+    body = F.md5(F.substring("new", F.col("lead_len").cast("int") + 1, F.octet_length("new")))
+    signed = F.col("signature_md5").isNull() | (body == F.lower(F.hex("signature_md5")))
+    fits = F.when(F.hex("tgt_md5") == "0" * 32, signed).otherwise(F.md5("new") == F.lower(F.hex("tgt_md5")))
+    return rebuilt.select("pair_id", F.when(fits, int(Status.OK)).otherwise(int(Status.MISMATCH)).alias("status"))
 
 
 def sequence_matches(sequence: Column, signature_md5: Column) -> Column:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import byte_slices
+
 BLOCK = 16
 LEAST = 32
 
@@ -165,8 +167,7 @@ def diff_pairs(pairs: DataFrame, addblk: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in byte_slices(batch, 1, 2):
                 rows, literals, added = [], [], []
                 for old, new in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     old, new = old or b"", new or b""
@@ -181,6 +182,22 @@ def diff_pairs(pairs: DataFrame, addblk: bool = False) -> DataFrame:
     return binary.mapInArrow(run, f"pair_id {kind}, segments {SEGMENT}, literals binary, added binary")
 
 
+def hit_rows(pairs: DataFrame) -> DataFrame:
+    """``(pair_id, new_off, old_off)``: every place of new whose 16 bytes are an aligned block of old, and that block's first offset."""
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, 1, 2, most_bytes=1 << 20):
+                found = [block_hits(np.frombuffer(a or b"", np.uint8), np.frombuffer(b or b"", np.uint8)) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                owner = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+                at, offset = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(at), pa.array(offset)], names=["pair_id", "new_off", "old_off"])
+
+    binary = pairs.select("pair_id", F.col("old").cast("binary").alias("old"), F.col("new").cast("binary").alias("new"))
+    return binary.mapInArrow(run, f"pair_id {kind}, new_off long, old_off long")
+
+
 def prefix_lengths(pairs: DataFrame) -> DataFrame:
     """``(pair_id, length)``: the longest common prefix of old and new in bytes."""
     kind = pairs.schema["pair_id"].dataType.simpleString()

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..codes import MODE_LNK, MODE_MASK, MODE_REG, DeltaError, Status
+from ..codes import MODE_BLK, MODE_CHR, MODE_LNK, MODE_MASK, MODE_REG, DeltaError, Status
 from ..functions.binary import be, hex_lower
 
 
@@ -117,12 +117,13 @@ def expand_runs(found: DataFrame, key: str) -> DataFrame:
 
 
 def file_entry(name: Column, mode: Column, size: Column, rdev: Column, linkto: Column, digest: Column) -> Column:
-    """What a file adds to the sequence digest."""
+    """What a file adds to the sequence digest: its name without the first slash; device numbers of devices only."""
     kind = mode.bitwiseAND(F.lit(MODE_MASK))
     zero = F.lit("00").cast("string")
     tail = F.when(kind == MODE_LNK, F.concat(F.encode(linkto, "utf-8"), F.unhex(zero))).when((kind == MODE_REG) & (size > 0), digest).otherwise(F.unhex(F.lit("")))
     length = F.when(kind == MODE_LNK, F.octet_length(linkto)).when(kind == MODE_REG, size).otherwise(F.lit(0))
-    return F.concat(F.encode(name, "utf-8"), F.unhex(zero), be(mode), be(length), be(rdev), tail)
+    device = F.when(kind.isin(MODE_BLK, MODE_CHR), rdev).otherwise(F.lit(0))
+    return F.concat(F.encode(F.regexp_replace(name, "^/", ""), "utf-8"), F.unhex(zero), be(mode), be(length), be(device), tail)
 
 
 def digest_by(entries: DataFrame, key: str, order: str, entry: str) -> DataFrame:

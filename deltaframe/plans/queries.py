@@ -121,10 +121,31 @@ def delta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id AS pair_id, md5(text) AS tgt_md5, CAST(strlen(text) AS BIGINT) AS tgt_size, 0 AS n_copies FROM documents")
+def _alone(spark: SparkSession, sf_dir: str, options: MakeOptions) -> DataFrame:
+    """The delta of each document's package to itself, applied, with what the delta says."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = make.wrap_archives(docs, "pair_id", "text").select("pair_id", F.lit(None).cast("binary").alias("old"), F.col("package").alias("new"))
+    made = make.make_table(packed, options, keep=("new",)).select("pair_id", F.col("new").alias("old"), F.col("result").alias("delta"), F.col("status").alias("made"))
+    done = make.apply_table(made, keep=("old", "delta", "made"))
+    done = done.select("pair_id", "status", "made", "old", (F.col("result") == F.col("old")).alias("same"), F.struct("pair_id", "status", "made", "old", (F.col("result") == F.col("old")).alias("same")).alias("all"), "delta")
+    view = deltas.info(deltas.parse_files(done, "pair_id", "delta", keep=("all",)), keep=("all",))
+    body = F.substring("all.old", (F.length("tgt_leadsig") / 2).cast("int") + 1, F.octet_length("all.old"))
+    return view.select(
+        "all.pair_id", "all.status", "all.made", "all.same", "type", "src_nevr", F.coalesce(F.size("ext_copies"), F.lit(0)).alias("n_copies"), (F.col("tgt_md5") == F.md5("all.old")).alias("digest"),
+        (F.col("tgt_size") == F.octet_length("all.old")).alias("sized"), (F.substring("sequence", 1, 32) == F.md5(body)).alias("signed"),
+    )
+
+
+@query("SELECT doc_id AS pair_id, 0 AS made, 0 AS status, TRUE AS same, 1 AS type, 'data-' || doc_id || '-1' AS src_nevr, 0 AS n_copies, TRUE AS digest, TRUE AS sized, TRUE AS signed FROM documents")
 def delta_nodiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("pair_id"), F.md5("text").alias("tgt_md5"), F.octet_length("text").cast("long").alias("tgt_size"), F.lit(0).alias("n_copies"))
+    """Rpm-only deltas of one package: nothing is compared or copied."""
+    return _alone(spark, sf_dir, MakeOptions().with_type(DeltaType.RPMONLY)).withColumn("n_copies", F.greatest("n_copies", F.lit(0)))
+
+
+@query("SELECT doc_id AS pair_id, 0 AS made, 0 AS status, TRUE AS same, 0 AS type, 'data-' || doc_id || '-1' AS src_nevr, TRUE AS digest, TRUE AS sized FROM documents")
+def delta_identity_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard deltas of one package to itself."""
+    return _alone(spark, sf_dir, MakeOptions()).drop("n_copies", "signed")
 
 
 # -- copy lists, from integers of the events of each user --------------------------------------------------------
@@ -178,20 +199,12 @@ def block_last_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT n.page_id AS pair_id, encode(o.html) AS old, encode(n.html) AS new FROM pages n JOIN pages o ON n.page_id = o.page_id + 1),
      ob AS (SELECT pair_id, min(i) AS old_off, old[i + 1 : i + 16] AS gram FROM (SELECT pair_id, old, unnest(range(0, octet_length(old) - 15, 16)) AS i FROM p) GROUP BY pair_id, gram),
-     nb AS (SELECT pair_id, i AS new_off, new[i + 1 : i + 16] AS gram FROM (SELECT pair_id, new, unnest(range(0, octet_length(new) - 15, 16)) AS i FROM p))
+     nb AS (SELECT pair_id, i AS new_off, new[i + 1 : i + 16] AS gram FROM (SELECT pair_id, new, unnest(range(0, octet_length(new) - 15)) AS i FROM p))
 SELECT nb.pair_id AS pair_id, CAST(ob.old_off AS BIGINT) AS old_off, CAST(nb.new_off AS BIGINT) AS new_off FROM ob JOIN nb ON ob.pair_id = nb.pair_id AND ob.gram = nb.gram
 """)
 def block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned blocks of the new page that are an aligned block of the old one, whose first occurrence counts."""
-    pairs = page_pairs(spark, sf_dir)
-
-    def blocks(side: str) -> DataFrame:
-        at = F.sequence(F.lit(0), F.octet_length(side) - 16, F.lit(16))
-        cut = pairs.where(F.octet_length(side) >= 16).select("pair_id", side, F.explode(at).alias("off"))
-        return cut.select("pair_id", F.col("off").cast("long").alias(f"{side}_off"), F.substring(F.col(side), F.col("off") + 1, F.lit(16)).alias("gram"))
-
-    old = blocks("old").groupBy("pair_id", "gram").agg(F.min("old_off").alias("old_off"))
-    return blocks("new").join(old, ["pair_id", "gram"]).select("pair_id", "old_off", "new_off")
+    """The hits from which copies are made: every place of the new page that holds an aligned block of the old one."""
+    return diff.hit_rows(page_pairs(spark, sf_dir))
 
 
 @query(PREFIX + """, b AS (SELECT pair_id, encode(old) AS a, encode(new) AS b FROM pairs),
@@ -239,48 +252,59 @@ def unpatched_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.is_unpatched(files, printed, patched).select(F.col("name").alias("doc_id"), "unpatched")
 
 
-@query("SELECT source, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+PART = "source || '/' || (doc_id // 1000)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``part``, their source and thousand: at most 1000 rows of distinct ids each."""
+    return table(spark, sf_dir, "documents").withColumn("part", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 1000)))
+
+
+@query(f"SELECT {PART} AS part, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
 def ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").cast("binary").alias("entry"))
-    return sequence.digest_by(docs, "source", "doc_id", "entry")
+    docs = _parts(spark, sf_dir).select("part", "doc_id", F.md5("text").cast("binary").alias("entry"))
+    return sequence.digest_by(docs, "part", "doc_id", "entry")
 
 
-@query("""
-SELECT source, md5(unhex(string_agg(hex(encode('./' || doc_id)) || '00' || '000081A4' || printf('%08X', strlen(text)) || '00000000' || upper(md5(text)), '' ORDER BY doc_id))) AS digest
-FROM documents GROUP BY source
+@query(f"""
+WITH f AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 33188 WHEN 1 THEN 41471 WHEN 2 THEN 24960 ELSE 16877 END AS mode FROM documents)
+SELECT {PART} AS part, md5(unhex(string_agg(hex(encode('data/' || doc_id)) || '00' || printf('%08X', mode)
+  || printf('%08X', CASE doc_id % 4 WHEN 0 THEN strlen(text) WHEN 1 THEN strlen(lang) ELSE 0 END) || printf('%08X', CASE doc_id % 4 WHEN 2 THEN doc_id % 65536 ELSE 0 END)
+  || CASE WHEN doc_id % 4 = 0 AND strlen(text) > 0 THEN upper(md5(text)) WHEN doc_id % 4 = 1 THEN hex(encode(lang)) || '00' ELSE '' END, '' ORDER BY doc_id))) AS digest
+FROM f GROUP BY 1
 """)
 def sequence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    entry = sequence.file_entry(F.concat(F.lit("./"), F.col("doc_id")), F.lit(0o100644), F.octet_length("text").cast("long"), F.lit(0), F.lit(""), F.unhex(F.md5("text")))
-    return sequence.digest_by(docs.select("source", "doc_id", entry.alias("entry")), "source", "doc_id", "entry")
+    """Documents as files, links, devices and directories, with device numbers that count for devices only."""
+    docs = _parts(spark, sf_dir)
+    kind = F.pmod("doc_id", F.lit(4))
+    mode = F.when(kind == 0, F.lit(0o100644)).when(kind == 1, F.lit(0o120777)).when(kind == 2, F.lit(0o060600)).otherwise(F.lit(0o040755))
+    entry = sequence.file_entry(F.concat(F.lit("/data/"), F.col("doc_id")), mode, F.octet_length("text").cast("long"), F.pmod("doc_id", F.lit(65536)), F.col("lang"), F.unhex(F.md5("text")))
+    return sequence.digest_by(docs.select("part", "doc_id", entry.alias("entry")), "part", "doc_id", "entry")
 
 
-RUNS = """
-WITH k AS (SELECT doc_id, source, doc_id // 20 AS pos FROM documents WHERE doc_id % 7 <> 3),
-     g AS (SELECT source, pos, pos - row_number() OVER (PARTITION BY source ORDER BY pos) AS g FROM (SELECT DISTINCT source, pos FROM k))
-"""
+RUNS = f"WITH g AS (SELECT part, pos, pos - row_number() OVER (PARTITION BY part ORDER BY pos) AS g FROM (SELECT DISTINCT {PART} AS part, doc_id AS pos FROM documents))\n"
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = table(spark, sf_dir, "documents").where("doc_id % 7 <> 3").select("source", F.floor(F.col("doc_id") / 20).alias("pos")).distinct()
-    return sequence.file_runs(kept, "source", "pos")
+    """Ids of a source leave gaps, as do files of a manifest that are not kept."""
+    return sequence.file_runs(_parts(spark, sf_dir).select("part", F.col("doc_id").alias("pos")).distinct(), "part", "pos")
 
 
-@query(RUNS + 'SELECT source, min(pos) AS first, count(*) AS n FROM g GROUP BY source, g')
+@query(RUNS + "SELECT part, min(pos) AS first, count(*) AS n FROM g GROUP BY part, g")
 def sequence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir)
 
 
-@query(RUNS + "SELECT source, pos AS position FROM g")
+@query(RUNS + "SELECT part, pos AS position FROM g")
 def sequence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.expand_runs(_runs(spark, sf_dir), "source")
+    return sequence.expand_runs(_runs(spark, sf_dir), "part")
 
 
-@query(RUNS + "SELECT source, CAST(count(*) AS INTEGER) AS n, TRUE AS same FROM g GROUP BY source")
+@query(RUNS + "SELECT part, CAST(count(*) AS INTEGER) AS n, TRUE AS same FROM g GROUP BY part")
 def sequence_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = sequence.expand_runs(_runs(spark, sf_dir), "source").groupBy("source").agg(F.array_sort(F.collect_list(F.col("position").cast("int"))).alias("positions"))
-    coded = lists.withColumn("again", sequence.order_positions(sequence.order_bytes(F.col("positions")), F.lit(10**6)))
-    return coded.select("source", F.size("positions").alias("n"), (F.col("again") == F.col("positions")).alias("same"))
+    lists = sequence.expand_runs(_runs(spark, sf_dir), "part").groupBy("part").agg(F.array_sort(F.collect_list(F.col("position").cast("int"))).alias("positions"))
+    coded = lists.withColumn("again", sequence.order_positions(sequence.order_bytes(F.col("positions")), F.lit(2**31 - 2)))
+    return coded.select("part", F.size("positions").alias("n"), (F.col("again") == F.col("positions")).alias("same"))
 
 
 @query("SELECT conv_id, turn, CAST(coalesce(sum(110 + strlen(role) + 1 + strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM conversations")
@@ -402,11 +426,11 @@ def _codec(name: str, comp: Compression) -> None:
     query(f"SELECT doc_id, text, CASE WHEN {int(comp)} <> 0 OR strlen(text) >= 8 THEN {int(comp)} END AS codec FROM documents")(run)
 
 
-for _comp in (Compression.NONE, Compression.GZIP, Compression.BZIP2, Compression.LZMA, Compression.XZ, Compression.ZSTD):
+for _comp in (Compression.NONE, Compression.GZIP, Compression.BZIP2, Compression.LZMA, Compression.XZ, Compression.LZIP, Compression.ZSTD):
     _codec(_comp.name.lower(), _comp)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {int(v)}, {TO_DISK[v]})" for k, v in DISK_CODES.items()) + ") t(disk, comp, again)")
+@query("SELECT * FROM (VALUES (0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 1, 1), (4, 2, 2), (5, 3, 5), (6, 4, 6), (7, 6, 7)) t(disk, comp, again)")
 def comp_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     to_api = F.create_map(*[F.lit(int(x)) for pair in DISK_CODES.items() for x in pair])
     to_disk = F.create_map(*[F.lit(int(x)) for pair in TO_DISK.items() for x in pair])
@@ -414,7 +438,10 @@ def comp_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.withColumn("comp", to_api[F.col("disk")]).withColumn("again", to_disk[F.col("comp")])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{strerror(i)}')" for i in range(12)) + ") t(code, message)")
+@query("""
+SELECT * FROM (VALUES (0, 'no error'), (1, 'memory allocation error'), (2, 'bad arguments'), (3, 'I/O error'), (4, 'wrong file format'), (5, 'misconfigured external library'),
+  (6, 'unspecified/unknown error'), (7, 'file too large'), (8, 'internal programming error'), (9, 'file changed'), (10, 'old RPM not installed'), (11, '(undefined error value)')) t(code, message)
+""")
 def error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = F.create_map(*[F.lit(x) for i in range(11) for x in (i, strerror(i))])
     codes = spark.range(12).select(F.col("id").cast("int").alias("code"))
@@ -424,25 +451,23 @@ def error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- packages and containers ----------------------------------------------------------------------------------------------
 
 
-def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packages(spark: SparkSession, sf_dir: str, comp: int = Compression.NONE, further: bool = False) -> DataFrame:
+    """``(pair_id, old, new)``: both documents of a pair as packages, one after the other where they lie."""
     pairs = prefix_pairs(spark, sf_dir)
-    new = make.wrap_archives(pairs, "pair_id", "new").withColumnRenamed("package", "new")
-    old = make.wrap_archives(pairs, "pair_id", "old").withColumnRenamed("package", "old")
-    return new.join(old, "pair_id")
+    new = make.wrap_archives(pairs, "pair_id", "new", comp, further, keep=("old",)).withColumnRenamed("package", "new")
+    return make.wrap_archives(new, "pair_id", "old", comp, further, keep=("new",)).withColumnRenamed("package", "old")
 
 
-def _container(name: str, options: MakeOptions) -> None:
+def _container(name: str, options: MakeOptions, comp: int = Compression.NONE, further: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        packed = _packages(spark, sf_dir)
-        made = make.make_table(packed, options).select("pair_id", F.col("result").alias("delta"))
-        done = make.apply_table(made.join(packed.select("pair_id", "old"), "pair_id"))
-        view = deltas.info(deltas.parse_files(made.select(F.col("pair_id").cast("string").alias("path"), F.col("delta").alias("content"))))
-        view = view.select(F.col("filename").cast("long").alias("pair_id"), "version", "type", "src_nevr", "tgt_md5")
-        both = done.join(packed.select("pair_id", "new"), "pair_id").select("pair_id", "status", (F.col("result") == F.col("new")).alias("same"), F.md5("new").alias("md5"))
-        return both.join(view, "pair_id").select("pair_id", "status", "same", "version", "type", "src_nevr", (F.col("md5") == F.col("tgt_md5")).alias("digest"))
+        made = make.make_table(_packages(spark, sf_dir, comp, further), options, keep=("old", "new")).select("pair_id", "old", "new", F.col("result").alias("delta"))
+        done = make.apply_table(made, keep=("new", "delta"))
+        facts = F.struct("pair_id", "status", (F.col("result") == F.col("new")).alias("same"), F.md5("new").alias("md5")).alias("facts")
+        view = deltas.info(deltas.parse_files(done.select("pair_id", "delta", facts), "pair_id", "delta", keep=("facts",)), keep=("facts",))
+        return view.select("facts.pair_id", "facts.status", "facts.same", "version", "type", "src_nevr", (F.col("facts.md5") == F.col("tgt_md5")).alias("digest"), "tgt_comp")
 
     run.__name__ = name
-    sql = PREFIX + f"SELECT pair_id, 0 AS status, TRUE AS same, {options.version} AS version, {int(options.type)} AS type, 'data-' || pair_id || '-1' AS src_nevr, TRUE AS digest FROM pairs"
+    sql = PREFIX + f"SELECT pair_id, 0 AS status, TRUE AS same, {options.version} AS version, {int(options.type)} AS type, 'data-' || pair_id || '-1' AS src_nevr, TRUE AS digest, {int(comp)} AS tgt_comp FROM pairs"
     query(sql)(run)
 
 
@@ -450,9 +475,70 @@ _container("container_roundtrip_v1", MakeOptions().with_version(1).with_delta_co
 _container("container_roundtrip_v2", MakeOptions().with_version(2).with_delta_comp(Compression.BZIP2))
 _container("container_roundtrip_v3", MakeOptions().with_delta_comp(Compression.XZ).with_addblk_comp(Compression.ZSTD))
 _container("container_roundtrip_rpmonly", MakeOptions().with_type(DeltaType.RPMONLY).with_delta_comp(Compression.ZSTD).without_addblk())
+# several files and compressed payloads: the archive is altered before it is compared
+_container("container_roundtrip_files", MakeOptions().with_delta_comp(Compression.GZIP), further=True)
+_container("container_roundtrip_gzip", MakeOptions(), Compression.GZIP, further=True)
+_container("container_roundtrip_bzip2", MakeOptions().with_version(1), Compression.BZIP2, further=True)
+_container("container_roundtrip_xz", MakeOptions(), Compression.XZ, further=True)
+_container("container_roundtrip_rpmonly_gzip", MakeOptions().with_type(DeltaType.RPMONLY), Compression.GZIP, further=True)
+
+
+def _installed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(pair_id, header, delta, sequence, files, new)``: some packages or files are missing, some packages are others, some files longer or changed."""
+    pairs = prefix_pairs(spark, sf_dir)
+    made = make.make_table(_packages(spark, sf_dir, Compression.GZIP, True), MakeOptions(), keep=("old", "new")).select("pair_id", "old", "new", F.col("result").alias("delta"))
+    text = deltas.parse_files(made, "pair_id", "delta", keep=("pair_id", "old", "new", "delta")).select(
+        "pair_id", "old", "new", "delta", sequence.sequence_id(F.col("src_nevr"), F.col("sequence")).alias("sequence")
+    )
+    header = F.when(F.col("pair_id") % 5 == 0, F.lit(None)).otherwise(F.col("old"))
+    n, old = F.col("pair_id"), F.col("old")
+    content = F.when(n % 11 == 0, F.concat(old, F.lit("x").cast("binary"))).when(n % 13 == 0, F.concat(F.lit("x").cast("binary"), F.substring(old, 2, F.octet_length(old)))).otherwise(old)
+    files = pairs.where(n % 17 != 0).select("pair_id", F.lit("/data/file").alias("path"), content.alias("content"))
+    return make.with_files(text.withColumn("header", header), files)
+
+
+INSTALLED = PREFIX + """, s AS (SELECT pair_id, strlen(old) > 0 AS full, old, new, CASE WHEN pair_id % 5 = 0 THEN 10 WHEN strlen(old) > 0 AND pair_id % 17 = 0 THEN 3
+   WHEN strlen(old) > 0 AND pair_id % 11 <> 0 AND pair_id % 13 = 0 AND substr(old, 1, 1) <> 'x' THEN 9 ELSE 0 END AS status FROM pairs)
+"""
+
+
+@query(INSTALLED + "SELECT pair_id, status FROM s")
+def check_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas against installed packages and their files."""
+    return make.check_table(_installed_packages(spark, sf_dir), CheckMode.FULL)
+
+
+@query(INSTALLED + "SELECT pair_id, status FROM s")
+def check_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the text of the deltas' sequences."""
+    return make.check_sequence_table(_installed_packages(spark, sf_dir), CheckMode.FULL)
+
+
+@query(INSTALLED + "SELECT pair_id, CASE WHEN status = 9 THEN NULL ELSE status END AS status, CASE WHEN status = 0 THEN TRUE END AS same FROM s")
+def apply_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages made from installed files; what a changed file makes of them depends on whether it is copied from, but it is never the wrong package."""
+    done = make.apply_installed_table(_installed_packages(spark, sf_dir), keep=("new",))
+    same = F.col("result") == F.col("new")
+    n = F.col("pair_id")
+    doubtful = (n % 5 != 0) & (n % 17 != 0) & (n % 11 != 0) & (n % 13 == 0) & ((F.col("status") == 9) | same)
+    return done.select("pair_id", F.when(~doubtful, F.col("status")).alias("status"), F.when(~doubtful, same).alias("same"))
+
+
+@query("""
+SELECT doc_id, 'data-' || doc_id || '-1' AS nevr, FALSE AS is_source, 1 AS comp, 9 AS level, 'cpio' AS format, 5 AS n_files, TRUE AS adds_up, TRUE AS digested, 124 AS longest FROM documents
+""")
+def package_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packages of all documents say of themselves."""
+    docs = table(spark, sf_dir, "documents")
+    packed = make.wrap_archives(docs, "doc_id", "text", Compression.GZIP, True)
+    facts = make.package_facts(packed, "doc_id", "package").join(packed.select("doc_id", F.octet_length("package").alias("bytes")), "doc_id")
+    return facts.select(
+        "doc_id", "nevr", "is_source", "comp", "level", F.decode("format_at", "utf-8").alias("format"), "n_files", ((F.col("size") == F.col("bytes")) & (F.col("head_size") + F.col("archive_size") == F.col("size"))).alias("adds_up"),
+        F.col("signature_md5").isNotNull().alias("digested"), F.col("longest_header").cast("int").alias("longest"),
+    )
 
 
-@query(PREFIX + "SELECT pair_id, 3 AS version, 1 AS type, 2 AS comp, 'data-' || pair_id || '-1' AS tgt_nevr, TRUE AS even, TRUE AS within FROM pairs")
+@query(PREFIX + "SELECT pair_id, 3 AS version, 1 AS type, 2 AS comp, 'data-' || pair_id || '-1' AS tgt_nevr, TRUE AS even, TRUE AS within, TRUE AS unsigned, TRUE AS header FROM pairs")
 def info_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = MakeOptions().with_type(DeltaType.RPMONLY).with_delta_comp(Compression.BZIP2, 7)
     made = make.make_table(_packages(spark, sf_dir), options)
@@ -461,4 +547,5 @@ def info_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select(
         F.col("filename").cast("long").alias("pair_id"), deltas.get_uint(1).cast("int").alias("version"), deltas.get_uint(2).cast("int").alias("type"), deltas.get_uint(3).cast("int").alias("comp"),
         deltas.get_string(6).alias("tgt_nevr"), ((F.size(deltas.get_ulong_array(15)) % 2 == 0) & (F.size(deltas.get_ulong_array(16)) % 2 == 0)).alias("even"), (inserted <= deltas.get_ullong(18)).alias("within"),
+        F.coalesce(F.forall(deltas.get_ulong_array(16), lambda x: (x >= 0) & (x < 2**32)), F.lit(True)).alias("unsigned"), (deltas.get_ulong(11) > 0).alias("header"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..codes import DeltaError, Status, Tag
+from ..functions.batches import byte_slices
 from ..functions.binary import hex_lower, raw_u32
 from .container import parse
 
@@ -45,16 +46,19 @@ def _types() -> list[tuple[str, pa.DataType]]:
     return out
 
 
-def parse_files(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """Rows of ``SCHEMA`` from a table of file names and contents, as ``spark.read.format("binaryFile")`` gives it."""
+def parse_files(files: DataFrame, name: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``SCHEMA`` from a table of file names and contents, as ``spark.read.format("binaryFile")`` gives it; columns to keep follow."""
+    kept = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = _types()
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = row_of(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _types(), strict=True)], names=[n for n, _ in _types()])
+            for part in byte_slices(batch, 1):
+                rows = [row_of(*pair) for pair in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=[*(n for n, _ in types), *keep])
 
-    return files.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).mapInArrow(run, SCHEMA)
+    return files.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content"), *keep).mapInArrow(run, SCHEMA + kept)
 
 
 def read_deltas(spark: SparkSession, path: str) -> DataFrame:
@@ -65,13 +69,13 @@ def read_deltas(spark: SparkSession, path: str) -> DataFrame:
 # -- public view --------------------------------------------------------------------------------------------
 
 
-def info(deltas: DataFrame) -> DataFrame:
-    """The public view: digests and blobs in hex, pairs flattened, empty values null."""
+def info(deltas: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The public view: digests and blobs in hex, pairs flattened as unsigned numbers of 32 bits, empty values null."""
     text = lambda c: F.when(F.octet_length(c) > 0, hex_lower(F.col(c)))
     return deltas.select(
         "filename", "version", "type", "comp", text("sequence").alias("sequence"), "src_nevr", "tgt_nevr", "tgt_size", text("tgt_md5").alias("tgt_md5"), "tgt_comp",
-        text("tgt_comp_param").alias("tgt_comp_param"), "tgt_header_len", flat("off_adj", "pos", "off").alias("off_adj"), text("tgt_leadsig").alias("tgt_leadsig"), "payload_fmt_off",
-        flat("int_copies", "n_ext", "len").alias("int_copies"), flat("ext_copies", "adj", "len").alias("ext_copies"), "ext_data_len", "int_data_len",
+        text("tgt_comp_param").alias("tgt_comp_param"), "tgt_header_len", flat("off_adj", "pos", "off", raw=True).alias("off_adj"), text("tgt_leadsig").alias("tgt_leadsig"), "payload_fmt_off",
+        flat("int_copies", "n_ext", "len", raw=True).alias("int_copies"), flat("ext_copies", "adj", "len", raw=True).alias("ext_copies"), "ext_data_len", "int_data_len", *keep,
     )
 
 

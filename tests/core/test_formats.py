@@ -64,7 +64,7 @@ def test_errors():
     cases = [(lambda: make.apply(new, delta), Status.MISMATCH), (lambda: make.apply(old, b"junk"), Status.FORMAT), (lambda: make.make(None, None), Status.ARGS),
              (lambda: make.make(old, new, MakeOptions().with_type(1).with_version(2)), Status.ARGS), (lambda: container.parse(delta[:-9]), Status.FORMAT),
              (lambda: MakeOptions().with_version(4), Status.ARGS), (lambda: MakeOptions().with_type(2), Status.ARGS), (lambda: MakeOptions().with_delta_comp(1, 10), Status.ARGS), (lambda: MakeOptions().with_patches("a", None), Status.ARGS),
-             (lambda: codecs.compress(b"", Compression.LZIP), Status.CONFIG), (lambda: on_disk(Compression.LZIP, 1), Status.PROG), (lambda: from_disk(99), Status.FORMAT), (lambda: codecs.sniff(b"short"), Status.FORMAT),
+             (lambda: codecs.decompress(b"LZIP\x01\x10" + bytes(30)), Status.FORMAT), (lambda: on_disk(Compression.LZIP, 1), Status.PROG), (lambda: from_disk(99), Status.FORMAT), (lambda: codecs.sniff(b"short"), Status.FORMAT),
              (lambda: codecs.decompress(b"\x1f\x8b" + bytes(20)), Status.FORMAT)]
     for step, status in cases:
         with pytest.raises(DeltaError) as e:
@@ -145,6 +145,78 @@ def patch_list(name, evr, patched, records):
     return out + bytes(2)
 
 
+def test_sequence_of_other_makers():
+    """The digest by hand: names without the first slash, device numbers of devices only."""
+    files = [archive.File("/dev/a", 0o060600, rdev=0x0803), archive.File("/x", 0o100644, 2, md5="0" * 31 + "1", rdev=9), archive.File("/l", 0o120777, linkto="to", rdev=9), archive.File("/d", 0o040755, rdev=9)]
+    raw = b"dev/a\0\0\0\x61\x80" + bytes(4) + b"\0\0\x08\x03" + b"x\0\0\0\x81\xa4\0\0\0\x02" + bytes(4) + bytes(15) + b"\x01" + b"l\0\0\0\xa1\xff\0\0\0\x02" + bytes(4) + b"to\0" + b"d\0\0\0\x41\xed" + bytes(8)
+    assert make.sequence_digest(files, [0, 1, 2, 3]) == hashlib.md5(raw).digest()
+
+
+def test_offset_adjustments():
+    assert archive.shift_deltas([]) == []
+    assert archive.shift_deltas([(100, 140), (300, 300)]) == [(100, 40), (200, -40)]
+    most = 2**31 - 1
+    assert archive.shift_deltas([(most + 5, most + 5 + 2**32)]) == [(most, 0), (5, most), (0, most), (0, 2)]
+    old = package("1", OLD, extra=("/usr/bin/tool",))
+    parsed = container.parse(make.make(old, package("2", NEW)))
+    assert parsed.off_adj and (0, 0) not in parsed.off_adj
+    kept = package("1", {"/a": b"same bytes " * 9})
+    assert container.parse(make.make(kept, kept)).off_adj == []
+
+
+def test_all_zero_digest_falls_back_to_the_signature():
+    old, new = package("1", OLD), package("2", NEW)
+    d = dataclasses.replace(container.parse(make.make(old, new)), tgt_md5=bytes(16))
+    assert make.apply(old, container.encode(d)) == new
+    other = Package.parse(new).with_archive(b"another").lead_and_signature()
+    with pytest.raises(DeltaError) as e:
+        make.apply(old, container.encode(dataclasses.replace(d, tgt_leadsig=other)))
+    assert e.value.status == Status.MISMATCH
+
+
+def test_only_regular_files_are_left_out_as_unpatched():
+    files = [archive.File("/l", 0o120777, linkto="to"), archive.File("/f", 0o100644, 1, md5="0" * 32)]
+    data = archive.pack({"mode": 0o120777, "nlink": 1}, b"./l", b"to") + archive.pack({"mode": 0o100644, "nlink": 1}, b"./f", b"x") + archive.pack({"nlink": 1}, archive.TRAILER.encode())
+    assert archive.normalise(data, files, frozenset(("l", "f"))).positions == [0]
+
+
+def test_apply_from_installed_files():
+    old, new = package("1", OLD), package("2", NEW)
+    delta = make.make(old, new)
+    found = {k: v + b"more" for k, v in OLD.items() if isinstance(v, bytes)}
+    header = Package.parse(old).encode(archive=False)
+    assert make.apply_installed(header, delta, found) == new
+    cases = [(lambda: make.apply_installed(None, delta, found), Status.NOINSTALL), (lambda: make.apply_installed(header, delta, {}), Status.IO), (lambda: make.apply_installed(new, delta, found), Status.MISMATCH),
+             (lambda: make.apply_installed(header, delta, {**found, "/usr/lib/a.so": b"short"}), Status.MISMATCH), (lambda: make.apply_installed(header, make.make(old, new, MakeOptions().with_type(1)), found), Status.ARGS)]
+    for step, status in cases:
+        with pytest.raises(DeltaError) as e:
+            step()
+        assert e.value.status == status
+
+
+@pytest.mark.parametrize("size", [0, 1, 70_000])
+def test_lzip_members(size):
+    raw = RNG.randbytes(size // 2) + b"a" * (size - size // 2)
+    one = codecs.compress(raw, Compression.LZIP)
+    assert codecs.sniff(one) == Compression.LZIP
+    assert codecs.decompress(one) == raw
+    assert codecs.decompress(one + codecs.compress(b"tail", Compression.LZIP)) == raw + b"tail"
+    for bad in (one[:-1], one[:-20] + bytes(20), b"LZIP\x02" + one[5:]):
+        with pytest.raises(DeltaError):
+            codecs.decompress(bad)
+
+
+def test_tables_of_odd_rows(spark):
+    old, new = package("1", OLD), package("2", NEW)
+    rows = [(1, old, new), (2, None, None), (3, b"junk", new), (4, None, new), (None, old, None)]
+    made = make.make_table(spark.createDataFrame(rows, "pair_id int, old binary, new binary")).collect()
+    assert sorted((str(r.pair_id), r.status) for r in made) == [("1", 0), ("2", Status.ARGS), ("3", Status.FORMAT), ("4", 0), ("None", 0)]
+    deltas_ = spark.createDataFrame([(1, old, bytes(made[0].result)), (2, old, None), (3, None, b"x"), (4, old[:50], b"drpm" * 40)], "pair_id int, old binary, delta binary")
+    assert {r.pair_id: r.status == 0 for r in make.apply_table(deltas_).collect()} == {1: True, 2: False, 3: False, 4: False}
+    with pytest.raises(DeltaError):
+        make.make_table(deltas_, MakeOptions().with_seqfile("x"))
+
+
 def test_patch_lists():
     md5 = hashlib.md5(OLD["/usr/lib/a.so"]).digest()
     printed = patch_list("tool", "1-1.fc1", ["usr/bin/tool", "usr/lib/a.so"], [])

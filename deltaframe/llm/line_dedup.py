@@ -1,27 +1,25 @@
-"""Fuzzy deduplication of lines, in DataFrame operations only.
+"""Fuzzy deduplication of lines.
 
 Lines are reduced to lower-case words of letters and digits.  Two lines are linked
 if their edit similarity is at least ``SIMILARITY``.  Of each connected group the first
 occurrence stays, in order of doc_id and place; equal lines are one group anyway.
 
 Lines to compare are found by min-hashes of their word pairs, and of their runs of
-``GRAM`` characters where they have at most ``SHORT`` characters or hardly any words: lines that agree in three of
-their least hashes, in one of the combinations ``AGREED``, of which no two
-have more than one hash in common, share a bucket, and are compared if they agree in ``LEAST_AGREED`` hashes.  A SimHash with pigeonhole blocks cannot
-find them: of lines at similarity 0.8 the SimHashes of 64 bits differ in 5 bits at the median and
+``GRAM`` bytes where they have at most ``SHORT`` characters or hardly any words: lines that agree in three of
+their least hashes, in one of the combinations ``AGREED``, share a bucket, and are compared if they agree in ``LEAST_AGREED`` hashes.  A SimHash
+with pigeonhole blocks cannot find them: of lines at similarity 0.8 the SimHashes of 64 bits differ in 5 bits at the median and
 9 at the ninth decile, so that a block would be 6 bits wide and a bucket hold a 64th of all lines.
 
 Within a bucket all lines are first held against the bucket's leader, which costs
 a row per line.  Components of these links are then contracted, and only lines
 outside their leader's component are held against the rest of the bucket, so that
 a large group of near copies is never paired with itself.  Where that would still be
-more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash.
+more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash, as all that are compared do.
 
-Two lines are first aligned greedily word by word; the edits of that alignment are enough for most similar
-pairs.  For the others the edit distance is computed, up to ``LONG`` characters; longer
-lines are judged by the alignment alone.
+Lines are reduced, hashed and compared in Arrow batches: splitting words by a pattern and adding them up in SQL alone
+takes more than all of this.  All else is joins and aggregates.
 
-Lines are known by the XXH64 of their text and 32 more bits of another hash; links join the former.
+Lines are known by 128 bits of XXH3 of their reduced text; links join the first 64.
 
 Cases: lines without a letter or digit are left as they are; a null text stays
 null and has no lines; an empty one has one, blank, line.  Rows of one doc_id count as one document
@@ -31,15 +29,20 @@ come after all others; other columns are not read and may have any name.
 
 from __future__ import annotations
 
-import random
+import re
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, connected_components, materialise
+from .shared import Scratch, connected_components, materialise, slices
 
-#: Least hashes of a line's word pairs (w) and runs (g), and which of them make a bucket together: the triples of a
-#: Steiner system of nine points for pairs; for runs, of which a changed letter spoils more, of thirteen points.
+#: Least hashes of a line's word pairs (w) and runs (g), and which of them make a bucket together: the triples of
+#: Steiner systems of nine points and, for runs, of which a changed letter spoils more, of thirteen.
 MINIMA = {"w": 9, "g": 13}
 AGREED = {
     "w": ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)),
@@ -50,64 +53,156 @@ GRAM = 4
 SHORT = 80
 #: Characters a word from which on a line hardly has words, as in scripts without spaces.
 WORDLESS = 30
-#: Characters of a line whose edit distance is computed, and of a word within an alignment.
-LONG = 16_384
-WORD = 64
-_FACTORS = [random.Random(20241 + k).getrandbits(31) | 1 for k in range(max(MINIMA.values()))]
+_FACTORS = {kind: np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for seed, (kind, n) in enumerate(MINIMA.items(), 41)}
+#: What stands for a least hash that a line hasn't.
+_NONE = 2**32 - 1
+_SKETCH = [f"s{k}" for k in range((sum(MINIMA.values()) + 1) // 2)]
+#: How often characters occur in a short line, by the last four bits of their first byte, eight counts in a column.
+_COUNTS = ["c0", "c1"]
 SIMILARITY = 0.8
 #: Least hashes in which two lines of a bucket must agree to be read.
-LEAST_AGREED = {"w": 4, "g": 5}
+LEAST_AGREED = {"w": 4, "g": 4}
 #: Pairs that the lines of a bucket may make once its leader's group is known; beyond, the bucket is divided.
-PAIRS = 4096
+PAIRS = 1 << 17
 #: Rows of at most some 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
 _PLACES = 2**31
-
-
-def words_of(line: Column) -> Column:
-    # a-z and 0-9 are letters and numbers as well; named first, they are told faster
-    return F.array_remove(F.split(F.lower(line), r"[^a-z0-9\p{L}\p{N}]+"), "")
-
-
-def _documents(docs: DataFrame) -> DataFrame:
-    """``(d, t, lines)``: the document's key, a hash that tells rows of one id apart, and its lines."""
-    return docs.where(F.col("text").isNotNull()).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines")
-    )
-
-
-def _place() -> Column:
-    """A line's document and place in one number."""
-    return (F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-
-
-def _named_lines(docs: DataFrame) -> DataFrame:
-    lines = _documents(docs).select("d", "t", F.posexplode("lines").alias("pos", "raw"))
-    return lines.select("d", "t", "pos", "raw", F.xxhash64("raw").alias("line"), F.hash("raw").alias("tag"))
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """``(line, tag, first decimal, n, w0.., g0..)`` of each distinct line with words.
-
-    Its first place, how often it occurs, and least hashes of its word pairs, its runs of characters or
-    both.  A row for each pair and run is made and added up within one stage, before the exchange.
-    """
-    lines = _named_lines(docs).withColumn("words", words_of(F.col("raw"))).where(F.size("words") > 0)
-    lines = lines.withColumn("text", F.array_join("words", " ")).withColumn("chars", F.char_length("text"))
-    size, chars = F.size("words"), F.col("chars")
-    letters = F.when((chars <= SHORT) | (chars >= size * WORDLESS), F.split("text", ""))
-    lines = lines.select("line", "tag", "d", "pos", "words", letters.alias("letters"), F.when(chars > SIMILARITY * SHORT, size + 1).otherwise(0).alias("pairs"))
-    last = F.col("pairs") + F.coalesce(F.size("letters") + GRAM - 1, F.lit(0))
-    marks = lines.select("line", "tag", "d", "pos", "words", "letters", "pairs", F.explode(F.sequence(F.lit(1), last)).alias("k"))
-    run, i = F.col("k") > F.col("pairs"), F.col("k") - 1
-    pair = F.xxhash64(F.get("words", i - 1), F.get("words", i))
-    gram = F.xxhash64(*[F.coalesce(F.get("letters", i - F.col("pairs") - GRAM + 1 + j), F.lit("")) for j in range(GRAM)], F.lit(1))
-    marks = marks.select("line", "tag", "d", "pos", "k", run.alias("run"), F.shiftrightunsigned(F.when(run, gram).otherwise(pair), 32).alias("h"))
-    least = lambda which, k: F.min(F.when(which, (F.col("h") * _FACTORS[k]).bitwiseAND(F.lit(0xFFFFFFFF))))
-    minima = [least(which, k).alias(f"{name}{k}") for name, which in (("w", ~F.col("run")), ("g", F.col("run"))) for k in range(MINIMA[name])]
-    here = F.col("k") == 1
-    return marks.groupBy("line", "tag").agg(F.min(F.when(here, _place())).alias("first"), F.sum(here.cast("long")).alias("n"), *minima)
+_GAPS = re.compile(r"[^\w\n]|_")
+_WORD_BYTES = np.array([chr(c).isalnum() or c >= 128 for c in range(256)])
+_BASE = 0x9E3779B97F4A7C15
+
+
+def reduce_line(line: str) -> str:
+    return " ".join(_GAPS.sub(" ", line.lower()).split())
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.multiply.accumulate(factors)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+
+
+class Reduced:
+    """The lines of some texts that have words, all at once: what they belong to, their bytes and their words."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        low = [None if t is None else t.lower() if t.isascii() else _GAPS.sub(" ", t.lower()) for t in texts]
+        n_lines = np.array([0 if t is None else t.count("\n") + 1 for t in low], np.int64)
+        raw = np.frombuffer("".join(f"{t}\n" for t in low if t is not None).encode("utf-8", "surrogatepass"), np.uint8)
+        word = _WORD_BYTES[raw]
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        number = np.cumsum(raw == 10)[starts]  # of a word's line, among all lines; every text ends with a line's end
+        opens = np.diff(number, prepend=-1) != 0
+        first = np.flatnonzero(opens)
+        owner, place = np.repeat(np.arange(len(texts)), n_lines), np.arange(n_lines.sum()) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+        self.owner, self.pos = owner[number[first]], place[number[first]]
+        # words with one space between, lines with one end
+        kept = raw.copy()
+        kept[ends] = 32
+        kept[ends[np.append(first[1:], len(starts))[: len(first)] - 1]] = 10
+        word[ends] = True
+        self.bytes = kept[word]
+        self.lines = self.bytes.tobytes().split(b"\n")[:-1]
+        self.first, self.n_words = first, np.diff(np.append(first, len(starts)))
+        self.line_of = np.cumsum(opens) - 1
+        self._raw, self._starts, self._ends = raw, starts, ends
+
+    def names(self) -> np.ndarray:
+        """Two numbers of 64 bits for each line."""
+        return np.frombuffer(b"".join(xxhash.xxh3_128_digest(line) for line in self.lines), ">i8").astype(np.int64).reshape(-1, 2)
+
+    def word_hashes(self) -> np.ndarray:
+        powers, inverse = _powers(len(self._raw) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self._raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
+        return _mixed((total[self._ends] - total[self._starts]) * inverse[self._starts])
+
+    def sketch(self) -> np.ndarray:
+        """Least hashes of each line, those of word pairs first (uint32)."""
+        n = len(self.lines)
+        out = np.full((n, sum(MINIMA.values())), _NONE, np.uint32)
+        if not n:
+            return out
+        size = np.array([len(x) for x in self.lines])
+        chars = np.add.reduceat((self.bytes & 0xC0) != 0x80, np.concatenate(([0], np.cumsum(size + 1)[:-1]))) - 1
+        # word pairs, one of them with nothing at either end
+        words = np.zeros(len(self._starts) + n + 1, np.uint64)
+        words[np.arange(len(self._starts)) + self.line_of + 1] = self.word_hashes()
+        pairs = (_mixed(words[:-1] * np.uint64(3) + words[1:]) >> np.uint64(32)).astype(np.uint32)
+        begin = self.first + np.arange(n)
+        some = chars > SIMILARITY * SHORT
+        for k, factor in enumerate(_FACTORS["w"]):
+            out[some, k] = np.minimum.reduceat(pairs * factor, begin)[some]
+        some = np.flatnonzero((chars <= SHORT) | (chars >= self.n_words * WORDLESS))
+        if len(some):
+            gap = bytes(GRAM - 1)
+            body = np.frombuffer(gap + b"".join(self.lines[i] + gap for i in some), np.uint8).astype(np.uint64)
+            runs = sum(body[k : len(body) - GRAM + 1 + k] << np.uint64(8 * k) for k in range(GRAM))
+            runs = (_mixed(runs + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+            begin = np.concatenate(([0], np.cumsum(size[some] + GRAM - 1)[:-1]))
+            for k, factor in enumerate(_FACTORS["g"]):
+                out[some, MINIMA["w"] + k] = np.minimum.reduceat(runs * factor, begin)
+        return out
+
+
+    def counts(self) -> np.ndarray:
+        """For each line of at most ``SHORT`` characters how many have which last four bits, one byte each; else zeros (two int64)."""
+        n = len(self.lines)
+        size = np.array([len(x) + 1 for x in self.lines], np.int64)
+        leads = ((self.bytes & 0xC0) != 0x80) & (self.bytes != 10)
+        line = np.repeat(np.arange(n), size)[leads]
+        found = np.bincount(line * 16 + (self.bytes[leads] & 15), minlength=16 * n).reshape(n, 16)
+        found[found.sum(1) > SHORT] = 0
+        return np.ascontiguousarray(found.astype(np.uint8)).view("<i8")
+
+
+def occurrences(docs: DataFrame, sketched: bool) -> DataFrame:
+    """``(d, t, pos, line, tag)`` of each line that has words; ``sketched``: with its least hashes, two in a column.  No shuffle."""
+    columns = [*_SKETCH, *_COUNTS] if sketched else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, 1 << 20):
+                found = Reduced(part.column(2).to_pylist())
+                names = found.names()
+                packed = []
+                if sketched:
+                    least = np.ascontiguousarray(found.sketch())
+                    packed = [pa.array(x) for x in (*least.view("<i8").T, *found.counts().T)]
+                owner = pa.array(found.owner)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(found.pos, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), *packed], names=["d", "t", "pos", "line", "tag", *columns]
+                )
+
+    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "d long, t long, pos int, line long, tag long" + "".join(f", {c} long" for c in columns))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """``(line, tag, first decimal, n, w0.., g0..)``: the first place of each distinct line, how often it occurs, and its least hashes."""
+    place = F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")
+    rows = occurrences(docs, True).select("line", "tag", place.cast("decimal(38,0)").alias("place"), *_SKETCH, *_COUNTS)
+    return rows.groupBy("line", "tag").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*_SKETCH, *_COUNTS)])
+
+
+def least_hashes(kind: str) -> list[Column]:
+    """The least hashes of a kind, from where they are packed; null where there is none."""
+    at = list(MINIMA).index(kind) and MINIMA["w"]
+    cells = [F.shiftrightunsigned(_SKETCH[k // 2], 32 * (k % 2)).bitwiseAND(F.lit(_NONE)) for k in range(at, at + MINIMA[kind])]
+    return [F.nullif(c, F.lit(_NONE)) for c in cells]
 
 
 def _place_columns(first: str) -> tuple[Column, Column]:
@@ -117,14 +212,13 @@ def _place_columns(first: str) -> tuple[Column, Column]:
     return ((F.col(first) - pos) / per).cast("decimal(38,0)").cast("long"), pos.cast("int")
 
 
-def keyed(sketched: DataFrame) -> DataFrame:
+def keyed(lines: DataFrame) -> DataFrame:
     """``(key, line)``: the buckets each line is in."""
     keys = []
-    for name, combinations in AGREED.items():
-        for agreed in combinations:
-            columns = [f"{name}{i}" for i in agreed]
-            keys.append(F.when(F.col(columns[0]).isNotNull(), F.xxhash64(F.lit(" ".join(columns)), *columns)))
-    return sketched.select("line", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    for number, (kind, combinations) in enumerate(AGREED.items()):
+        cells = least_hashes(kind)
+        keys += [F.when(cells[0].isNotNull(), F.xxhash64(F.lit(100 * number + i), *[cells[k] for k in agreed])) for i, agreed in enumerate(combinations)]
+    return lines.select("line", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -132,15 +226,38 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def promising(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of lines that agree in enough of their least hashes to be read."""
+def signature(kind: str) -> list[Column]:
+    """The last eight bits of each least hash of a kind, eight in a number; null for lines without that kind."""
+    cells = least_hashes(kind)
+    words = []
+    for at in range(0, len(cells), 8):
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.bitwiseAND(F.lit(255)), 8 * i) for i, c in enumerate(cells[at : at + 8])]))
+    return words
+
 
-    def side(name: str) -> DataFrame:
-        return lines.select(F.col("line").alias(name), *[F.array(*[F.col(f"{kind}{k}") for k in range(n)]).alias(f"{kind}_{name}") for kind, n in MINIMA.items()])
+def signed(lines: DataFrame, name: str) -> DataFrame:
+    """``(name, of_name)``: lines with their signatures."""
+    cells = [word.alias(f"{kind}{i}") for kind in MINIMA for i, word in enumerate(signature(kind))]
+    return lines.select(F.col("line").alias(name), F.struct(*cells, *_COUNTS).alias(f"of_{name}"))
 
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    agreed = {kind: sum(F.coalesce((F.get(f"{kind}_u", F.lit(k)) == F.get(f"{kind}_v", F.lit(k))).cast("int"), F.lit(0)) for k in range(n)) for kind, n in MINIMA.items()}
-    return both.where((agreed["w"] >= LEAST_AGREED["w"]) | (agreed["g"] >= LEAST_AGREED["g"])).select("u", "v")
+
+def promising(u: str, v: str, similarity: float) -> Column:
+    """Whether two lines agree in enough of their least hashes to be read, by their signatures.
+
+    A character that one of two short lines has more often needs an edit: lines that need too many are not read.
+    """
+    count = lambda name, i: F.shiftrightunsigned(F.col(f"of_{name}")[_COUNTS[i // 8]], 8 * (i % 8)).bitwiseAND(F.lit(255))
+    total = lambda cells: reduce(lambda a, b: a + b, cells)
+    more = F.greatest(*[total([F.greatest(count(x, i) - count(y, i), F.lit(0)) for i in range(16)]) for x, y in ((u, v), (v, u))])
+    sizes = [total([count(x, i) for i in range(16)]) for x in (u, v)]
+    counted = (F.least(*sizes) == 0) | (more <= (1 - F.lit(similarity)) * F.greatest(*sizes) + 1e-9)
+
+    def agreed(kind: str) -> Column:
+        differ = [F.col(f"of_{u}")[f"{kind}{k // 8}"].bitwiseXOR(F.col(f"of_{v}")[f"{kind}{k // 8}"]) for k in range(MINIMA[kind])]
+        same = [F.when(F.shiftrightunsigned(d, 8 * (k % 8)).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k, d in enumerate(differ)]
+        return F.when(F.col(f"of_{u}")[f"{kind}0"].isNotNull() & F.col(f"of_{v}")[f"{kind}0"].isNotNull(), reduce(lambda a, b: a + b, same)).otherwise(0)
+
+    return ((agreed("w") >= LEAST_AGREED["w"]) | (agreed("g") >= LEAST_AGREED["g"])) & counted
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -151,57 +268,78 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scra
     if places.count() <= BROADCAST_ROWS:
         places, holders = F.broadcast(places), F.broadcast(holders)
     # documents without a wanted line are not cut into lines
-    raw = _documents(docs).join(holders, "d", "left_semi").select("d", F.posexplode("lines").alias("pos", "raw"))
-    found = raw.join(places, ["d", "pos"]).where(F.xxhash64("raw") == F.col("line"))
-    return scratch.keep(found.select("line", F.array_join(words_of(F.col("raw")), " ").alias("text")).dropDuplicates(["line"]), "line-texts")
-
-
-def aligned_edits(left: str, right: str) -> Column:
-    """Edits of a greedy alignment of two texts word by word, at least their edit distance.
-
-    Where two words differ, the next two words of the right are looked at, then the next of the left; else
-    one word becomes the other.
-    """
-
-    def step(ours: Column, theirs: Column, state: Column, i: Column) -> Column:
-        j = state["j"]
-        here, there, then, after = F.get(ours, i), F.get(theirs, j), F.get(theirs, j + 1), F.get(theirs, j + 2)
-        size, other = F.char_length(here), F.char_length(there)
-        to = lambda place, edits: F.struct(place.alias("j"), (state["edits"] + edits).alias("edits"))
-        changed = F.when(F.greatest(size, other) > WORD, F.greatest(size, other)).otherwise(F.levenshtein(here, there))
-        return (
-            F.when(here == there, to(j + 1, F.lit(0)))
-            .when(here == then, to(j + 2, other + 1))
-            .when(there.isNull() | (F.get(ours, i + 1) == there), to(j, size + 1))
-            .when(here == after, to(j + 3, other + F.char_length(then) + 2))
-            .otherwise(to(j + 1, changed))
-        )
-
-    def align(both: Column) -> Column:
-        ours, theirs = both["ours"], both["theirs"]
-        start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("edits"))
-        end = F.struct(F.aggregate(F.sequence(F.lit(0), F.size(ours) - 1), start, lambda state, i: step(ours, theirs, state, i)).alias("at"), theirs.alias("theirs"))
-        left_over = lambda at, words: F.aggregate(F.slice(words, at["j"] + 1, F.size(words)), at["edits"], lambda edits, word: edits + F.char_length(word) + 1)
-        return F.transform(F.array(end), lambda state: left_over(state["at"], state["theirs"]))[0]
-
-    # within a lambda the words are split once, wherever the optimiser moves this
-    return F.transform(F.array(F.struct(F.split(left, " ").alias("ours"), F.split(right, " ").alias("theirs"))), align)[0]
+    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.split("text", "\n").alias("lines"))
+    raw = rows.join(holders, "d", "left_semi").select("d", F.posexplode("lines").alias("pos", "text"))
+    # of rows of one doc_id any may hold the line
+    return scratch.keep(raw.join(places, ["d", "pos"]).select("line", "text"), "line-texts")
+
+
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of two texts is at most ``most``: Myers' algorithm, a column of the table in one number."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return True
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    ones, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    plus, minus, score, left = ones, 0, len(a), len(b)
+    for c in b:
+        eq = masks.get(c, 0)
+        vertical = eq | minus
+        diagonal = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | ones & ~(diagonal | plus)
+        down = plus & diagonal
+        left -= 1
+        if up & top:
+            score += 1
+            if score - left > most:
+                return False
+        elif down & top:
+            score -= 1
+        up = up << 1 | 1
+        plus = (down << 1 | ~(vertical | up)) & ones
+        minus = up & vertical
+    return score <= most
+
+
+def alike(left: str, right: str, similarity: float) -> bool:
+    most = int((1 - similarity) * max(len(left), len(right)) + 1e-9)
+    if left == right:
+        return True
+    at, end = 0, min(len(left), len(right))
+    while at < end and left[at] == right[at]:
+        at += 1
+    stop = 0
+    while stop < end - at and left[-1 - stop] == right[-1 - stop]:
+        stop += 1
+    return distance_within(left[at : len(left) - stop], right[at : len(right) - stop], most)
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs ``(u, v)`` of lines whose edit similarity is large enough."""
-    pairs = promising(lines, pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    pairs = scratch.keep(pairs, "line-pairs")
+    """Of promising pairs ``(a, b)`` of lines those ``(u, v)`` whose edit similarity is large enough."""
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("line")).distinct()
     texts = texts_of(docs, lines, wanted, scratch)
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("line").alias("v"), F.col("text").alias("right")), "v")
-    most = F.floor((1 - F.lit(similarity)) * F.greatest(F.char_length("left"), F.char_length("right")) + 1e-9).cast("int")
-    both = both.withColumn("most", most).where(F.abs(F.char_length("left") - F.char_length("right")) <= F.col("most"))
-    exact = F.expr("levenshtein(left, right, most) >= 0")
-    near = F.when(aligned_edits("left", "right") <= F.col("most"), True).otherwise((F.greatest(F.char_length("left"), F.char_length("right")) <= LONG) & exact)
-    return scratch.keep(both.where(near).select("u", "v"), "line-links")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, 2 << 20):
+                u, v, sides = part.column(0), part.column(1), [[reduce_line(x) for x in part.column(c).to_pylist()] for c in (2, 3)]
+                near = []
+                for a, b, *texts in zip(u.to_pylist(), v.to_pylist(), *sides, strict=True):
+                    # rows that share a doc_id may hold other lines at this place
+                    right = [int.from_bytes(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))[:8], "big", signed=True) for t in texts] == [a, b]
+                    near.append(right and alike(*texts, similarity))
+                yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return scratch.keep(both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long"), "line-links")
 
 
 def _labelled(rows: DataFrame, vertex: str, components: DataFrame, name: str) -> DataFrame:
@@ -228,27 +366,29 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratc
     large = scratch.keep(low.where("size > 2").select("key", "leader", "size"), "line-large")
     members = scratch.keep(keyed(lines).join(_bounded(large), "key"), "line-buckets")
     led = members.where(F.col("line") != F.col("leader")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
-    components = scratch.keep(connected_components(verified(docs, lines, two.unionByName(led), similarity, scratch), "lines"), "line-components")
+    to_leader = two.unionByName(led).join(signed(lines, "a"), "a").join(signed(lines, "b"), "b").where(promising("a", "b", similarity))
+    components = scratch.keep(connected_components(verified(docs, lines, to_leader, similarity, scratch), "lines"), "line-components")
     placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "own", "led", "size"), "line-placed")
-    outside = placed.where("own <> led")
-    apart = scratch.keep(outside.groupBy("key").agg(F.count(F.lit(1)).alias("apart")), "line-apart")
+    apart = scratch.keep(placed.where("own <> led").groupBy("key").agg(F.count(F.lit(1)).alias("apart")), "line-apart")
     if apart.isEmpty():
         return components
     placed = placed.join(_bounded(apart), "key").withColumn("many", F.col("apart") * F.col("size") > pairs)
-    further = [F.struct(F.lit(f"{name}{k}").alias("which"), F.col(f"{name}{k}").alias("value")) for name, n in MINIMA.items() for k in range(n)]
-    crowded = placed.where("many").join(lines.select("line", F.filter(F.array(*further), lambda x: x["value"].isNotNull()).alias("minima")), "line")
+    # promising lines agree in one more hash at least of the kind that their bucket is made of, whichever that is
+    further = F.array(*[F.when(value.isNotNull(), F.struct(F.lit(100 * number + k).alias("which"), value.alias("value"))) for number, kind in enumerate(MINIMA) for k, value in enumerate(least_hashes(kind))])
+    crowded = placed.where("many").join(lines.select("line", F.array_compact(further).alias("minima")), "line")
     crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "own", "led")
-    dealt = scratch.keep(placed.where("not many").select("key", "line", "own", "led").unionByName(crowded), "line-dealt")
-    out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("own").alias("own_a"))
-    rest = dealt.select("key", F.col("line").alias("b"), F.col("own").alias("own_b"))
-    others = out.join(rest, "key").where("own_a <> own_b").select("a", "b")
+    dealt = placed.where("not many").select("key", "line", "own", "led").unionByName(crowded)
+    dealt = scratch.keep(dealt.join(signed(lines, "line"), "line"), "line-dealt")
+    out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("own").alias("own_a"), F.col("of_line").alias("of_a"))
+    rest = dealt.select("key", F.col("line").alias("b"), F.col("own").alias("own_b"), F.col("of_line").alias("of_b"))
+    others = out.join(rest, "key").where(F.col("own_a") != F.col("own_b")).where(promising("a", "b", similarity)).select("a", "b")
     return _merged(components, verified(docs, lines, others, similarity, scratch), scratch)
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
     """``(d, t, gone array<int>)``: places of the lines that go, for each document that loses any."""
     scratch = Scratch(docs.sparkSession)
-    lines = scratch.keep(sketches(docs), "line-sketches")
+    lines = scratch.keep(distinct_lines(docs), "line-distinct")
     linked = groups(docs, lines, similarity, scratch, pairs)
     # a line that occurs once and is linked to none needs no decision
     lines = lines.select("line", "tag", "first", "n")
@@ -258,7 +398,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS
     kept_d, kept_pos = _place_columns("keeper")
     decided = grouped.select("line", "tag", "component").join(keepers.select("component", kept_d.alias("kept_d"), kept_pos.alias("kept_pos")), "component").drop("component")
     decided = _bounded(scratch.keep(decided, "line-decided"))
-    going = _named_lines(docs).drop("raw").join(decided, ["line", "tag"]).where(~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos"))))
+    going = occurrences(docs, False).join(decided, ["line", "tag"]).where(~((F.col("d") == F.col("kept_d")) & (F.col("pos") == F.col("kept_pos"))))
     gone = materialise(going.groupBy("d", "t").agg(F.collect_set("pos").alias("gone")), "line-gone")
     scratch.clear()
     return gone

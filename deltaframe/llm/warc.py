@@ -5,9 +5,11 @@ all machines share, under a name no other attempt uses; only archives that a
 finished task reports are part of the result.
 
 Reading: files are cut into byte ranges.  A task looks for gzip's magic number in
-its range, takes a place for a member if a WARC header decodes there and what
+its range, takes a place that it has to guess for a member if a WARC header decodes there and what
 follows the member is another member or the end of the file, and owns the records
-that start inside its range, wherever they end.
+that start inside its range, wherever they end.  Where a member ends the next one is known to
+start; one that doesn't decode is damaged, gives a row that says so, and the search goes on behind it.
+A member may hold several records.
 
 Cases: a null payload is an empty one; a null key or target is left out of the
 record and null again when read; equal rows each give a record; of equal payloads
@@ -45,17 +47,23 @@ _PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("%", "")
 # -- one record --------------------------------------------------------------------------------
 
 
+def record_id(key: int | None, digest: str, revisit: bool) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key} {digest} {revisit}')}>"
+
+
 def encode_record(key: int | None, target: str | None, payload: bytes, digest: str, refers_to: int | None = None, revisit: bool = False) -> bytes:
     """A gzip member that holds one response or revisit record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{key} {target} {digest} {revisit}')}>"),
+        ("WARC-Record-ID", record_id(key, digest, revisit)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", None if target is None else quote(target, safe=_PLAIN)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Profile", PROFILE if revisit else None),
+        ("WARC-Refers-To", record_id(refers_to, digest, False) if revisit else None),
+        ("WARC-Refers-To-Date", DATE if revisit else None),
         ("Row-Key", key),
         ("Row-Refers-To", refers_to),
         ("Payload-Length", len(payload)),
@@ -155,8 +163,26 @@ def _starts_member(f: BinaryIO, at: int) -> bool:
     return not head or head == MAGIC and _member(f, at, False) is not None
 
 
-def read_range(f: BinaryIO, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """``(place, header fields, block)`` of the records that start in ``[start, end)``."""
+def records_of(raw: bytes) -> list[tuple[dict[str, str], bytes]] | None:
+    """The records of an unpacked member, header fields and block; None if what it holds is something else."""
+    out, at = [], 0
+    while at < len(raw):
+        split = raw.find(b"\r\n\r\n", at)
+        fields = parse_header(raw[at:split]) if split >= 0 else None
+        if fields is None:
+            return None
+        end = split + 4 + int(fields["content-length"])
+        if end > len(raw):
+            return None
+        out.append((fields, raw[split + 4 : end]))
+        at = end
+        while raw[at : at + 2] == b"\r\n":
+            at += 2
+    return out
+
+
+def read_range(f: BinaryIO, start: int, end: int) -> Iterator[tuple[int, dict[str, str] | None, bytes]]:
+    """``(place, header fields, block)`` of the records of members that start in ``[start, end)``; fields None: a damaged member."""
     at = start
     known = start == 0  # whether a member is known to start here
     while at < end:
@@ -164,20 +190,22 @@ def read_range(f: BinaryIO, start: int, end: int) -> Iterator[tuple[int, dict[st
         window = f.read(min(_CHUNK, end - at) + 2)
         if not window:
             return
-        hit = 0 if known else window.find(MAGIC)
+        hit = 0 if known and window.startswith(MAGIC) else window.find(MAGIC)
+        known &= hit == 0
         if hit < 0 or at + hit >= end:
             at, known = at + max(1, len(window) - 2), False
             continue
         place = at + hit
         got = _member(f, place, True) if known or _member(f, place, False) else None
-        if got is None or not _starts_member(f, got[1]):
+        records = records_of(got[0]) if got else None
+        if records is None or not known and not _starts_member(f, got[1]):
+            if known:
+                yield place, None, b""
             at, known = place + 1, False
             continue
-        raw, at = got
-        known = True
-        split = raw.index(b"\r\n\r\n")
-        fields = parse_header(raw[:split])
-        yield place, fields, raw[split + 4 : split + 4 + int(fields["content-length"])]
+        at, known = got[1], True
+        for fields, block in records:
+            yield place, fields, block
 
 
 def ranges(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -191,13 +219,16 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
 
     Returns path, place, key, target, record_type, refers_to, payload_bytes,
     payload_digest (both of the full payload: of a response as computed from what
-    was read, of a revisit as its header says) and, if asked for, payload.
+    was read, of a revisit as its header says), damaged (then all else but path and place is null) and,
+    if asked for, payload.
     """
-    schema = "path string, place long, key long, target string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    schema = "path string, place long, key long, target string, record_type string, refers_to long, payload_bytes long, payload_digest string, damaged boolean, payload binary"
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def row(path: str, place: int, fields: dict[str, str], block: bytes) -> tuple:
+    def row(path: str, place: int, fields: dict[str, str] | None, block: bytes) -> tuple:
+        if fields is None:
+            return path, place, *[None] * 6, True, None
         number = lambda name: int(fields[name]) if name in fields else None
         target = unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None
         kind = fields["warc-type"]
@@ -206,7 +237,7 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
             size, digest = len(body), hashlib.sha256(body).hexdigest()
         else:
             body, size, digest = b"", number("payload-length"), fields.get("warc-payload-digest", "").removeprefix("sha256:")
-        return path, place, number("row-key"), target, kind, number("row-refers-to"), size, digest, body if payloads else None
+        return path, place, number("row-key"), target, kind, number("row-refers-to"), size, digest, False, body if payloads else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -233,6 +264,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, range_bytes: int = RANGE_B
     """Every page written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     ensure_importable(spark)
     archives = write(plan_records(pages, "page_id", "url", "html"), scratch_path(spark, "warc"))
+    # a damaged archive would have a row without a page
     return read(archives, range_bytes, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

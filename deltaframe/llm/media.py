@@ -5,7 +5,8 @@ tensor at several scales; around each a patch is turned to its own orientation a
 read by binary intensity tests, 96 bits in three words.  All corners are searched, so that
 a small part of a large image is found as well.  Three of the twelve bytes at a time are joined as
 24 Hamming tables: descriptors that differ in at most three bits agree in one of them, and most
-that differ in some more.
+that differ in some more.  Which entries the queries have is a bit each, 2 MiB a table however many
+images there are; every task is given these bits, and of the index only entries that a query has are dealt.
 Matches of a query and an image count if enough of them agree on one rotation,
 scale and shift.
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ MOST_BITS = 18
 LEAST_INLIERS = 4
 SLACK = 5.0
 TURN = 20.0
+#: Classes whose digests and ids, some 100 bytes each, may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 _ANGLES = 36
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -97,7 +99,8 @@ def _decode_png(raw: bytes) -> np.ndarray | None:
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     if depth != 8 or interlaced or w < 1 or h < 1:
         return None
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * channels + 1)
+    size = h * (w * channels + 1)  # what is packed beyond that is not unpacked
+    rows = np.frombuffer(zlib.decompressobj().decompress(body, size), np.uint8).reshape(h, w * channels + 1)
     out = np.zeros((h, w * channels), np.uint8)
     above = np.zeros(w * channels, np.uint8)
     for y in range(h):
@@ -250,17 +253,72 @@ def classes(df: DataFrame, key: str, image: str) -> DataFrame:
     return df.where(F.col(image).isNotNull()).select(F.col(key).alias("key"), F.sha2(image, 256).alias("digest")).groupBy("digest").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("members"))
 
 
-def search(queries: DataFrame, found: DataFrame, least: int = LEAST_INLIERS, most_bits: int = MOST_BITS) -> DataFrame:
-    """Images that hold what a query shows, both given by their corners: query_id, class_id, inliers, degrees, scale, shift_x, shift_y."""
+def table_entries(words: np.ndarray) -> np.ndarray:
+    """The entry in each table of descriptors of three words: the table's number, then three bytes."""
+    octets = words.astype(">u4").view(np.uint8).reshape(len(words), BITS // 8).astype(np.int64)
+    entries = [[octets[:, (t + i) % 12] for i in three] for three in TABLES for t in range(12)]
+    return np.stack([number << 24 | a << 16 | b << 8 | c for number, (a, b, c) in enumerate(entries)], 1)
+
+
+_PIECE = 16  # bits of an entry that lie in one piece of the map
+_CORNER_NAMES = [c.split()[0] for c in _CORNER.split(", ")]
+
+
+def _words(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in ("w0", "w1", "w2")], 1)
+
+
+def asked_entries(queries: DataFrame) -> dict[int, bytes]:
+    """The tables' entries that any query has, as packed maps of bits by piece."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(table_entries(_words(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(found >> _PIECE), pa.array(found & (1 << _PIECE) - 1)], names=["piece", "at"])
 
-    def tables(df: DataFrame, side: str) -> DataFrame:
-        byte = [F.shiftrightunsigned(f"w{b // 4}", 24 - 8 * (b % 4)).bitwiseAND(F.lit(255).cast("long")) for b in range(12)]
-        keys = [reduce(lambda key, b: F.shiftleft(key, 8).bitwiseOR(b), [byte[(t + i) % 12] for i in three]) for three in TABLES for t in range(12)]
-        words = F.posexplode(F.array(*keys)).alias("table", "word")
-        return df.select(F.struct("x", "y", "angle", "scale", "w0", "w1", "w2").alias(side), F.col("key").alias(f"{side}_key"), words)
+    def packed(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << _PIECE, bool)
+        bits[rows.column("at").to_numpy()] = True
+        return pa.table({"piece": [rows.column("piece")[0].as_py()], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
+    seen = queries.select("w0", "w1", "w2").mapInArrow(entries, "piece long, at long").distinct()
+    rows = seen.groupBy("piece").applyInArrow(packed, "piece long, bits binary").toArrow()
+    return dict(zip(rows.column("piece").to_pylist(), rows.column("bits").to_pylist(), strict=True))
+
+
+def dealt(df: DataFrame, side: str, asked: dict[int, bytes] | None = None) -> DataFrame:
+    """``(entry, side struct, side_key)`` of each corner and table, or only of the entries that are asked for."""
+    kind = df.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None
+        if asked is not None:
+            wanted = np.zeros(12 * len(TABLES) << 24 - 3, np.uint8)
+            for piece, bits in asked.items():
+                at = piece << _PIECE - 3
+                wanted[at : at + (1 << _PIECE - 3)] = np.frombuffer(zlib.decompress(bits), np.uint8)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                entries = table_entries(_words(part))
+                if wanted is None:
+                    rows = np.repeat(np.arange(len(entries)), entries.shape[1])
+                    entries = entries.ravel()
+                else:
+                    rows, tables = np.nonzero(wanted[entries >> 3] >> (7 - (entries & 7)) & 1)
+                    entries = entries[rows, tables]
+                got = part.take(pa.array(rows))
+                corner = pa.StructArray.from_arrays([got.column(name) for name in _CORNER_NAMES], names=_CORNER_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(entries), corner, got.column("key")], names=["entry", side, f"{side}_key"])
+
+    struct = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in _CORNER.split(", "))
+    return df.select("key", *_CORNER_NAMES).mapInArrow(run, f"entry long, {side} struct<{struct}>, {side}_key {kind}")
+
+
+def search(queries: DataFrame, found: DataFrame, least: int = LEAST_INLIERS, most_bits: int = MOST_BITS) -> DataFrame:
+    """Images that hold what a query shows, both given by their corners: query_id, class_id, inliers, degrees, scale, shift_x, shift_y."""
     bits = sum(F.bit_count(F.col(f"q.w{i}").bitwiseXOR(F.col(f"i.w{i}"))) for i in range(3))
-    hits = tables(queries, "q").join(tables(found, "i"), ["table", "word"]).where(bits <= most_bits)
+    hits = dealt(queries, "q").join(dealt(found, "i", asked_entries(queries)), "entry").where(bits <= most_bits)
     pair = F.array(*[F.col(f"{side}.{c}").cast("float") for side in "qi" for c in ("x", "y", "angle", "scale")])
     pairs = hits.groupBy("q_key", "i_key").agg(F.collect_set(pair).alias("matches")).where(F.size("matches") >= least)
 
@@ -282,11 +340,13 @@ def find_copies(images: DataFrame, queries: DataFrame, key: str, image: str) ->
     Rows: ``kind`` "member" (key, class_id, members) or "match" (key of the query,
     class_id, members and the transform from the query to the class's image).
     """
-    named = classes(images, key, image)
-    named = materialise(named, "media-classes")
+    named = materialise(classes(images, key, image), "media-classes")
     members = images.select(F.col(key).alias("id"), F.sha2(image, 256).alias("digest")).join(named, "digest", "left")
-    one = images.select(F.col(key).alias("class_id"), F.col(image).alias("image"), F.sha2(image, 256).alias("digest")).join(named.select("digest", "class_id"), ["digest", "class_id"], "left_semi")
-    index = materialise(corners(one.dropDuplicates(["digest"]), "class_id", "image"), "media-index")
+    # rows that repeat the image of least key give the same corners again, which count once
+    least = named.select("digest", "class_id")
+    least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
+    one = images.select(F.col(key).alias("class_id"), F.col(image).alias("image"), F.sha2(image, 256).alias("digest")).join(least, ["digest", "class_id"], "left_semi")
+    index = materialise(corners(one, "class_id", "image"), "media-index")
     asked = materialise(corners(queries, key, image), "media-queries")
     matched = search(asked, index).join(named.select("class_id", "members"), "class_id")
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("inliers", "int"), ("degrees", "double"), ("scale", "double"), ("shift_x", "double"), ("shift_y", "double"))]

@@ -298,13 +298,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of least doc_id of each component, with the columns of ``documents``.
 
-    Of rows that share that id one stays; rows without an id are left as they are.
+    Rows are told apart by id and text: of equal ones one stays, and of several of a component's least id that of
+    least text hash; rows without an id are left as they are.
     """
-    groups = cluster(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    columns = docs.columns
-    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*columns)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), "text")
+    kept = cluster(known, "key").select(F.col("component_id").alias("key")).distinct().select("key.*")
+    return _rows_of(docs, kept)
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row for each ``(doc_id, hash)``, and all rows without an id."""
+    named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).withColumn("doc_id", F.col("row.doc_id")).withColumn("hash", F.xxhash64("row.text"))
+    one = named.join(kept, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"])
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 # -- near copies by shingle similarity ----------------------------------------------------------
@@ -374,11 +380,11 @@ def keep_unlike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     Candidates share a band of min-hashes and are compared by their whole shingle sets.  Texts without
     words are equal.  Within a band all are first held against one leader; only those it does not link
-    are held against the others.  Of rows that share an id one stays; rows without an id are left as they are.
+    are held against the others.  Rows are told apart by id and text: of equal ones one stays; rows without an id are left as they are.
     """
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     prints = materialise(sketches(known, width), "near-sketches")
-    sets = materialise(prints.groupBy("digest").agg(F.min_by(F.struct("hash", "size", "keys"), "doc_id").alias("one"), F.min("doc_id").alias("low")).select("digest", "low", "one.*"), "near-sets")
+    sets = materialise(prints.groupBy("digest").agg(F.min_by(F.struct("hash", "size", "keys"), F.struct("doc_id", "hash")).alias("one"), F.min("doc_id").alias("low")).select("digest", "low", "one.*"), "near-sets")
     keyed = sets.select("digest", "size", F.posexplode("keys").alias("band", "key"))
     leaders = keyed.groupBy("band", "key").agg(F.min("digest").alias("leader"), F.min_by("size", "digest").alias("leader_size"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(keyed.join(leaders, ["band", "key"]), "near-members")
@@ -394,7 +400,6 @@ def keep_unlike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     rest = placed.select("band", "key", F.col("digest").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"))
     others = apart.join(rest, ["band", "key"]).where((F.col("own_a") != F.col("own_b")) & sized("size_a", "size_b")).select("a", "b")
     linked = connected_components(found.unionByName(alike(known, sets, others, width, similarity)), "near")
-    groups = sets.join(linked, sets.digest == linked.vertex, "left").select("digest", "low", F.coalesce("component", "digest").alias("component"))
-    kept = groups.groupBy("component").agg(F.min("low").alias("doc_id")).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = sets.join(linked, sets.digest == linked.vertex, "left").select("digest", "low", "hash", F.coalesce("component", "digest").alias("component"))
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("low").alias("doc_id"), "hash")).alias("key")).select("key.*")
+    return _rows_of(docs, kept)

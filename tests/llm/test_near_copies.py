@@ -45,3 +45,32 @@ def test_stage_against_all_pairs(spark):
     want = {find(i) for i in ids}
     assert len(ids) - len(want) > len(ids) - len({frozenset(s) for s in sets.values()}) + 20
     assert {r.doc_id for r in got.collect()} == want | {None}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    from deltaframe.llm import simhash
+
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "en"), (5, text, "en"), (5, other, "en"), (5, other, "en"), (7, text + " more", "en"), (None, text, "en")], "doc_id long, text string, hash string")
+    for keep in (simhash.keep_unlike, simhash.keep_one):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        kept = sorted(((r.doc_id, r.text[:2]) for r in got.collect()), key=str)
+        want = [(1, "w0"), (5, "v0"), (None, "w0")] + [(7, "w0")] * (keep is simhash.keep_one and len(kept) == 4)
+        assert kept == sorted(want, key=str)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated ids and further columns through all stages but the last, and empty tables."""
+    rows = [(1, None, "en", "s", None, 1, 0.5), (2, "", "en", "s", 0, 1, 0.5), (2, "", "en", "s", 0, 1, 0.5), (None, "A line.\nA line.", None, None, 15, 1, 0.5), (3, "x" * 50_000, "en", "s", 50_000, 1, 0.5), (3, "The cat is on the mat and it was good. " * 30, "en", "s", 1140, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, hash double")
+    spark.createDataFrame([(1, 1), (3, None), (None, 0), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "it was good"), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        n = table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, str(tmp_path))
+            if name != "byte_bpe":
+                assert got.columns == docs.columns
+            assert got.count() <= n

@@ -34,11 +34,13 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a local folder is made once
-    and kept in the session's configuration.
+    Where the session names none and runs on one machine (tests, a laptop) a local folder is made once
+    and kept in the session's configuration; on a cluster it has to be named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.deltaframe.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="deltaframe-")
         spark.conf.set("spark.deltaframe.scratch", path)
     return path.rstrip("/")

@@ -59,11 +59,14 @@ _NONE = 2**32 - 1
 _SKETCH = [f"s{k}" for k in range((sum(MINIMA.values()) + 1) // 2)]
 #: How often characters occur in a short line, by the last four bits of their first byte, eight counts in a column.
 _COUNTS = ["c0", "c1"]
+_HAS = sum(MINIMA.values())  # where a signature says which kinds of hashes a line has
+_SIGNATURE = [f"z{k}" for k in range((_HAS + 2 + 16 + 7) // 8)]
 SIMILARITY = 0.8
 #: Least hashes in which two lines of a bucket must agree to be read.
 LEAST_AGREED = {"w": 4, "g": 4}
 #: Pairs that the lines of a bucket may make once its leader's group is known; beyond, the bucket is divided.
 PAIRS = 1 << 17
+_AT_ONCE = 1 << 18
 #: Rows of at most some 24 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
@@ -226,38 +229,98 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def signature(kind: str) -> list[Column]:
-    """The last eight bits of each least hash of a kind, eight in a number; null for lines without that kind."""
-    cells = least_hashes(kind)
-    words = []
-    for at in range(0, len(cells), 8):
-        words.append(reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.bitwiseAND(F.lit(255)), 8 * i) for i, c in enumerate(cells[at : at + 8])]))
-    return words
+def signatures(lines: DataFrame) -> DataFrame:
+    """``(line, z0..)``: the last eight bits of each least hash, which kinds there are, and the counts of characters, eight bytes in a column."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            least = np.ascontiguousarray(np.stack(cells[1 : 1 + len(_SKETCH)], 1)).view("<u4")[:, : sum(MINIMA.values())]
+            out = np.zeros((batch.num_rows, 8 * len(_SIGNATURE)), np.uint8)
+            out[:, : least.shape[1]] = least
+            for at, first in ((_HAS, 0), (_HAS + 1, MINIMA["w"])):
+                out[:, at] = least[:, first] != _NONE
+            out[:, _HAS + 2 : _HAS + 18] = np.ascontiguousarray(np.stack(cells[1 + len(_SKETCH) :], 1)).view(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.ascontiguousarray(out).view("<i8").T)], names=["line", *_SIGNATURE])
 
-def signed(lines: DataFrame, name: str) -> DataFrame:
-    """``(name, of_name)``: lines with their signatures."""
-    cells = [word.alias(f"{kind}{i}") for kind in MINIMA for i, word in enumerate(signature(kind))]
-    return lines.select(F.col("line").alias(name), F.struct(*cells, *_COUNTS).alias(f"of_{name}"))
+    return lines.select("line", *_SKETCH, *_COUNTS).mapInArrow(run, "line long" + "".join(f", {c} long" for c in _SIGNATURE))
 
 
-def promising(u: str, v: str, similarity: float) -> Column:
-    """Whether two lines agree in enough of their least hashes to be read, by their signatures.
+def promising(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines agree in enough of their least hashes to be read, by their signatures (bytes, a row each).
 
     A character that one of two short lines has more often needs an edit: lines that need too many are not read.
     """
-    count = lambda name, i: F.shiftrightunsigned(F.col(f"of_{name}")[_COUNTS[i // 8]], 8 * (i % 8)).bitwiseAND(F.lit(255))
-    total = lambda cells: reduce(lambda a, b: a + b, cells)
-    more = F.greatest(*[total([F.greatest(count(x, i) - count(y, i), F.lit(0)) for i in range(16)]) for x, y in ((u, v), (v, u))])
-    sizes = [total([count(x, i) for i in range(16)]) for x in (u, v)]
-    counted = (F.least(*sizes) == 0) | (more <= (1 - F.lit(similarity)) * F.greatest(*sizes) + 1e-9)
+    enough = np.zeros(len(left), bool)
+    first = 0
+    for has, (kind, n) in enumerate(MINIMA.items(), _HAS):
+        agreed = (left[:, first : first + n] == right[:, first : first + n]).sum(1, dtype=np.uint8)
+        enough |= (agreed >= LEAST_AGREED[kind]) & (left[:, has] & right[:, has]).astype(bool)
+        first += n
+    a, b = (x[:, _HAS + 2 : _HAS + 18].astype(np.int16) for x in (left, right))
+    size, other = a.sum(1), b.sum(1)
+    more = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
+    return enough & ((np.minimum(size, other) == 0) | (more <= (1 - similarity) * np.maximum(size, other) + 1e-9))
+
+
+def _signature_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)).view(np.uint8)
+
+
+def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of lines that are worth reading."""
+    side = lambda name: signed.select(F.col("line").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _SIGNATURE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_signature_of(batch, [f"{name}_{c}" for c in _SIGNATURE]) for name in "ab"]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(promising(*both, similarity)))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Promising pairs ``(a, b)`` of lines of one bucket but different components, one of them outside its leader's.
+
+    ``dealt``: key, line, own, led and signatures.  Buckets of no more than ``PAIRS`` pairs, or divided ones, lie together in a sorted partition.
+    """
+    names = ["key", "line", "own", "led", *_SIGNATURE]
+
+    def within(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole buckets, a row of each with all that follow it, so many at a time that they fit into memory."""
+        batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        key, line, own, led = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
+        sign = _signature_of(batch, _SIGNATURE)
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        follow = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(key)) - 1
+        upto = np.cumsum(follow)
+        start = 0
+        while start < len(key):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _AT_ONCE, side="right")))
+            n = follow[start:stop]
+            i = np.repeat(np.arange(start, stop), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            some = (own[i] != own[j]) & ((own[i] != led[i]) | (own[j] != led[j]))
+            i, j = i[some], j[some]
+            some = promising(sign[i], sign[j], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(line[i[some]]), pa.array(line[j[some]])], names=["a", "b"])
+            start = stop
 
-    def agreed(kind: str) -> Column:
-        differ = [F.col(f"of_{u}")[f"{kind}{k // 8}"].bitwiseXOR(F.col(f"of_{v}")[f"{kind}{k // 8}"]) for k in range(MINIMA[kind])]
-        same = [F.when(F.shiftrightunsigned(d, 8 * (k % 8)).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k, d in enumerate(differ)]
-        return F.when(F.col(f"of_{u}")[f"{kind}0"].isNotNull() & F.col(f"of_{v}")[f"{kind}0"].isNotNull(), reduce(lambda a, b: a + b, same)).otherwise(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(key[:1] != held[-1].column("key")[-1].as_py(), key[1:] != key[:-1])) if held else []
+            if len(cuts):  # whole buckets end where the last one of this batch starts
+                yield from within([*held, batch.slice(0, int(cuts[-1]))])
+                held, batch = [], batch.slice(int(cuts[-1]))
+            held.append(batch)
+        if held:
+            yield from within(held)
 
-    return ((agreed("w") >= LEAST_AGREED["w"]) | (agreed("g") >= LEAST_AGREED["g"])) & counted
+    return dealt.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -306,17 +369,27 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def _common_start(a: str, b: str) -> int:
+    """Letters that two texts start with in common, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def alike(left: str, right: str, similarity: float) -> bool:
     most = int((1 - similarity) * max(len(left), len(right)) + 1e-9)
     if left == right:
         return True
-    at, end = 0, min(len(left), len(right))
-    while at < end and left[at] == right[at]:
-        at += 1
-    stop = 0
-    while stop < end - at and left[-1 - stop] == right[-1 - stop]:
-        stop += 1
-    return distance_within(left[at : len(left) - stop], right[at : len(right) - stop], most)
+    at = _common_start(left, right)
+    left, right = left[at:], right[at:]
+    stop = _common_start(left[::-1], right[::-1])
+    left, right = left[: len(left) - stop], right[: len(right) - stop]
+    return max(len(left), len(right)) <= most or distance_within(left, right, most)
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -366,7 +439,8 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratc
     large = scratch.keep(low.where("size > 2").select("key", "leader", "size"), "line-large")
     members = scratch.keep(keyed(lines).join(_bounded(large), "key"), "line-buckets")
     led = members.where(F.col("line") != F.col("leader")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
-    to_leader = two.unionByName(led).join(signed(lines, "a"), "a").join(signed(lines, "b"), "b").where(promising("a", "b", similarity))
+    signed = scratch.keep(signatures(lines), "line-signatures")
+    to_leader = promising_pairs(signed, two.unionByName(led), similarity)
     components = scratch.keep(connected_components(verified(docs, lines, to_leader, similarity, scratch), "lines"), "line-components")
     placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "own", "led", "size"), "line-placed")
     apart = scratch.keep(placed.where("own <> led").groupBy("key").agg(F.count(F.lit(1)).alias("apart")), "line-apart")
@@ -378,10 +452,7 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratc
     crowded = placed.where("many").join(lines.select("line", F.array_compact(further).alias("minima")), "line")
     crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "own", "led")
     dealt = placed.where("not many").select("key", "line", "own", "led").unionByName(crowded)
-    dealt = scratch.keep(dealt.join(signed(lines, "line"), "line"), "line-dealt")
-    out = dealt.where("own <> led").select("key", F.col("line").alias("a"), F.col("own").alias("own_a"), F.col("of_line").alias("of_a"))
-    rest = dealt.select("key", F.col("line").alias("b"), F.col("own").alias("own_b"), F.col("of_line").alias("of_b"))
-    others = out.join(rest, "key").where(F.col("own_a") != F.col("own_b")).where(promising("a", "b", similarity)).select("a", "b")
+    others = pairs_within(dealt.join(signed, "line"), similarity)
     return _merged(components, verified(docs, lines, others, similarity, scratch), scratch)
 
 

@@ -72,12 +72,25 @@ BROADCAST_ROWS = 1_000_000
 _LAST = 2**63 - 1
 _PLACES = 2**31
 _GAPS = re.compile(r"[^\w\n]|_")
+_ASCII_GAPS = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: Bytes of ASCII and of U+00C0 to U+024F in UTF-8.
+_PLAIN = bytes([*range(0xC0), *range(0xC3, 0xCA)])
 _WORD_BYTES = np.array([chr(c).isalnum() or c >= 128 for c in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 
 
 def reduce_line(line: str) -> str:
-    return " ".join(_GAPS.sub(" ", line.lower()).split())
+    low = line.lower()
+    return " ".join((low.translate(_ASCII_GAPS) if low.isascii() else _GAPS.sub(" ", low)).split())
+
+
+def _lower_bytes(text: str) -> bytes:
+    """A text in lower case, with spaces for what is no letter or digit beyond ASCII."""
+    low = text.lower()
+    raw = low.encode("utf-8", "surrogatepass")
+    if raw.translate(None, _PLAIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:  # of U+00C0 to U+024F only two are no letters
+        raw = _GAPS.sub(" ", low).encode("utf-8", "surrogatepass")
+    return raw
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -102,9 +115,9 @@ class Reduced:
     """The lines of some texts that have words, all at once: what they belong to, their bytes and their words."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        low = [None if t is None else t.lower() if t.isascii() else _GAPS.sub(" ", t.lower()) for t in texts]
-        n_lines = np.array([0 if t is None else t.count("\n") + 1 for t in low], np.int64)
-        raw = np.frombuffer("".join(f"{t}\n" for t in low if t is not None).encode("utf-8", "surrogatepass"), np.uint8)
+        low = [None if t is None else _lower_bytes(t) for t in texts]
+        n_lines = np.array([0 if t is None else t.count(b"\n") + 1 for t in low], np.int64)
+        raw = np.frombuffer(b"\n".join([*(t for t in low if t is not None), b""]), np.uint8)
         word = _WORD_BYTES[raw]
         edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
@@ -178,7 +191,7 @@ def occurrences(docs: DataFrame, sketched: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, 1 << 20):
+            for part in slices(batch, 2, 1 << 18):
                 found = Reduced(part.column(2).to_pylist())
                 names = found.names()
                 packed = []
@@ -381,9 +394,38 @@ def _common_start(a: str, b: str) -> int:
     return low
 
 
+def aligned_edits(left: list[str], right: list[str], most: int) -> int:
+    """Edits of a greedy alignment of words, at least the edit distance of the texts; more than ``most`` if they grow beyond.
+
+    Where two words differ, the next two words of the right are looked at, then the next of the left; else
+    one word becomes the other.
+    """
+    edits = j = 0
+    n = len(right)
+    for i, word in enumerate(left):
+        there = right[j] if j < n else None
+        if word == there:
+            j += 1
+            continue
+        if j + 1 < n and word == right[j + 1]:
+            edits += len(there) + 1
+            j += 2
+        elif there is None or i + 1 < len(left) and left[i + 1] == there:
+            edits += len(word) + 1
+        elif j + 2 < n and word == right[j + 2]:
+            edits += len(there) + len(right[j + 1]) + 2
+            j += 3
+        else:
+            edits += max(len(word), len(there))
+            j += 1
+        if edits > most:
+            return edits
+    return edits + sum(len(word) + 1 for word in right[j:])
+
+
 def alike(left: str, right: str, similarity: float) -> bool:
     most = int((1 - similarity) * max(len(left), len(right)) + 1e-9)
-    if left == right:
+    if left == right or aligned_edits(left.split(" "), right.split(" "), most) <= most:
         return True
     at = _common_start(left, right)
     left, right = left[at:], right[at:]

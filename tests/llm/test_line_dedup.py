@@ -157,6 +157,19 @@ def test_reduced_lines_and_sketches():
     assert L.Reduced([None, ""]).names().shape == (0, 2)
 
 
+def test_aligned_edits_are_no_fewer_than_edits():
+    rng = random.Random(11)
+    for _ in range(400):
+        a, b = (rng.choices(["ab", "b", "cab", "bb"], k=rng.randrange(1, 9)) for _ in range(2))
+        assert L.aligned_edits(a, b, 99) >= distance(" ".join(a), " ".join(b))
+
+
+def test_bytes_beyond_ascii_are_told_as_the_pattern_tells_them():
+    for c in (*range(0x80, 0x600), *range(0x2000, 0x2100), 0x3000, 0x4E2D, 0x1F642):
+        text = f"a{chr(c)}b"
+        assert [x.decode() for x in L.Reduced([text]).lines] == [L.reduce_line(text)], hex(c)
+
+
 def test_bounded_distance():
     rng = random.Random(6)
     for _ in range(400):

@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import slices, tidied
 
 #: Pre-tokens kept per worker; a full cache is emptied.
 CACHE_ENTRIES = 200_000
@@ -144,7 +144,7 @@ _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
 def load(path: str, pattern: str) -> ByteBpe:
-    """The codec of a rank file, kept for the life of the worker."""
+    """The codec of a rank file, kept until a task that encodes ends."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBpe(read_ranks(path), pattern)
     return _LOADED[path, pattern]
@@ -164,9 +164,9 @@ def encode(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str) ->
             for part in slices(batch, 1):
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
-        codec.cache.clear()  # the worker may go on with other work
+        _LOADED.clear()  # the worker may go on with other work
 
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, ids binary")
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), f"key {kind.simpleString()}, ids binary")
     return out.withColumnRenamed("key", key)
 
 
@@ -181,7 +181,7 @@ def decode(df: DataFrame, key: str, ids: str, ranks_path: str, pattern: str) ->
                 raw = [codec.decode(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw, pa.binary())], names=["key", "ids", "decoded"])
 
-    out = df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind.simpleString()}, ids binary, decoded binary")
+    out = df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(tidied(run), f"key {kind.simpleString()}, ids binary, decoded binary")
     return out.withColumnRenamed("key", key).withColumnRenamed("ids", ids) if ids != "ids" else out.withColumnRenamed("key", key)
 
 

@@ -31,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, open_read, open_write, scratch_path, slices, text_bytes
+from .shared import materialise, open_read, open_write, scratch_path, slices, text_bytes, tidied
 
 ERROR_RATE = 0.1
 LEAST_CHARS = 25
@@ -275,7 +275,7 @@ def find_items(df: DataFrame, key: str, text: str, blocks: Blocks, item_type: st
         for part, found in _matched(batches, 1, blocks, Matcher.find):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([closest_of(hits) for hits in found], pa.list_(struct))], names=["key", "hits"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, hits {hit}").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), f"key {kind}, hits {hit}").withColumnRenamed("key", key)
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, str]:
@@ -299,4 +299,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
         for part, found in _matched(batches, at, blocks, lambda matcher, t: [True] if matcher.holds(t) else []):
             yield part.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, connected_components, materialise, slices
+from .shared import Scratch, connected_components, materialise, slices, tidied
 
 #: Least hashes of a line's word pairs (w) and runs (g), and which of them make a bucket together: the triples of
 #: Steiner systems of nine points and, for runs, of which a changed letter spoils more, of thirteen.
@@ -204,7 +204,7 @@ def occurrences(docs: DataFrame, sketched: bool) -> DataFrame:
                 )
 
     rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "d long, t long, pos int, line long, tag long" + "".join(f", {c} long" for c in columns))
+    return rows.mapInArrow(tidied(run), "d long, t long, pos int, line long, tag long" + "".join(f", {c} long" for c in columns))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def signatures(lines: DataFrame) -> DataFrame:
             out[:, _HAS + 2 : _HAS + 18] = np.ascontiguousarray(np.stack(cells[1 + len(_SKETCH) :], 1)).view(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.ascontiguousarray(out).view("<i8").T)], names=["line", *_SIGNATURE])
 
-    return lines.select("line", *_SKETCH, *_COUNTS).mapInArrow(run, "line long" + "".join(f", {c} long" for c in _SIGNATURE))
+    return lines.select("line", *_SKETCH, *_COUNTS).mapInArrow(tidied(run), "line long" + "".join(f", {c} long" for c in _SIGNATURE))
 
 
 def promising(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -289,7 +289,7 @@ def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> D
             both = [_signature_of(batch, [f"{name}_{c}" for c in _SIGNATURE]) for name in "ab"]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(promising(*both, similarity)))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long")
 
 
 def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
@@ -333,7 +333,7 @@ def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from within(held)
 
-    return dealt.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), "a long, b long")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -454,7 +454,7 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
                     near.append(right and alike(*texts, similarity))
                 yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return scratch.keep(both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long"), "line-links")
+    return scratch.keep(both.select("u", "v", "left", "right").mapInArrow(tidied(run), "u long, v long"), "line-links")
 
 
 def _labelled(rows: DataFrame, vertex: str, components: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_text import STOP_WORDS
-from .shared import keep_rows, slices
+from .shared import keep_rows, slices, tidied
 
 #: Most labelled rows that a fit uses.
 FIT_ROWS = 20_000
@@ -216,7 +216,7 @@ def feature_rows(df: DataFrame, key: str, text: str, model: Model | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 rows = [features(t) for t in part.column(1).to_pylist()]
                 if model is None:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["key", "features"])
@@ -224,7 +224,7 @@ def feature_rows(df: DataFrame, key: str, text: str, model: Model | None = None)
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(np.array(rows)))], names=["key", "score"])
 
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return out.mapInArrow(run, f"key {kind}, " + ("score double" if model else "features array<double>")).withColumnRenamed("key", key)
+    return out.mapInArrow(tidied(run), f"key {kind}, " + ("score double" if model else "features array<double>")).withColumnRenamed("key", key)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

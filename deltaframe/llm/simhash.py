@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialise, slices
+from .shared import connected_components, materialise, slices, tidied
 
 RADIUS = 2
 SHINGLE = 3
@@ -90,7 +90,7 @@ def fingerprint_rows(df: DataFrame, key: str, text: str, width: int = SHINGLE) -
                 prints = fingerprints(part.column(1).to_pylist(), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], names=["key", "fp"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).mapInArrow(tidied(run), f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,7 +191,7 @@ def route(prints: DataFrame, router: Router, radius: int) -> DataFrame:
                 mine = (home[which] == leaf) & (block[which] % blocks[leaf] == inner)
                 yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + inner), pa.array(points[which].view(np.int64)), pa.array(mine)], names=["shard", "fp", "home"])
 
-    return prints.select("fp").mapInArrow(run, "shard long, fp long, home boolean")
+    return prints.select("fp").mapInArrow(tidied(run), "shard long, fp long, home boolean")
 
 
 # -- within a shard ---------------------------------------------------------------------------
@@ -350,7 +350,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest), pa.array([len(s) for s in sets], pa.int32()), keys], names=["doc_id", "hash", "digest", "size", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, hash long, digest long, size int, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, hash long, digest long, size int, keys array<long>")
 
 
 def alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -372,7 +372,7 @@ def alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, simila
                     keep.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "left", "right").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "left", "right").mapInArrow(tidied(run), "u long, v long")
 
 
 def keep_unlike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -17,7 +17,8 @@ a large group of near copies is never paired with itself.  Where that would stil
 more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash, as all that are compared do.
 
 Lines are reduced, hashed and compared in Arrow batches: splitting words by a pattern and adding them up in SQL alone
-takes more than all of this.  All else is joins and aggregates.
+takes more than all of this.  All else is joins and aggregates.  Lines of at most ``SHORT`` bytes travel with their
+signatures and are read where they meet; only pairs of longer ones are written, and read at their first places.
 
 Lines are known by 128 bits of XXH3 of their reduced text; links join the first 64.
 
@@ -59,6 +60,8 @@ _NONE = 2**32 - 1
 _SKETCH = [f"s{k}" for k in range((sum(MINIMA.values()) + 1) // 2)]
 #: How often characters occur in a short line, by the last four bits of their first byte, eight counts in a column.
 _COUNTS = ["c0", "c1"]
+#: The UTF-8 bytes of a line that has no more than ``SHORT`` of them, eight in a column; null for others.
+_TEXT = [f"x{k}" for k in range(SHORT // 8)]
 _HAS = sum(MINIMA.values())  # where a signature says which kinds of hashes a line has
 _SIGNATURE = [f"z{k}" for k in range((_HAS + 2 + 16 + 7) // 8)]
 SIMILARITY = 0.8
@@ -184,10 +187,17 @@ class Reduced:
         found[found.sum(1) > SHORT] = 0
         return np.ascontiguousarray(found.astype(np.uint8)).view("<i8")
 
+    def short(self) -> list[pa.Array]:
+        """The bytes of each line that fits into the columns ``_TEXT``, filled up with zeros; else nulls."""
+        wide = 8 * len(_TEXT)
+        long = np.array([len(x) > wide for x in self.lines], bool)
+        cells = np.frombuffer(b"".join(bytes(wide) if over else x.ljust(wide, b"\0") for x, over in zip(self.lines, long.tolist(), strict=True)), "<i8")
+        return [pa.array(x, mask=long) for x in cells.reshape(-1, len(_TEXT)).T]
+
 
 def occurrences(docs: DataFrame, sketched: bool) -> DataFrame:
-    """``(d, t, pos, line, tag)`` of each line that has words; ``sketched``: with its least hashes, two in a column.  No shuffle."""
-    columns = [*_SKETCH, *_COUNTS] if sketched else []
+    """``(d, t, pos, line, tag)`` of each line that has words; ``sketched``: with its least hashes, two in a column, counts and text if short.  No shuffle."""
+    columns = [*_SKETCH, *_COUNTS, *_TEXT] if sketched else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +207,7 @@ def occurrences(docs: DataFrame, sketched: bool) -> DataFrame:
                 packed = []
                 if sketched:
                     least = np.ascontiguousarray(found.sketch())
-                    packed = [pa.array(x) for x in (*least.view("<i8").T, *found.counts().T)]
+                    packed = [*(pa.array(x) for x in (*least.view("<i8").T, *found.counts().T)), *found.short()]
                 owner = pa.array(found.owner)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(owner), part.column(1).take(owner), pa.array(found.pos, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), *packed], names=["d", "t", "pos", "line", "tag", *columns]
@@ -208,10 +218,10 @@ def occurrences(docs: DataFrame, sketched: bool) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """``(line, tag, first decimal, n, w0.., g0..)``: the first place of each distinct line, how often it occurs, and its least hashes."""
+    """``(line, tag, first decimal, n, s0.., c0.., x0..)``: the first place of each distinct line, how often it occurs, its least hashes, counts and short text."""
     place = F.col("d").cast("decimal(38,0)") * F.lit(_PLACES).cast("decimal(18,0)") + F.col("pos").cast("decimal(10,0)")
-    rows = occurrences(docs, True).select("line", "tag", place.cast("decimal(38,0)").alias("place"), *_SKETCH, *_COUNTS)
-    return rows.groupBy("line", "tag").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*_SKETCH, *_COUNTS)])
+    rows = occurrences(docs, True).select("line", "tag", place.cast("decimal(38,0)").alias("place"), *_SKETCH, *_COUNTS, *_TEXT)
+    return rows.groupBy("line", "tag").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*_SKETCH, *_COUNTS, *_TEXT)])
 
 
 def least_hashes(kind: str) -> list[Column]:
@@ -243,20 +253,20 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``(line, z0..)``: the last eight bits of each least hash, which kinds there are, and the counts of characters, eight bytes in a column."""
+    """``(line, z0.., x0..)``: the last eight bits of each least hash, which kinds there are, and the counts of characters, eight bytes in a column; short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cells = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: 1 + len(_SKETCH) + len(_COUNTS)]]
             least = np.ascontiguousarray(np.stack(cells[1 : 1 + len(_SKETCH)], 1)).view("<u4")[:, : sum(MINIMA.values())]
             out = np.zeros((batch.num_rows, 8 * len(_SIGNATURE)), np.uint8)
             out[:, : least.shape[1]] = least
             for at, first in ((_HAS, 0), (_HAS + 1, MINIMA["w"])):
                 out[:, at] = least[:, first] != _NONE
             out[:, _HAS + 2 : _HAS + 18] = np.ascontiguousarray(np.stack(cells[1 + len(_SKETCH) :], 1)).view(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.ascontiguousarray(out).view("<i8").T)], names=["line", *_SIGNATURE])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.ascontiguousarray(out).view("<i8").T), *batch.columns[1 + len(_SKETCH) + len(_COUNTS) :]], names=["line", *_SIGNATURE, *_TEXT])
 
-    return lines.select("line", *_SKETCH, *_COUNTS).mapInArrow(tidied(run), "line long" + "".join(f", {c} long" for c in _SIGNATURE))
+    return lines.select("line", *_SKETCH, *_COUNTS, *_TEXT).mapInArrow(tidied(run), "line long" + "".join(f", {c} long" for c in (*_SIGNATURE, *_TEXT)))
 
 
 def promising(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -280,30 +290,124 @@ def _signature_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.ascontiguousarray(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)).view(np.uint8)
 
 
+def _characters_of(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of short lines, a row each with zeros at the end, and how many there are; 0 for lines without a text here."""
+    raw = np.ascontiguousarray(np.stack([batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in names], 1)).view(np.uint8)
+    size = (raw != 0).sum(1)
+    beyond = np.flatnonzero((raw >= 128).any(1))
+    if not len(beyond):
+        return raw, size
+    cells = raw.astype(np.uint32)
+    cells[beyond] = 0
+    for i in beyond.tolist():
+        text = np.frombuffer(raw[i, : size[i]].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        cells[i, : len(text)] = text
+        size[i] = len(text)
+    return cells.astype(np.uint16) if cells.max() < 1 << 16 else cells, size
+
+
+def close_texts(cells: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair of texts is at most ``most``, exactly: ``cells`` holds a text's characters in a row."""
+    out = np.zeros(len(i), bool)
+    order = np.flatnonzero(np.abs(size[i] - size[j]) <= most)
+    order = order[np.argsort(size[i[order]] + size[j[order]], kind="stable")]
+    for at in range(0, len(order), 4096):
+        some = order[at : at + 4096]
+        out[some] = _banded(cells, size, i[some], j[some], most[some])
+    return out
+
+
+def _banded(cells: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """All tables of edits at once, an antidiagonal after the other, as far from the main diagonal as ``most`` allows.
+
+    The pairs come in order of their sizes together.
+    """
+    n_left, n_right = size[i], size[j]
+    total, height = n_left + n_right, int(max(n_left.max(), n_right.max()))
+    left, right = (np.ascontiguousarray(cells[x, :height].T) for x in (i, j))
+    reach = int(most.max())
+    far = reach + 1  # stands for all that is more than any pair may have
+    kind = np.uint8 if far < 255 else np.uint16
+    most, end, alive = most.astype(kind), n_left - n_right + far, np.arange(len(i))
+    # row far + d holds the cell (a, b) with a - b = d of this antidiagonal a + b, or of the one before it
+    row = np.full((2 * far + 1, len(i)), far, kind)
+    row[far] = 0
+    out = total == 0
+    for s in range(1, int(total[-1]) + 1):
+        low, high = max(-reach, -s, s - 2 * height), min(reach, s, 2 * height - s)
+        low, high = low + (s - low) % 2, high - (s - high) % 2
+        if low > high:
+            continue
+        here = row[low + far : high + far + 1 : 2]
+        near = np.minimum(row[low + far - 1 : high + far : 2], row[low + far + 1 : high + far + 2 : 2])
+        near += near < far
+        first, last = max(low, 2 - s), min(high, s - 2)
+        if first <= last:  # cells that have one before them on the diagonal
+            a, b, n = (s + first) // 2 - 1, (s - first) // 2 - 1, (last - first) // 2 + 1
+            inner = slice((first - low) // 2, (first - low) // 2 + n)
+            here[inner] += left[a : a + n] != right[b - n + 1 : b + 1][::-1]
+            np.minimum(here[inner], near[inner], out=here[inner])
+            if first > low:
+                here[0] = near[0]
+            if last < high:
+                here[-1] = near[-1]
+        else:
+            here[:] = near
+        np.minimum(here, far, out=here)
+        done = slice(*np.searchsorted(total, [s, s + 1]).tolist())
+        out[alive[done]] = row[end[done], np.arange(done.start, done.stop)] <= most[done]
+        if s % 16 == 0:  # pairs that have too many edits already, or are done
+            stay = (row.min(0) <= most) & (total > s)
+            if not stay.any():
+                break
+            if stay.mean() < 0.8:
+                left, right, row = left[:, stay], right[:, stay], row[:, stay]
+                total, most, end, alive = total[stay], most[stay], end[stay], alive[stay]
+    return out
+
+
+def judged(line: tuple[np.ndarray, np.ndarray], sign: tuple[np.ndarray, np.ndarray], cells: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Of pairs of lines those ``(a, b, sure)`` worth reading; of pairs of short ones those that are similar enough, which is sure then."""
+    some = promising(sign[0], sign[1], similarity)
+    a, b, i, j = line[0][some], line[1][some], i[some], j[some]
+    sure = (size[i] > 0) & (size[j] > 0)
+    keep = ~sure
+    if sure.any():
+        most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
+        keep[sure] = close_texts(cells, size, i[sure], j[sure], most[sure])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, sure)], names=["a", "b", "sure"])
+
+
 def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of lines that are worth reading."""
-    side = lambda name: signed.select(F.col("line").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _SIGNATURE])
+    """The pairs ``(a, b, sure)`` of lines that are worth reading, or that are read."""
+    side = lambda name: signed.select(F.col("line").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in (*_SIGNATURE, *_TEXT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [_signature_of(batch, [f"{name}_{c}" for c in _SIGNATURE]) for name in "ab"]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(promising(*both, similarity)))
+            both = [_signature_of(batch, [f"{x}_{c}" for c in _SIGNATURE]) for x in "ab"]
+            some = promising(*both, similarity)
+            batch, sign = batch.filter(pa.array(some)), tuple(x[some] for x in both)
+            line = tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in "ab")
+            (left, n_left), (right, n_right) = (_characters_of(batch, [f"{x}_{c}" for c in _TEXT]) for x in "ab")
+            at = np.arange(batch.num_rows)
+            yield judged(line, sign, np.concatenate((left, right)), np.concatenate((n_left, n_right)), at, at + len(at), similarity)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long, sure boolean")
 
 
 def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs ``(a, b)`` of lines of one bucket but different components, one of them outside its leader's.
+    """Promising pairs ``(a, b, sure)`` of lines of one bucket but different components, one of them outside its leader's.
 
-    ``dealt``: key, line, own, led and signatures.  Buckets of no more than ``PAIRS`` pairs, or divided ones, lie together in a sorted partition.
+    ``dealt``: key, line, own, led, signatures and short texts.  Buckets of no more than ``PAIRS`` pairs, or divided ones, lie together in a sorted partition.
     """
-    names = ["key", "line", "own", "led", *_SIGNATURE]
+    names = ["key", "line", "own", "led", *_SIGNATURE, *_TEXT]
 
     def within(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of whole buckets, a row of each with all that follow it, so many at a time that they fit into memory."""
         batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         key, line, own, led = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
         sign = _signature_of(batch, _SIGNATURE)
+        cells, size = _characters_of(batch, _TEXT)
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
         follow = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(key)) - 1
         upto = np.cumsum(follow)
@@ -315,8 +419,7 @@ def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             some = (own[i] != own[j]) & ((own[i] != led[i]) | (own[j] != led[j]))
             i, j = i[some], j[some]
-            some = promising(sign[i], sign[j], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(line[i[some]]), pa.array(line[j[some]])], names=["a", "b"])
+            yield judged((line[i], line[j]), (sign[i], sign[j]), cells, size, i, j, similarity)
             start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +436,7 @@ def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from within(held)
 
-    return dealt.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), "a long, b long")
+    return dealt.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), "a long, b long, sure boolean")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -435,10 +538,11 @@ def alike(left: str, right: str, similarity: float) -> bool:
 
 
 def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Of promising pairs ``(a, b)`` of lines those ``(u, v)`` whose edit similarity is large enough."""
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "line-pairs")
+    """Of promising pairs ``(a, b, sure)`` of lines those ``(u, v)`` whose edit similarity is large enough."""
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "sure").distinct(), "line-pairs")
+    known, pairs = pairs.where("sure").select("u", "v"), pairs.where("not sure").select("u", "v")
     if pairs.isEmpty():
-        return pairs
+        return known
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("line")).distinct()
     texts = texts_of(docs, lines, wanted, scratch)
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("text").alias("left")), "u").join(texts.select(F.col("line").alias("v"), F.col("text").alias("right")), "v")
@@ -454,7 +558,7 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
                     near.append(right and alike(*texts, similarity))
                 yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return scratch.keep(both.select("u", "v", "left", "right").mapInArrow(tidied(run), "u long, v long"), "line-links")
+    return known.unionByName(scratch.keep(both.select("u", "v", "left", "right").mapInArrow(tidied(run), "u long, v long"), "line-links"))
 
 
 def _labelled(rows: DataFrame, vertex: str, components: DataFrame, name: str) -> DataFrame:

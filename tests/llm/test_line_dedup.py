@@ -2,6 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from deltaframe.llm import line_dedup as L
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gone int, line string"
@@ -177,3 +181,38 @@ def test_bounded_distance():
         for most in (0, 2, 6, 30):
             assert L.distance_within(a, b, most) == (distance(a, b) <= most)
             assert L.alike(a, b, 0.8) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def short_cells(texts):
+    """Texts as the columns of a batch of short lines."""
+    cells = L.Reduced.short(type("", (), {"lines": [t.encode() for t in texts]}))
+    return L._characters_of(pa.RecordBatch.from_arrays(cells, names=L._TEXT), L._TEXT)
+
+
+def test_texts_at_once_are_as_close_as_one_by_one():
+    rng = random.Random(12)
+    for letters, size in (("ab c", 30), ("aé漢𝒳 ", 20), ("abcdefgh ", 80)):
+        texts = ["".join(rng.choices(letters, k=rng.randrange(1, size + 1))) for _ in range(300)]
+        texts += ["".join(c for c in t if rng.random() > 0.1) or "a" for t in texts]  # near ones, too
+        cells, sizes = short_cells(texts)
+        assert sizes.tolist() == [len(t) for t in texts]
+        i, j = np.array([(k, rng.choice((k + 300, rng.randrange(600)))) for k in range(300)] * 3).T
+        for most in (0, 1, 6, 16):
+            limit = np.array([rng.randrange(most + 1) for _ in i])
+            want = [distance(texts[a], texts[b]) <= m for a, b, m in zip(i.tolist(), j.tolist(), limit.tolist(), strict=True)]
+            assert L.close_texts(cells, sizes, i, j, limit).tolist() == want
+
+
+def test_short_pairs_that_differ_are_not_written(spark):
+    """Short lines that share many runs but not 0.8 of their letters end where they meet; longer texts have no columns."""
+    rng = random.Random(2)
+    parts = ["the", "en", "ation", "er", "on", "re", "in", "at", "st", "ing"]
+    texts = sorted({" ".join("".join(rng.choices(parts, k=3)) for _ in range(6))[:70].strip() for _ in range(300)}) + ["y" * 90]
+    lines = L.distinct_lines(make(spark, list(enumerate(texts))))
+    signed = L.signatures(lines).cache()
+    assert signed.where("x0 is null").count() == 1
+    placed = L.keyed(lines).withColumns({"own": F.col("line"), "led": F.lit(0).cast("long")})
+    written = L.pairs_within(placed.join(signed, "line"), 0.8).collect()
+    near = sum(distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for k, a in enumerate(texts) for b in texts[:k] if abs(len(a) - len(b)) < 17)
+    assert all(r.sure for r in written)
+    assert len({frozenset((r.a, r.b)) for r in written}) <= near

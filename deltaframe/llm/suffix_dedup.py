@@ -236,8 +236,9 @@ class Part:
         grams = np.array([raw[p : p + GRAM] for p in place], f"S{GRAM}")
         bucket = np.searchsorted(cut, grams, side="right") if len(grams) else np.zeros(0, np.int64)
         out = []
-        for b in np.unique(bucket).tolist():
-            here = np.flatnonzero(bucket == b)
+        order = np.argsort(bucket, kind="stable")
+        for b, start, stop in scatter.runs(bucket[order]):
+            here = order[start:stop]
             number: dict[tuple[bytes, int], int] = {}
             which = np.fromiter((number.setdefault((raw[low[i] : high[i] + self.length], place[i] - low[i]), len(number)) for i in here.tolist()), np.int64, len(here))
             least = np.full(len(number), np.iinfo(np.int64).max)
@@ -255,6 +256,15 @@ def _elsewhere(part: Part, answers: pa.Table, buckets: int) -> np.ndarray:
     return out
 
 
+def sent_by_several(sent: list[np.ndarray]) -> list[np.ndarray]:
+    """For each part's names whether another part has sent them too; a message costs no more than its own names."""
+    whole = np.sort(np.concatenate([np.unique(x) for x in sent]))
+    twice = np.unique(whole[1:][whole[1:] == whole[:-1]])
+    if not len(twice):
+        return [np.zeros(len(x), bool) for x in sent]
+    return [twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x for x in sent]
+
+
 def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, part_bytes: int = scatter.PART_BYTES) -> DataFrame:
     """``(key long, n_bytes, n_removed, n_spans, kept binary)`` for each row of ``docs``."""
     if not GRAM <= length <= GRAM + 31:
@@ -271,10 +281,8 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
     def several(rows: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x, "<u4") for x in rows.column("data").to_pylist()]
-        whole = np.sort(np.concatenate([np.unique(x) for x in sent]))
-        twice = np.unique(whole[1:][whole[1:] == whole[:-1]])
         return scatter.messages(
-            (p, b, np.packbits(np.isin(x, twice)).tobytes()) for p, b, x in zip(rows.column("part").to_pylist(), rows.column("bucket").to_pylist(), sent, strict=True)
+            (p, b, np.packbits(x).tobytes()) for p, b, x in zip(rows.column("part").to_pylist(), rows.column("bucket").to_pylist(), sent_by_several(sent), strict=True)
         )
 
     def contexts(rows: pa.Table, answers: pa.Table) -> pa.Table:

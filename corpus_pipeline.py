@@ -28,7 +28,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each group of near copies: at least 0.8 of their runs of five words are the same."""
+    """One document, that of least doc_id, of each group of near copies: at least 0.8 of their runs of five words are the same.
+
+    SimHash fingerprints find them, the texts decide.
+    """
     ensure_importable(spark)
     return simhash.keep_unlike(docs)
 

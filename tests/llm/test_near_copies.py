@@ -74,3 +74,48 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             if name != "byte_bpe":
                 assert got.columns == docs.columns
             assert got.count() <= n
+
+
+def test_simhash_finds_the_near_copies(spark, monkeypatch):
+    """Every pair that is compared comes from fingerprints: trees for the nearest, tables of sampled bits for the others."""
+    import numpy as np
+
+    from deltaframe.llm import simhash
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 120)))]
+        copy = list(words)
+        copy[rng.randrange(10, 50)] = "other"  # five of the runs change: similarity above 0.8
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    rows += [(240, "The same words, once more. " * 9), (241, "the same  words, once more. " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r for r in simhash.sketches(docs, 5).collect()}
+    apart = [sum(((prints[2 * i][c] ^ prints[2 * i + 1][c]) & 2**64 - 1).bit_count() for c in ("fp", "fp2")) for i in range(120)]
+    for k in range(3):
+        hashes = simhash.shingle_set(rows[k][1].encode(), 5).tolist()
+        assert prints[k].fp & 2**64 - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert np.median(apart) > 2 and max(apart) <= simhash.WIDE
+    assert {r.doc_id for r in simhash.keep_unlike(docs).collect()} == set(range(0, 242, 2))
+    # without fingerprints there is nothing to compare
+    monkeypatch.setattr(simhash, "majorities", lambda sets: np.random.default_rng(len(sets)).integers(0, 2**64, len(sets), dtype=np.uint64))
+    assert simhash.keep_unlike(docs).count() > 230
+
+
+def test_entries_of_large_groups_give_few_pairs(spark):
+    """A group of one component is not paired with itself, whatever else lies in its entries."""
+    from pyspark.sql import functions as F
+
+    from deltaframe.llm import simhash
+
+    group = spark.range(3000).select(F.col("id").alias("digest"), F.lit(50).alias("size"), F.lit(7).cast("long").alias("fp"), F.lit(9).cast("long").alias("fp2"))
+    other = spark.createDataFrame([(5000, 50, 7, 8), (5001, 50, 7, 0x7FFFFFFFFFFFFFF9), (5002, 20, 7, 9)], "digest long, size int, fp long, fp2 long")
+    tables = simhash.sampled_bits(10)
+    both = group.unionByName(other)
+    led = simhash.close_prints(both.withColumn("own", F.col("digest")), tables, 0.8, leaders=True).collect()
+    assert {(r.a, r.b) for r in led} >= {(0, i) for i in range(1, 3000)} and len(led) <= 3002
+    placed = group.withColumn("own", F.lit(0).cast("long")).unionByName(other.withColumn("own", F.col("digest")))
+    rest = {(r.a, r.b) for r in simhash.close_prints(placed, tables, 0.8, leaders=False).collect()}
+    assert rest == {(i, 5000) for i in range(3000)}
+    assert len(simhash.sampled_bits(10**9)) > len(tables) and simhash.sampled_bits(10**9).shape[1] > 8

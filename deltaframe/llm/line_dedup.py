@@ -15,6 +15,7 @@ a row per line.  Components of these links are then contracted, and only lines
 outside their leader's component are held against the rest of the bucket, so that
 a large group of near copies is never paired with itself.  Where that would still be
 more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash, as all that are compared do.
+Of what short lines of a bucket are linked by a spanning forest is given, and lines that are linked already are not compared.
 
 Lines are reduced, hashed and compared in Arrow batches: splitting words by a pattern and adding them up in SQL alone
 takes more than all of this.  All else is joins and aggregates.  Lines of at most ``SHORT`` bytes travel with their
@@ -41,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, connected_components, materialise, slices, tidied
+from .simhash import Forest
 
 #: Least hashes of a line's word pairs (w) and runs (g), and which of them make a bucket together: the triples of
 #: Steiner systems of nine points and, for runs, of which a changed letter spoils more, of thirteen.
@@ -366,16 +368,18 @@ def _banded(cells: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, m
     return out
 
 
-def judged(line: tuple[np.ndarray, np.ndarray], sign: tuple[np.ndarray, np.ndarray], cells: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> pa.RecordBatch:
-    """Of pairs of lines those ``(a, b, sure)`` worth reading; of pairs of short ones those that are similar enough, which is sure then."""
-    some = promising(sign[0], sign[1], similarity)
-    a, b, i, j = line[0][some], line[1][some], i[some], j[some]
+def compared(cells: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of promising pairs stay, and which of those are sure: of pairs of lines whose texts are here only those similar enough do."""
     sure = (size[i] > 0) & (size[j] > 0)
     keep = ~sure
     if sure.any():
         most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64)
         keep[sure] = close_texts(cells, size, i[sure], j[sure], most[sure])
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, sure)], names=["a", "b", "sure"])
+    return np.flatnonzero(keep), sure[keep]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, sure)], names=["a", "b", "sure"])
 
 
 def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -390,7 +394,8 @@ def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> D
             line = tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in "ab")
             (left, n_left), (right, n_right) = (_characters_of(batch, [f"{x}_{c}" for c in _TEXT]) for x in "ab")
             at = np.arange(batch.num_rows)
-            yield judged(line, sign, np.concatenate((left, right)), np.concatenate((n_left, n_right)), at, at + len(at), similarity)
+            some, sure = compared(np.concatenate((left, right)), np.concatenate((n_left, n_right)), at, at + len(at), similarity)
+            yield _pairs(line[0][some], line[1][some], sure)
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long, sure boolean")
 
@@ -398,6 +403,7 @@ def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> D
 def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
     """Promising pairs ``(a, b, sure)`` of lines of one bucket but different components, one of them outside its leader's.
 
+    Of pairs that are sure those of a spanning forest of components are given; what they link is not looked at any more.
     ``dealt``: key, line, own, led, signatures and short texts.  Buckets of no more than ``PAIRS`` pairs, or divided ones, lie together in a sorted partition.
     """
     names = ["key", "line", "own", "led", *_SIGNATURE, *_TEXT]
@@ -408,6 +414,8 @@ def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
         key, line, own, led = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
         sign = _signature_of(batch, _SIGNATURE)
         cells, size = _characters_of(batch, _TEXT)
+        labels, node = np.unique(own, return_inverse=True)
+        forest = Forest(len(labels))
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
         follow = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(key)) - 1
         upto = np.cumsum(follow)
@@ -417,10 +425,27 @@ def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
             n = follow[start:stop]
             i = np.repeat(np.arange(start, stop), n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            some = (own[i] != own[j]) & ((own[i] != led[i]) | (own[j] != led[j]))
+            root = forest.roots()[node]
+            some = (root[i] != root[j]) & ((own[i] != led[i]) | (own[j] != led[j]))
             i, j = i[some], j[some]
-            yield judged((line[i], line[j]), (sign[i], sign[j]), cells, size, i, j, similarity)
+            some = np.flatnonzero(promising(sign[i], sign[j], similarity))
+            # those that agree in most hashes first: what they link need not be compared
+            some = some[np.argsort(-(sign[i[some], :_HAS] == sign[j[some], :_HAS]).sum(1), kind="stable")]
+            i, j, n = i[some], j[some], 64
+            while len(i):
+                root = forest.roots()[node]
+                some = root[i] != root[j]
+                i, j = i[some], j[some]
+                some, sure = compared(cells, size, i[:n], j[:n], similarity)
+                a, b = i[:n][some], j[:n][some]
+                forest.link(node[a[sure]], node[b[sure]])
+                if not sure.all():
+                    yield _pairs(line[a[~sure]], line[b[~sure]], np.zeros(int((~sure).sum()), bool))
+                i, j, n = i[n:], j[n:], min(2 * n, _AT_ONCE)
             start = stop
+        root = forest.roots()
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        yield _pairs(labels[linked], labels[root[linked]], np.ones(len(linked), bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -216,3 +216,12 @@ def test_short_pairs_that_differ_are_not_written(spark):
     near = sum(distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for k, a in enumerate(texts) for b in texts[:k] if abs(len(a) - len(b)) < 17)
     assert all(r.sure for r in written)
     assert len({frozenset((r.a, r.b)) for r in written}) <= near
+
+
+def test_links_of_short_lines_are_a_forest(spark):
+    """A group of near copies whose leader is another line gives a row per line, not per pair."""
+    texts = [f"the quick brown fox jumps over the lazy dog {k:03d}" for k in range(200)]
+    lines = L.distinct_lines(make(spark, list(enumerate(texts))))
+    placed = lines.select(F.lit(1).cast("long").alias("key"), "line", F.col("line").alias("own"), F.lit(0).cast("long").alias("led"))
+    written = L.pairs_within(placed.join(L.signatures(lines), "line"), 0.8).collect()
+    assert len(written) == 199 and all(r.sure for r in written)

@@ -15,11 +15,12 @@ a row per line.  Components of these links are then contracted, and only lines
 outside their leader's component are held against the rest of the bucket, so that
 a large group of near copies is never paired with itself.  Where that would still be
 more than ``PAIRS`` pairs a bucket, lines must agree in one more least hash, as all that are compared do.
-Of what short lines of a bucket are linked by a spanning forest is given, and lines that are linked already are not compared.
+Of what lines of a bucket are linked by a spanning forest is given, and lines that are linked already are not compared.
 
 Lines are reduced, hashed and compared in Arrow batches: splitting words by a pattern and adding them up in SQL alone
 takes more than all of this.  All else is joins and aggregates.  Lines of at most ``SHORT`` bytes travel with their
-signatures and are read where they meet; only pairs of longer ones are written, and read at their first places.
+signatures and are read where they meet.  Of longer ones that meet in a bucket a row each is written, not a row a pair; their
+texts, read at their first places, go to the bucket again, where each pair is compared in the first bucket that it shares.
 
 Lines are known by 128 bits of XXH3 of their reduced text; links join the first 64.
 
@@ -32,7 +33,7 @@ come after all others; other columns are not read and may have any name.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -60,12 +61,17 @@ _FACTORS = {kind: np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.uin
 #: What stands for a least hash that a line hasn't.
 _NONE = 2**32 - 1
 _SKETCH = [f"s{k}" for k in range((sum(MINIMA.values()) + 1) // 2)]
-#: How often characters occur in a short line, by the last four bits of their first byte, eight counts in a column.
+#: How often characters occur in a line of at most ``SHORT`` bytes, by the last four bits of their first byte, eight counts in a column;
+#: of a longer one by the last three, four in a column.
 _COUNTS = ["c0", "c1"]
 #: The UTF-8 bytes of a line that has no more than ``SHORT`` of them, eight in a column; null for others.
 _TEXT = [f"x{k}" for k in range(SHORT // 8)]
-_HAS = sum(MINIMA.values())  # where a signature says which kinds of hashes a line has
+_RUNS = 4 * MINIMA["w"]  # where a signature has the last bytes of the hashes of runs, after all of those of word pairs
+_HAS = _RUNS + MINIMA["g"]  # where it says which kinds of hashes a line has
 _SIGNATURE = [f"z{k}" for k in range((_HAS + 2 + 16 + 7) // 8)]
+#: The last bits of a bucket's key: the number of its combination, and one more than that of the hash that divides it, or 0.
+_COMBINATION, _DIVIDED = 6, 4
+_LOW = (1 << _COMBINATION + _DIVIDED) - 1
 SIMILARITY = 0.8
 #: Least hashes in which two lines of a bucket must agree to be read.
 LEAST_AGREED = {"w": 4, "g": 4}
@@ -178,16 +184,20 @@ class Reduced:
                 out[some, MINIMA["w"] + k] = np.minimum.reduceat(runs * factor, begin)
         return out
 
-
     def counts(self) -> np.ndarray:
-        """For each line of at most ``SHORT`` characters how many have which last four bits, one byte each; else zeros (two int64)."""
+        """For each line how many characters have which last bits (two int64): a byte each for four bits where it has at most ``SHORT`` bytes, else two
+        for three bits; zeros where these don't hold them."""
         n = len(self.lines)
         size = np.array([len(x) + 1 for x in self.lines], np.int64)
         leads = ((self.bytes & 0xC0) != 0x80) & (self.bytes != 10)
         line = np.repeat(np.arange(n), size)[leads]
         found = np.bincount(line * 16 + (self.bytes[leads] & 15), minlength=16 * n).reshape(n, 16)
-        found[found.sum(1) > SHORT] = 0
-        return np.ascontiguousarray(found.astype(np.uint8)).view("<i8")
+        wide = found[:, :8] + found[:, 8:]
+        wide[(wide >= 1 << 16).any(1)] = 0
+        long = size > SHORT + 1
+        out = np.where(long[:, None], 0, found).astype(np.uint8)
+        out[long] = wide[long].astype("<u2").view(np.uint8)
+        return out.view("<i8")
 
     def short(self) -> list[pa.Array]:
         """The bytes of each line that fits into the columns ``_TEXT``, filled up with zeros; else nulls."""
@@ -240,56 +250,140 @@ def _place_columns(first: str) -> tuple[Column, Column]:
     return ((F.col(first) - pos) / per).cast("decimal(38,0)").cast("long"), pos.cast("int")
 
 
+def _marked(key: Column, low: Column) -> Column:
+    """A bucket's key with what is known of it in its last bits."""
+    return key.bitwiseAND(F.lit(~_LOW)).bitwiseOR(low.cast("long"))
+
+
 def keyed(lines: DataFrame) -> DataFrame:
     """``(key, line)``: the buckets each line is in."""
     keys = []
-    for number, (kind, combinations) in enumerate(AGREED.items()):
+    for kind, combinations in AGREED.items():
         cells = least_hashes(kind)
-        keys += [F.when(cells[0].isNotNull(), F.xxhash64(F.lit(100 * number + i), *[cells[k] for k in agreed])) for i, agreed in enumerate(combinations)]
+        for agreed in combinations:
+            number = F.lit(len(keys))
+            keys.append(F.when(cells[0].isNotNull(), _marked(F.xxhash64(number, *[cells[k] for k in agreed]), number)))
     return lines.select("line", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
+def divided(crowded: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(key, line, own, led)``: buckets parted by one more least hash of their kind, which is none of those that make them."""
+    combination = F.col("key").bitwiseAND(F.lit((1 << _COMBINATION) - 1))
+    further, first = [], 0
+    for kind, combinations in AGREED.items():
+        for k, value in enumerate(least_hashes(kind)):
+            without = [first + c for c, agreed in enumerate(combinations) if k not in agreed]
+            low = combination.bitwiseOR(F.lit(k + 1 << _COMBINATION))
+            further.append(F.when(combination.isin(without) & value.isNotNull(), _marked(F.xxhash64("key", F.lit(k), value), low)))
+        first += len(combinations)
+    rows = crowded.select("key", "line", "own", "led").join(lines.select("line", *_SKETCH), "line")
+    return rows.select(F.explode(F.array_compact(F.array(*further))).alias("key"), "line", "own", "led")
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``(line, z0.., x0..)``: the last eight bits of each least hash, which kinds there are, and the counts of characters, eight bytes in a column; short texts."""
+    """``(line, z0.., x0..)``: the least hashes of word pairs, the last eight bits of those of runs, which kinds there are, and the counts of characters, eight bytes in a column; short texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: 1 + len(_SKETCH) + len(_COUNTS)]]
             least = np.ascontiguousarray(np.stack(cells[1 : 1 + len(_SKETCH)], 1)).view("<u4")[:, : sum(MINIMA.values())]
             out = np.zeros((batch.num_rows, 8 * len(_SIGNATURE)), np.uint8)
-            out[:, : least.shape[1]] = least
-            for at, first in ((_HAS, 0), (_HAS + 1, MINIMA["w"])):
-                out[:, at] = least[:, first] != _NONE
+            out[:, :_RUNS] = np.ascontiguousarray(least[:, : MINIMA["w"]]).view(np.uint8)
+            out[:, _RUNS:_HAS] = least[:, MINIMA["w"] :]
+            long = batch.column("x0").is_null().to_numpy(zero_copy_only=False)
+            out[:, _HAS] = (least[:, 0] != _NONE) + 2 * long
+            out[:, _HAS + 1] = least[:, MINIMA["w"]] != _NONE
             out[:, _HAS + 2 : _HAS + 18] = np.ascontiguousarray(np.stack(cells[1 + len(_SKETCH) :], 1)).view(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in np.ascontiguousarray(out).view("<i8").T), *batch.columns[1 + len(_SKETCH) + len(_COUNTS) :]], names=["line", *_SIGNATURE, *_TEXT])
 
     return lines.select("line", *_SKETCH, *_COUNTS, *_TEXT).mapInArrow(tidied(run), "line long" + "".join(f", {c} long" for c in (*_SIGNATURE, *_TEXT)))
 
 
-def promising(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lines agree in enough of their least hashes to be read, by their signatures (bytes, a row each).
+class Signed:
+    """The signatures of some lines."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.words = np.ascontiguousarray(cells[:, :_RUNS]).view("<u4")
+        self.runs = np.ascontiguousarray(cells[:, _RUNS:_HAS])
+        self.has = [cells[:, _HAS] & 1 > 0, cells[:, _HAS + 1] > 0]
+        self.long = cells[:, _HAS] & 2 > 0
+        self.fine = np.ascontiguousarray(cells[:, _HAS + 2 : _HAS + 18])
+        wide = self.fine.view("<u2").astype(np.int32)
+        self.coarse = np.where(self.long[:, None], wide, self.fine[:, :8].astype(np.int32) + self.fine[:, 8:])
+        self.size = self.coarse.sum(1)  # characters; 0: not known
+
+
+def agreed(left: Signed, i: np.ndarray, right: Signed, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In which hashes of word pairs lines agree, a bit each, and in how many of runs."""
+    bits = np.zeros(len(i), np.int64)
+    some = np.flatnonzero(left.has[0][i] & right.has[0][j])
+    if len(some):
+        bits[some] = (left.words[i[some]] == right.words[j[some]]) @ (1 << np.arange(MINIMA["w"]))
+    runs = np.zeros(len(i), np.int64)
+    some = np.flatnonzero(left.has[1][i] & right.has[1][j])
+    if len(some):
+        runs[some] = (left.runs[i[some]] == right.runs[j[some]]).sum(1)
+    return bits, runs
+
 
-    A character that one of two short lines has more often needs an edit: lines that need too many are not read.
+def promising(left: Signed, i: np.ndarray, right: Signed, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs of lines agree in enough of their least hashes to be read, and in which they agree (see agreed()).
+
+    A character that one of two lines has more often needs an edit: lines that need too many are not read.
     """
-    enough = np.zeros(len(left), bool)
-    first = 0
-    for has, (kind, n) in enumerate(MINIMA.items(), _HAS):
-        agreed = (left[:, first : first + n] == right[:, first : first + n]).sum(1, dtype=np.uint8)
-        enough |= (agreed >= LEAST_AGREED[kind]) & (left[:, has] & right[:, has]).astype(bool)
-        first += n
-    a, b = (x[:, _HAS + 2 : _HAS + 18].astype(np.int16) for x in (left, right))
-    size, other = a.sum(1), b.sum(1)
-    more = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
-    return enough & ((np.minimum(size, other) == 0) | (more <= (1 - similarity) * np.maximum(size, other) + 1e-9))
+    a, b = left.size[i], right.size[j]
+    most = (1 - similarity) * np.maximum(a, b) + 1e-9
+    some = np.flatnonzero((np.minimum(a, b) == 0) | (np.abs(a - b) <= most))
+    bits, runs = agreed(left, i[some], right, j[some])
+    enough = (np.bitwise_count(bits) >= LEAST_AGREED["w"]) | (runs >= LEAST_AGREED["g"])
+    some, bits, runs = some[enough], bits[enough], runs[enough]
+    at, to = i[some], j[some]
+    known = np.minimum(left.size[at], right.size[to]) > 0
+    stay = np.ones(len(some), bool)
+    fine = known & ~left.long[at] & ~right.long[to]
+    for which, counts in ((fine, "fine"), (known & ~fine, "coarse")):
+        if which.any():
+            more = getattr(left, counts)[at[which]].astype(np.int32) - getattr(right, counts)[to[which]]
+            stay[which] = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) <= most[some[which]]
+    return some[stay], bits[stay], runs[stay]
+
+
+def _first_places() -> tuple[np.ndarray, np.ndarray]:
+    """By the hashes in which two lines agree, a bit each: the first combination they share, and for each combination one more than the first other hash."""
+    n = MINIMA["w"]
+    first, other = np.full(1 << n, len(AGREED["w"])), np.zeros((len(AGREED["w"]), 1 << n), np.int64)
+    for bits in range(1 << n):
+        for c, three in reversed(list(enumerate(AGREED["w"]))):
+            if all(bits >> k & 1 for k in three):
+                first[bits] = c
+            other[c, bits] = next((k + 1 for k in range(n) if bits >> k & 1 and k not in three), 0)
+    return first, other
+
+
+_FIRST_SHARED, _FIRST_OTHER = _first_places()
+
+
+def meet_here(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether this is the first bucket that the lines of a pair share.  Of buckets made by runs that isn't told: all are."""
+    combination, by = key & (1 << _COMBINATION) - 1, key >> _COMBINATION & (1 << _DIVIDED) - 1
+    out = combination >= len(AGREED["w"])
+    some = np.flatnonzero(~out)
+    c = combination[some]
+    out[some] = (_FIRST_SHARED[bits[some]] == c) & ((by[some] == 0) | (_FIRST_OTHER[c, bits[some]] == by[some]))
+    return out
+
 
+def _signature_of(batch: pa.RecordBatch, names: list[str]) -> Signed:
+    return Signed(np.ascontiguousarray(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)).view(np.uint8))
 
-def _signature_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.ascontiguousarray(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1)).view(np.uint8)
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
 
 
 def _characters_of(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -388,10 +482,10 @@ def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [_signature_of(batch, [f"{x}_{c}" for c in _SIGNATURE]) for x in "ab"]
-            some = promising(*both, similarity)
-            batch, sign = batch.filter(pa.array(some)), tuple(x[some] for x in both)
-            line = tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in "ab")
+            at = np.arange(batch.num_rows)
+            left, right = (_signature_of(batch, [f"{x}_{c}" for c in _SIGNATURE]) for x in "ab")
+            batch = batch.take(pa.array(promising(left, at, right, at, similarity)[0]))
+            line = _numbers(batch, "a", "b")
             (left, n_left), (right, n_right) = (_characters_of(batch, [f"{x}_{c}" for c in _TEXT]) for x in "ab")
             at = np.arange(batch.num_rows)
             some, sure = compared(np.concatenate((left, right)), np.concatenate((n_left, n_right)), at, at + len(at), similarity)
@@ -400,68 +494,128 @@ def promising_pairs(signed: DataFrame, pairs: DataFrame, similarity: float) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidied(run), "a long, b long, sure boolean")
 
 
+def _by_bucket(dealt: DataFrame, within: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``within`` gives for whole buckets, some at a time."""
+
+    def joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(key[:1] != held[-1].column("key")[-1].as_py(), key[1:] != key[:-1])) if held else []
+            if len(cuts):  # whole buckets end where the last one of this batch starts
+                yield from within(joined([*held, batch.slice(0, int(cuts[-1]))]))
+                held, batch = [], batch.slice(int(cuts[-1]))
+            held.append(batch)
+        if held:
+            yield from within(joined(held))
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), schema)
+
+
+def _rows_by_row(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket, a row with all that follow it, so many at a time that they fit into memory."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    follow = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(key)) - 1
+    upto = np.cumsum(follow)
+    start = 0
+    while start < len(key):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _AT_ONCE, side="right")))
+        n = follow[start:stop]
+        i = np.repeat(np.arange(start, stop), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        start = stop
+
+
 def pairs_within(dealt: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs ``(a, b, sure)`` of lines of one bucket but different components, one of them outside its leader's.
+    """What lines of one bucket but different components, one of them outside its leader's, are linked, and which are to be read.
 
-    Of pairs that are sure those of a spanning forest of components are given; what they link is not looked at any more.
+    Rows with ``sure`` are links ``(a, b)`` of short lines: a spanning forest of components; what they link is not looked at any more.
+    The others are longer lines ``a`` that are worth reading beside one of their bucket: a row of each with its key, component and signature.
     ``dealt``: key, line, own, led, signatures and short texts.  Buckets of no more than ``PAIRS`` pairs, or divided ones, lie together in a sorted partition.
     """
-    names = ["key", "line", "own", "led", *_SIGNATURE, *_TEXT]
+    kept = ["key", "own", "led", *_SIGNATURE]
 
-    def within(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of whole buckets, a row of each with all that follow it, so many at a time that they fit into memory."""
-        batch = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        key, line, own, led = (batch.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
+    def within(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, line, own, led = _numbers(batch, "key", "line", "own", "led")
         sign = _signature_of(batch, _SIGNATURE)
         cells, size = _characters_of(batch, _TEXT)
         labels, node = np.unique(own, return_inverse=True)
         forest = Forest(len(labels))
-        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-        follow = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(key)) - 1
-        upto = np.cumsum(follow)
-        start = 0
-        while start < len(key):
-            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _AT_ONCE, side="right")))
-            n = follow[start:stop]
-            i = np.repeat(np.arange(start, stop), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        met = np.zeros(len(key), bool)
+        for i, j in _rows_by_row(key):
             root = forest.roots()[node]
             some = (root[i] != root[j]) & ((own[i] != led[i]) | (own[j] != led[j]))
             i, j = i[some], j[some]
-            some = np.flatnonzero(promising(sign[i], sign[j], similarity))
+            some, bits, runs = promising(sign, i, sign, j, similarity)
+            i, j = i[some], j[some]
+            read = (size[i] == 0) | (size[j] == 0)
+            later = np.flatnonzero(read)
+            later = later[meet_here(key[i[later]], bits[later])]
+            met[i[later]] = met[j[later]] = True
             # those that agree in most hashes first: what they link need not be compared
-            some = some[np.argsort(-(sign[i[some], :_HAS] == sign[j[some], :_HAS]).sum(1), kind="stable")]
+            some = np.flatnonzero(~read)
+            some = some[np.argsort(-(np.bitwise_count(bits[some]) + runs[some]), kind="stable")]
             i, j, n = i[some], j[some], 64
             while len(i):
                 root = forest.roots()[node]
                 some = root[i] != root[j]
                 i, j = i[some], j[some]
-                some, sure = compared(cells, size, i[:n], j[:n], similarity)
-                a, b = i[:n][some], j[:n][some]
-                forest.link(node[a[sure]], node[b[sure]])
-                if not sure.all():
-                    yield _pairs(line[a[~sure]], line[b[~sure]], np.zeros(int((~sure).sum()), bool))
+                some, _ = compared(cells, size, i[:n], j[:n], similarity)
+                forest.link(node[i[:n][some]], node[j[:n][some]])
                 i, j, n = i[n:], j[n:], min(2 * n, _AT_ONCE)
-            start = stop
         root = forest.roots()
         linked = np.flatnonzero(root != np.arange(len(root)))
-        yield _pairs(labels[linked], labels[root[linked]], np.ones(len(linked), bool))
+        blank = [pa.nulls(len(linked), pa.int64())] * len(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(labels[linked]), pa.array(labels[root[linked]]), pa.array(np.ones(len(linked), bool)), *blank], names=["a", "b", "sure", *kept])
+        rows = batch.filter(pa.array(met))
+        n = rows.num_rows
+        yield pa.RecordBatch.from_arrays([rows.column("line"), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool)), *(rows.column(c) for c in kept)], names=["a", "b", "sure", *kept])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.append(key[:1] != held[-1].column("key")[-1].as_py(), key[1:] != key[:-1])) if held else []
-            if len(cuts):  # whole buckets end where the last one of this batch starts
-                yield from within([*held, batch.slice(0, int(cuts[-1]))])
-                held, batch = [], batch.slice(int(cuts[-1]))
-            held.append(batch)
-        if held:
-            yield from within(held)
+    return _by_bucket(dealt.select("key", "line", "own", "led", *_SIGNATURE, *_TEXT), within, "a long, b long, sure boolean" + "".join(f", {c} long" for c in kept))
 
-    return dealt.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(tidied(run), "a long, b long, sure boolean")
+
+def read_within(met: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(u, v)`` of components by lines that pairs_within() tells to read, given with their reduced texts: a spanning forest."""
+
+    def within(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, own, led = _numbers(batch, "key", "own", "led")
+        sign, texts = _signature_of(batch, _SIGNATURE), batch.column("text")
+        labels, node = np.unique(own, return_inverse=True)
+        above = list(range(len(labels)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for i, j in _rows_by_row(key):
+            some = (own[i] != own[j]) & ((own[i] != led[i]) | (own[j] != led[j])) & (sign.long[i] | sign.long[j])
+            i, j = i[some], j[some]
+            some, bits, runs = promising(sign, i, sign, j, similarity)
+            i, j = i[some], j[some]
+            here = np.flatnonzero(meet_here(key[i], bits))
+            here = here[np.argsort(-(np.bitwise_count(bits[here]) + runs[here]), kind="stable")]
+            i, j, n = i[here], j[here], 64
+            text: dict[int, str] = {k: texts[k].as_py() for k in np.unique(np.concatenate((i, j))).tolist()}
+            while len(i):
+                root = np.array([top(k) for k in range(len(labels))])[node]
+                some = root[i] != root[j]
+                i, j = i[some], j[some]
+                left, right = ([text[k] for k in x[:n].tolist()] for x in (i, j))
+                far = far_apart(left, right, similarity).tolist()
+                for a, b, p, q, no in zip(left, right, node[i[:n]].tolist(), node[j[:n]].tolist(), far, strict=True):
+                    if not no and (p := top(p)) != (q := top(q)) and alike(a, b, similarity):
+                        above[max(p, q)] = min(p, q)
+                i, j, n = i[n:], j[n:], min(2 * n, _PIECES_AT_ONCE)
+        linked = [k for k in range(len(labels)) if above[k] != k]
+        yield pa.RecordBatch.from_arrays([pa.array(labels[linked] if linked else [], pa.int64()), pa.array(labels[[top(k) for k in linked]] if linked else [], pa.int64())], names=["u", "v"])
+
+    return _by_bucket(met.select("key", "own", "led", *_SIGNATURE, "text"), within, "u long, v long")
 
 
 def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -474,8 +628,17 @@ def texts_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scra
     # documents without a wanted line are not cut into lines
     rows = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.split("text", "\n").alias("lines"))
     raw = rows.join(holders, "d", "left_semi").select("d", F.posexplode("lines").alias("pos", "text"))
-    # of rows of one doc_id any may hold the line
-    return scratch.keep(raw.join(places, ["d", "pos"]).select("line", "text"), "line-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):
+                texts = [reduce_line(x) for x in part.column(1).to_pylist()]
+                # rows that share a doc_id may hold other lines at this place
+                names = [int.from_bytes(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))[:8], "big", signed=True) for t in texts]
+                right = pa.array([a == b for a, b in zip(part.column(0).to_pylist(), names, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["line", "text"]).filter(right)
+
+    return scratch.keep(raw.join(places, ["d", "pos"]).select("line", "text").mapInArrow(tidied(run), "line long, text string"), "line-texts")
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -551,6 +714,66 @@ def aligned_edits(left: list[str], right: list[str], most: int) -> int:
     return edits + sum(len(word) + 1 for word in right[j:])
 
 
+#: Characters of a piece, the most edits and the least pairs for which pieces are looked up, and the pairs looked at together.
+_PIECE, _PIECE_EDITS, _PIECE_PAIRS, _PIECES_AT_ONCE = 64, 512, 32, 2048
+
+
+def far_apart(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Pairs of texts that certainly differ in more edits than ``similarity`` allows; of the others nothing is said.
+
+    Each piece of the left text needs as many edits as it differs from what is nearest to it in the right one, as far away as
+    all the edits allow.  Myers' algorithm, a column of all tables at once; characters count as equal if their last five bits are.
+    """
+    size = [np.array([len(t) for t in texts], np.int64) for texts in (left, right)]
+    flat = [np.append((np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") & 31).astype(np.uint8), np.uint8(32)) for texts in (left, right)]
+    start = [np.cumsum(n) - n for n in size]
+    most = ((1 - similarity) * np.maximum(*size) + 1e-9).astype(np.int64)
+    total, pieces = np.zeros(len(left), np.int64), size[0] // _PIECE
+    order = np.flatnonzero((most <= _PIECE_EDITS) & (pieces > 0))
+    order = order[np.argsort(most[order], kind="stable")]
+    for at in range(0, len(order), _PIECES_AT_ONCE):
+        some, p = order[at : at + _PIECES_AT_ONCE], 0
+        while True:
+            some = some[(total[some] <= most[some]) & (total[some] + (pieces[some] - p) * _PIECE > most[some])]
+            if len(some) < _PIECE_PAIRS:
+                break
+            piece = flat[0][start[0][some][:, None] + p * _PIECE + np.arange(_PIECE)]
+            place = p * _PIECE - most[some] + np.arange(_PIECE + 2 * int(most[some].max()))[:, None]
+            window = flat[1][np.where((place >= 0) & (place < size[1][some]) & (place < (p + 1) * _PIECE + most[some]), start[1][some] + place, -1)]
+            total[some] += _nearest(piece, window)
+            p += 1
+    return total > most
+
+
+def _nearest(piece: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The least edits of each piece (a row) against any part of its window (a column)."""
+    n = len(piece)
+    masks, each = np.zeros((n, 33), np.uint64), np.arange(n)
+    for k in range(_PIECE):
+        masks[each, piece[:, k]] |= np.uint64(1 << k)
+    masks[:, 32] = 0
+    masks, base = masks.ravel(), each * 33
+    plus, minus = np.full(n, 2**64 - 1, np.uint64), np.zeros(n, np.uint64)
+    score = np.full(n, _PIECE, np.int64)
+    least, one, top = score.copy(), np.uint64(1), np.uint64(63)
+    for row in window:
+        eq = masks[base + row]
+        diagonal = (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | ~(diagonal | plus), plus & diagonal
+        score += (up >> top).astype(np.int64)
+        score -= (down >> top).astype(np.int64)
+        np.minimum(least, score, out=least)
+        vertical = eq | minus
+        up <<= one
+        plus, minus = down << one | ~(vertical | up), up & vertical
+    return least
+
+
+def all_alike(left: list[str], right: list[str], similarity: float) -> list[bool]:
+    far = far_apart(left, right, similarity).tolist()
+    return [not no and alike(a, b, similarity) for a, b, no in zip(left, right, far, strict=True)]
+
+
 def alike(left: str, right: str, similarity: float) -> bool:
     most = int((1 - similarity) * max(len(left), len(right)) + 1e-9)
     if left == right or aligned_edits(left.split(" "), right.split(" "), most) <= most:
@@ -575,13 +798,8 @@ def verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
-                u, v, sides = part.column(0), part.column(1), [[reduce_line(x) for x in part.column(c).to_pylist()] for c in (2, 3)]
-                near = []
-                for a, b, *texts in zip(u.to_pylist(), v.to_pylist(), *sides, strict=True):
-                    # rows that share a doc_id may hold other lines at this place
-                    right = [int.from_bytes(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))[:8], "big", signed=True) for t in texts] == [a, b]
-                    near.append(right and alike(*texts, similarity))
-                yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+                near = all_alike(part.column(2).to_pylist(), part.column(3).to_pylist(), similarity)
+                yield part.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return known.unionByName(scratch.keep(both.select("u", "v", "left", "right").mapInArrow(tidied(run), "u long, v long"), "line-links"))
 
@@ -618,13 +836,15 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratc
     if apart.isEmpty():
         return components
     placed = placed.join(_bounded(apart), "key").withColumn("many", F.col("apart") * F.col("size") > pairs)
-    # promising lines agree in one more hash at least of the kind that their bucket is made of, whichever that is
-    further = F.array(*[F.when(value.isNotNull(), F.struct(F.lit(100 * number + k).alias("which"), value.alias("value"))) for number, kind in enumerate(MINIMA) for k, value in enumerate(least_hashes(kind))])
-    crowded = placed.where("many").join(lines.select("line", F.array_compact(further).alias("minima")), "line")
-    crowded = crowded.select(F.explode("minima").alias("least"), "key", "line", "own", "led").select(F.xxhash64("key", "least.which", "least.value").alias("key"), "line", "own", "led")
-    dealt = placed.where("not many").select("key", "line", "own", "led").unionByName(crowded)
-    others = pairs_within(dealt.join(signed, "line"), similarity)
-    return _merged(components, verified(docs, lines, others, similarity, scratch), scratch)
+    # promising lines agree in one more hash at least of the kind that their bucket is made of
+    dealt = placed.where("not many").select("key", "line", "own", "led").unionByName(divided(placed.where("many"), lines).select("key", "line", "own", "led"))
+    found = scratch.keep(pairs_within(dealt.join(signed, "line"), similarity), "line-met")
+    links = found.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    met = found.where("not sure").withColumnRenamed("a", "line").drop("b", "sure")
+    if not met.isEmpty():
+        texts = texts_of(docs, lines, met.select("line").distinct(), scratch)
+        links = links.unionByName(scratch.keep(read_within(met.join(texts, "line"), similarity), "line-links"))
+    return _merged(components, links, scratch)
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:

@@ -225,3 +225,57 @@ def test_links_of_short_lines_are_a_forest(spark):
     placed = lines.select(F.lit(1).cast("long").alias("key"), "line", F.col("line").alias("own"), F.lit(0).cast("long").alias("led"))
     written = L.pairs_within(placed.join(L.signatures(lines), "line"), 0.8).collect()
     assert len(written) == 199 and all(r.sure for r in written)
+
+
+def passage_lines(n):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    return [" ".join([*(word() for _ in range(25)), passage]) for _ in range(n)]
+
+
+def test_long_lines_of_a_common_passage_are_not_written_in_pairs(spark):
+    """A row for each line that is to be read beside others of its bucket, where there were 60 * 59 / 2 pairs."""
+    texts = passage_lines(60)
+    lines = L.distinct_lines(make(spark, list(enumerate(texts))))
+    placed = lines.select(F.lit(0).cast("long").alias("key"), "line", F.col("line").alias("own"), F.lit(0).cast("long").alias("led"))
+    written = L.pairs_within(placed.join(L.signatures(lines), "line"), 0.8).collect()
+    assert 0 < len(written) <= 60
+
+
+def test_a_pair_meets_in_one_bucket_of_word_pairs():
+    rng = np.random.default_rng(5)
+    low = {(c, k + 1) for c, three in enumerate(L.AGREED["w"]) for k in range(9) if k not in three}
+    for bits in rng.integers(0, 512, 200):
+        have = {k for k in range(9) if bits >> k & 1}
+        shared = [c for c, three in enumerate(L.AGREED["w"]) if have >= set(three)]
+        whole = L.meet_here(np.array(shared, np.int64) | 1 << 20, np.full(len(shared), bits))
+        assert whole.sum() == (len(shared) > 0)
+        parts = [c | k << 6 for c, k in low if c in shared and k - 1 in have]
+        assert L.meet_here(np.array(parts, np.int64), np.full(len(parts), bits)).sum() == (len(have) > 3 and len(shared) > 0)
+
+
+def test_divided_buckets_leave_out_the_hashes_that_make_them(spark):
+    """All lines of a bucket have those in common: dividing by them gave the whole bucket again, three times."""
+    lines = L.distinct_lines(make(spark, list(enumerate(passage_lines(3)))))
+    placed = L.keyed(lines).withColumns({"own": F.col("line"), "led": F.col("line")})
+    keys = [r.key for r in L.divided(placed, lines).collect()]
+    assert len(keys) == 3 * 12 * 6
+    assert all((k >> 6 & 15) - 1 not in L.AGREED["w"][k & 63] for k in keys)
+
+
+def test_far_apart_is_never_said_of_texts_that_are_near():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60, 400))) for letters in ("ab c", "abcdefgh ijklmnop", "aé漢𝒳 bcd") for _ in range(40)]
+    left, right = [], []
+    for t in texts:
+        for rate in (0.1, 0.25, 0.9):
+            left.append(t)
+            right.append("".join(rng.choice(("", c, c + "x", "y")) if rng.random() < rate else c for c in t))
+    left, right = left + texts, right + texts[1:] + texts[:1]
+    for similarity in (0.8, 0.95):
+        near = [distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9) for a, b in zip(left, right, strict=True)]
+        far = L.far_apart(left, right, similarity)
+        assert not any(a and b for a, b in zip(far.tolist(), near, strict=True))
+        assert far.sum() > 0.3 * len(far)
+        assert L.all_alike(left, right, similarity) == near

@@ -5,8 +5,8 @@ tensor at several scales; around each a patch is turned to its own orientation a
 read by binary intensity tests, 96 bits in three words.  All corners are searched, so that
 a small part of a large image is found as well.  Three of the twelve bytes at a time are joined as
 24 Hamming tables: descriptors that differ in at most three bits agree in one of them, and most
-that differ in some more.  Which entries the queries have is a bit each, 2 MiB a table however many
-images there are; every task is given these bits, and of the index only entries that a query has are dealt.
+that differ in some more.  The queries' descriptors lie in blocks in the shared folder; a task holds
+whole images against a block after the other, so that descriptors that agree by chance are never rows.
 Matches of a query and an image count if enough of them agree on one rotation,
 scale and shift.
 
@@ -21,15 +21,17 @@ give a row; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, slices
+from .shared import materialise, open_read, open_write, scratch_path, slices, tidied
 
 #: Strongest corners that describe() gives unless told otherwise.
 CORNERS = 32
@@ -46,6 +48,10 @@ SLACK = 5.0
 TURN = 20.0
 #: Classes whose digests and ids, some 100 bytes each, may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Descriptors of queries in a block, of images held against a block at once, and pairs of them looked at together.
+BLOCK_CORNERS = 1 << 17
+HELD_CORNERS = 1 << 18
+PAIRS_AT_ONCE = 1 << 21
 _ANGLES = 36
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -227,25 +233,25 @@ def consensus(matches: np.ndarray) -> tuple[int, float, float, float, float]:
 
 # -- tables ---------------------------------------------------------------------------------------------
 
-_CORNER = "x float, y float, angle float, scale float, w0 long, w1 long, w2 long"
+_CORNER = ("x", "y", "angle", "scale", "w0", "w1", "w2")
 _CORNER_TYPES = (pa.float32(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int64(), pa.int64())
 
 
 def corners(df: DataFrame, key: str, image: str) -> DataFrame:
-    """``(key, x, y, angle, scale, w0, w1, w2)``: a row per corner.  No shuffle."""
+    """``(key, x, y, angle, scale, w0, w1, w2)``: the corners of each image as arrays.  No shuffle."""
     kind = df.schema[key].dataType.simpleString()
-    names = ["key", *(c.split()[0] for c in _CORNER.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 4 << 20, 256):
                 rows = [describe(decode(x), None) for x in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                ends = pa.array(np.cumsum([0, *(len(r) for r in rows)]), pa.int32())
                 flat = [r for rs in rows for r in rs]
-                columns = [pa.array([r[i] for r in flat], t) for i, t in enumerate(_CORNER_TYPES)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *columns], names=names)
+                columns = [pa.ListArray.from_arrays(ends, pa.array([r[i] for r in flat], t)) for i, t in enumerate(_CORNER_TYPES)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["key", *_CORNER])
 
-    return df.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(run, f"key {kind}, {_CORNER}")
+    arrays = ", ".join(f"{c} array<{'long' if c[0] == 'w' else 'float'}>" for c in _CORNER)
+    return df.select(F.col(key).alias("key"), F.col(image).alias("image")).mapInArrow(tidied(run), f"key {kind}, {arrays}")
 
 
 def classes(df: DataFrame, key: str, image: str) -> DataFrame:
@@ -260,78 +266,123 @@ def table_entries(words: np.ndarray) -> np.ndarray:
     return np.stack([number << 24 | a << 16 | b << 8 | c for number, (a, b, c) in enumerate(entries)], 1)
 
 
-_PIECE = 16  # bits of an entry that lie in one piece of the map
-_CORNER_NAMES = [c.split()[0] for c in _CORNER.split(", ")]
-
-
-def _words(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in ("w0", "w1", "w2")], 1)
-
-
-def asked_entries(queries: DataFrame) -> dict[int, bytes]:
-    """The tables' entries that any query has, as packed maps of bits by piece."""
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.unique(table_entries(_words(batch)))
-            yield pa.RecordBatch.from_arrays([pa.array(found >> _PIECE), pa.array(found & (1 << _PIECE) - 1)], names=["piece", "at"])
-
-    def packed(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << _PIECE, bool)
-        bits[rows.column("at").to_numpy()] = True
-        return pa.table({"piece": [rows.column("piece")[0].as_py()], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
-
-    seen = queries.select("w0", "w1", "w2").mapInArrow(entries, "piece long, at long").distinct()
-    rows = seen.groupBy("piece").applyInArrow(packed, "piece long, bits binary").toArrow()
-    return dict(zip(rows.column("piece").to_pylist(), rows.column("bits").to_pylist(), strict=True))
-
-
-def dealt(df: DataFrame, side: str, asked: dict[int, bytes] | None = None) -> DataFrame:
-    """``(entry, side struct, side_key)`` of each corner and table, or only of the entries that are asked for."""
-    kind = df.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None
-        if asked is not None:
-            wanted = np.zeros(12 * len(TABLES) << 24 - 3, np.uint8)
-            for piece, bits in asked.items():
-                at = piece << _PIECE - 3
-                wanted[at : at + (1 << _PIECE - 3)] = np.frombuffer(zlib.decompress(bits), np.uint8)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                entries = table_entries(_words(part))
-                if wanted is None:
-                    rows = np.repeat(np.arange(len(entries)), entries.shape[1])
-                    entries = entries.ravel()
-                else:
-                    rows, tables = np.nonzero(wanted[entries >> 3] >> (7 - (entries & 7)) & 1)
-                    entries = entries[rows, tables]
-                got = part.take(pa.array(rows))
-                corner = pa.StructArray.from_arrays([got.column(name) for name in _CORNER_NAMES], names=_CORNER_NAMES)
-                yield pa.RecordBatch.from_arrays([pa.array(entries), corner, got.column("key")], names=["entry", side, f"{side}_key"])
-
-    struct = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in _CORNER.split(", "))
-    return df.select("key", *_CORNER_NAMES).mapInArrow(run, f"entry long, {side} struct<{struct}>, {side}_key {kind}")
-
-
-def search(queries: DataFrame, found: DataFrame, least: int = LEAST_INLIERS, most_bits: int = MOST_BITS) -> DataFrame:
-    """Images that hold what a query shows, both given by their corners: query_id, class_id, inliers, degrees, scale, shift_x, shift_y."""
-    bits = sum(F.bit_count(F.col(f"q.w{i}").bitwiseXOR(F.col(f"i.w{i}"))) for i in range(3))
-    hits = dealt(queries, "q").join(dealt(found, "i", asked_entries(queries)), "entry").where(bits <= most_bits)
-    pair = F.array(*[F.col(f"{side}.{c}").cast("float") for side in "qi" for c in ("x", "y", "angle", "scale")])
-    pairs = hits.groupBy("q_key", "i_key").agg(F.collect_set(pair).alias("matches")).where(F.size("matches") >= least)
+class Corners:
+    """The corners of some images, and the number of its image for each."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table) -> None:
+        batch = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+        lists = {c: batch.column(c).combine_chunks() for c in _CORNER}
+        flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+        self.owner = np.repeat(np.arange(batch.num_rows), lists["x"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        self.place = np.stack([flat[c] for c in _CORNER[:4]], 1)
+        self.words = np.stack([flat[c] for c in _CORNER[4:]], 1)
+        self.entries = table_entries(self.words).T
+
+
+class Asked:
+    """A block of queries: their keys, their corners, and for each table its entries in order."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.corners = Corners(rows)
+        named = rows.column("key").combine_chunks().dictionary_encode()
+        self.keys = named.dictionary  # rows of one key are one query; those without one, too
+        self.query = named.indices.fill_null(len(self.keys)).to_numpy(zero_copy_only=False)[self.corners.owner].astype(np.int64)
+        self.order = [np.argsort(e, kind="stable") for e in self.corners.entries]
+        self.sorted = [e[o] for e, o in zip(self.corners.entries, self.order, strict=True)]
+
+    def matches(self, images: Corners, most_bits: int) -> np.ndarray:
+        """Pairs of corners, the query's times the number of the images' plus the image's, that agree in a table and differ in few bits."""
+        n, found = max(1, len(images.owner)), []
+        for own, order, entries in zip(images.entries, self.order, self.sorted, strict=True):
+            low = np.searchsorted(entries, own)
+            some = np.flatnonzero(entries[np.minimum(low, len(entries) - 1)] == own) if len(entries) else low[:0]
+            low = low[some]
+            many = np.searchsorted(entries, own[some], side="right") - low
+            upto, start = np.cumsum(many), 0
+            while start < len(some):
+                stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+                k = many[start:stop]
+                i = np.repeat(some[start:stop], k)
+                q = order[np.repeat(low[start:stop] - np.cumsum(k) + k, k) + np.arange(len(i))]
+                near = np.bitwise_count(self.corners.words[q] ^ images.words[i]).sum(1) <= most_bits
+                found.append(q[near] * n + i[near])
+                start = stop
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def agreeing(self, images: Corners, least: int, most_bits: int) -> Iterator[tuple[int, int, tuple[int, float, float, float, float]]]:
+        """Number of the query and of the image, and their consensus, of those with enough matches that agree."""
+        q, i = np.divmod(self.matches(images, most_bits), max(1, len(images.owner)))
+        both = self.query[q] * (len(images.owner) + 1) + images.owner[i]
+        order = np.argsort(both, kind="stable")
+        cuts = np.flatnonzero(np.diff(both[order], prepend=-1))
+        ends = np.append(cuts[1:], len(order))[: len(cuts)]
+        large = ends - cuts >= least
+        for a, b in zip(cuts[large].tolist(), ends[large].tolist(), strict=True):
+            some = order[a:b]
+            matches = np.unique(np.concatenate((self.corners.place[q[some]], images.place[i[some]]), 1).astype(np.float64), axis=0)
+            if len(matches) >= least and (best := consensus(matches))[0] >= least:
+                yield int(self.query[q[some[0]]]), int(images.owner[i[some[0]]]), best
+
+
+def query_blocks(queries: DataFrame, block_corners: int = BLOCK_CORNERS) -> list[str]:
+    """Files in the shared folder that hold all queries with corners, whole ones in each."""
+    asked = queries.where(F.size("x") > 0)
+    n = max(1, -(-(asked.agg(F.sum(F.size("x"))).first()[0] or 0) // block_corners))
+    folder = scratch_path(queries.sparkSession, "media-asked")
+
+    def write(rows: pa.Table) -> pa.Table:
+        path = f"{folder}/block-{uuid.uuid4().hex}.parquet"
+        with open_write(path) as out:
+            pq.write_table(rows.select(["key", *_CORNER]), out)
+        return pa.table({"path": [path]})
+
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)))
+    # written once: a task that is run again leaves a file that is not listed
+    return sorted(r.path for r in materialise(dealt.groupBy("block").applyInArrow(write, "path string"), "media-blocks").collect())
+
+
+def search(queries: DataFrame, found: DataFrame, least: int = LEAST_INLIERS, most_bits: int = MOST_BITS, block_corners: int = BLOCK_CORNERS) -> DataFrame:
+    """Images that hold what a query shows, both given by their corners: query_id, class_id, inliers, degrees, scale, shift_x, shift_y.  The images are not dealt."""
+    paths = query_blocks(queries, block_corners)
+    names = ["query_id", "class_id", "inliers", "degrees", "scale", "shift_x", "shift_y"]
+    kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
+
+    def through(held: list[pa.RecordBatch], kept: list[Asked]) -> Iterator[pa.RecordBatch]:
+        images = pa.Table.from_batches(held)
+        seen, keys = Corners(images), images.column("key")
+        for path in paths:
+            if not kept or len(paths) > 1:
+                with open_read(path) as f:
+                    kept[:] = [Asked(pq.read_table(pa.py_buffer(f.read())))]
+            rows = list(kept[0].agreeing(seen, least, most_bits))
+            asked = kept[0].keys.take(pa.array([None if q == len(kept[0].keys) else q for q, _, _ in rows], pa.int64()))
+            owner = keys.take(pa.array([i for _, i, _ in rows], pa.int64())).combine_chunks()
+            yield pa.RecordBatch.from_arrays([asked, owner, *(pa.array([r[2][k] for r in rows], t) for k, t in enumerate(kinds))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["query_id", "class_id", "inliers", "degrees", "scale", "shift_x", "shift_y"]
+        held: list[pa.RecordBatch] = []
+        kept: list[Asked] = []
+        size = 0
         for batch in batches:
-            rows = [consensus(np.array(sorted(m))) for m in batch.column(2).to_pylist()]
-            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=names)
+            ends = np.cumsum(batch.column("x").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + HELD_CORNERS - size, side="right")))
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - before
+                start = stop
+                if size >= HELD_CORNERS or start < batch.num_rows:
+                    yield from through(held, kept)
+                    held, size = [], 0
+        if held:
+            yield from through(held, kept)
 
     kind = queries.schema["key"].dataType.simpleString(), found.schema["key"].dataType.simpleString()
-    out = pairs.mapInArrow(run, f"query_id {kind[0]}, class_id {kind[1]}, inliers int, degrees double, scale double, shift_x double, shift_y double")
-    return out.where(F.col("inliers") >= least)
+    rows = found.mapInArrow(tidied(run), f"query_id {kind[0]}, class_id {kind[1]}, inliers int, degrees double, scale double, shift_x double, shift_y double")
+    # an image that is there twice, or another of the same key
+    best = rows.groupBy("query_id", "class_id").agg(F.max(F.struct(*names[2:])).alias("best"))
+    return best.select("query_id", "class_id", "best.*")
 
 
 def find_copies(images: DataFrame, queries: DataFrame, key: str, image: str) -> DataFrame:

@@ -104,3 +104,30 @@ def test_small_crops_of_large_images(spark):
     assert kinds[0] >= 5 and kinds[1] >= 5, kinds
     assert kinds[2] >= 3, kinds  # brute force finds all of half the size
     assert len(found - true) <= 1
+
+
+def test_matches_by_chance_are_no_rows(spark):
+    """Whole images are held against blocks of queries: no plan joins descriptors, whatever the number of blocks."""
+    rows = [(i, bytearray(M.encode_png(picture(i % 40)))) for i in range(60)]
+    asked = [(i, bytearray(M.encode_png(M.edit(picture(i), i)))) for i in range(0, 40, 4)]
+    frame = lambda cells: spark.createDataFrame(cells, "key long, image binary")
+    images, queries = (M.corners(frame(x), "key", "image").cache() for x in (rows, asked))
+    assert images.count() == 60
+    one, many = (M.search(queries, images, block_corners=n) for n in (M.BLOCK_CORNERS, 60))
+    assert "Join" not in one._jdf.queryExecution().toString()
+    got = sorted(map(tuple, one.collect()))
+    assert {(r[0], r[1]) for r in got} >= {(q, q) for q, _ in asked}
+    assert got == sorted(map(tuple, many.collect()))
+    # as all pairs of corners that share an entry give it
+    want = set()
+    for q, raw in asked:
+        mine = M.describe(M.decode(bytes(raw)), None)
+        for i, other in rows:
+            theirs = M.describe(M.decode(bytes(other)), None)
+            entries = [M.table_entries(np.array([c[4:] for c in side])) for side in (mine, theirs)]
+            shared = (entries[0][:, None] == entries[1][None]).any(2)
+            near = np.bitwise_count(np.array([c[4:] for c in mine])[:, None] ^ np.array([c[4:] for c in theirs])[None]).sum(2) <= M.MOST_BITS
+            pairs = {(*mine[a][:4], *theirs[b][:4]) for a, b in zip(*np.nonzero(shared & near), strict=True)}
+            if len(pairs) >= M.LEAST_INLIERS and M.consensus(np.array(sorted(pairs)))[0] >= M.LEAST_INLIERS:
+                want.add((q, i))
+    assert {(r[0], r[1]) for r in got} == want

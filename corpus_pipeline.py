@@ -46,7 +46,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian unsigned 32-bit integers) and the digests of ids and decoded bytes."""
     ensure_importable(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, "doc_id", "text", path, pattern), "doc_id", "ids", path, pattern)
+    coded = bpe.round_trip(docs, "doc_id", "text", path, pattern)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

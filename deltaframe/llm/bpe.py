@@ -185,6 +185,23 @@ def decode(df: DataFrame, key: str, ids: str, ranks_path: str, pattern: str) ->
     return out.withColumnRenamed("key", key).withColumnRenamed("ids", ids) if ids != "ids" else out.withColumnRenamed("key", key)
 
 
+def round_trip(df: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
+    """``(key, ids, decoded binary)``: what encode() and then decode() give, in one worker a task instead of two that both stay."""
+    kind = df.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load(ranks_path, pattern)
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+                raw = [codec.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], names=["key", "ids", "decoded"])
+        _LOADED.clear()  # the worker may go on with other work
+
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), f"key {kind.simpleString()}, ids binary, decoded binary")
+    return out.withColumnRenamed("key", key)
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``documents`` encoded and decoded, as counts and digests (all of them computed in the JVM)."""
     coded = decode(encode(docs, "doc_id", "text", ranks_path, pattern), "doc_id", "ids", ranks_path, pattern)

@@ -257,13 +257,34 @@ def _marked(key: Column, low: Column) -> Column:
 
 def keyed(lines: DataFrame) -> DataFrame:
     """``(key, line)``: the buckets each line is in."""
-    keys = []
-    for kind, combinations in AGREED.items():
-        cells = least_hashes(kind)
-        for agreed in combinations:
-            number = F.lit(len(keys))
-            keys.append(F.when(cells[0].isNotNull(), _marked(F.xxhash64(number, *[cells[k] for k in agreed]), number)))
-    return lines.select("line", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.ascontiguousarray(np.stack(_numbers(batch, *_SKETCH), 1)).view("<u4").astype(np.uint64)
+            line, at, number = batch.column("line"), 0, 0
+            for kind, combinations in AGREED.items():
+                some = np.flatnonzero(least[:, at] != _NONE)
+                cells, names = least[some, at : at + MINIMA[kind]].T, line.take(pa.array(some))
+                for number, (a, b, c) in enumerate(combinations, number):
+                    key = _mixed(_mixed(cells[a] << np.uint64(32) | cells[b]) + cells[c]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key & ~_LOW | number), names], names=["key", "line"])
+                at, number = at + MINIMA[kind], number + 1
+
+    return lines.select("line", *_SKETCH).mapInArrow(tidied(run), "key long, line long")
+
+
+def bucketed(lines: DataFrame) -> DataFrame:
+    """``(key, line, leader, size)``: the lines of each bucket of more than one, its least line and how many it has."""
+
+    def within(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, line = _numbers(batch, "key", "line")
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        shared = np.repeat(size > 1, size)
+        columns = key, line, np.repeat(np.minimum.reduceat(line, first), size), np.repeat(size, size)
+        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in columns], names=["key", "line", "leader", "size"])
+
+    return _by_bucket(keyed(lines), within, "key long, line long, leader long, size long")
 
 
 def divided(crowded: DataFrame, lines: DataFrame) -> DataFrame:
@@ -821,17 +842,13 @@ def _merged(components: DataFrame, links: DataFrame, scratch: Scratch) -> DataFr
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float, scratch: Scratch, pairs: int = PAIRS) -> DataFrame:
     """``(vertex, component)`` of the lines that are linked to another one."""
-    low = keyed(lines).groupBy("key").agg(F.min("line").alias("leader"), F.max("line").alias("other"), F.count(F.lit(1)).alias("size"))
-    low = scratch.keep(low.where("size > 1"), "line-leaders")
-    # two lines are a pair already; the lines of larger buckets are fetched
-    two = low.where("size = 2").select(F.col("leader").alias("a"), F.col("other").alias("b"))
-    large = scratch.keep(low.where("size > 2").select("key", "leader", "size"), "line-large")
-    members = scratch.keep(keyed(lines).join(_bounded(large), "key"), "line-buckets")
+    members = scratch.keep(bucketed(lines), "line-buckets")
     led = members.where(F.col("line") != F.col("leader")).select(F.col("line").alias("a"), F.col("leader").alias("b"))
     signed = scratch.keep(signatures(lines), "line-signatures")
-    to_leader = promising_pairs(signed, two.unionByName(led), similarity)
+    to_leader = promising_pairs(signed, led, similarity)
     components = scratch.keep(connected_components(verified(docs, lines, to_leader, similarity, scratch), "lines"), "line-components")
-    placed = scratch.keep(_labelled(_labelled(members, "line", components, "own"), "leader", components, "led").select("key", "line", "own", "led", "size"), "line-placed")
+    # two lines are a pair already
+    placed = scratch.keep(_labelled(_labelled(members.where("size > 2"), "line", components, "own"), "leader", components, "led").select("key", "line", "own", "led", "size"), "line-placed")
     apart = scratch.keep(placed.where("own <> led").groupBy("key").agg(F.count(F.lit(1)).alias("apart")), "line-apart")
     if apart.isEmpty():
         return components
